@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -44,9 +45,12 @@ def load(path: str) -> dict:
 
 
 class ByteBPE:
-    """Encoder and decoder. Caches are bounded and only save time."""
+    """Encoder and decoder. Caches are bounded and only save time.
 
-    def __init__(self, spec: dict, cached: int = 300_000):
+    ``cached_words`` words take about 250 MB in each Python worker when all are there.
+    """
+
+    def __init__(self, spec: dict, cached_words: int = 1_000_000, cached_chunks: int = 400_000):
         self.pieces = [spec["pieces"].get(i, b"") for i in range(max(spec["pieces"]) + 1)]
         self.first = [spec["bytes"][b] for b in range(256)]
         self.ranks = {a << 20 | b: rank for rank, (a, b, _) in enumerate(spec["merges"])}
@@ -56,9 +60,9 @@ class ByteBPE:
         self.find = regex.compile(PATTERN).findall
         self.loose = regex.compile(r" \s|\s |^ | $").search
         self.at_single_spaces = regex.compile(r"(?<=\S) (?=\S)").split
-        self.cached = cached
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.cached_words, self.cached_chunks = cached_words, cached_chunks
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word, merged by rank; ties go to the leftmost pair."""
@@ -108,18 +112,21 @@ class ByteBPE:
                 hi >>= 1
         return [i for i in ids if i >= 0]
 
-    def _words(self, text: str) -> list[int]:
-        out: list[int] = []
-        for w in self.find(text):
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.merge(w.encode("utf-8", "surrogatepass"))
-                if len(w) <= 64:
-                    if len(self.words) >= self.cached:
-                        self.words.clear()
-                    self.words[w] = ids
-            out += ids
-        return out
+    def _word(self, w: str) -> tuple[int, ...]:
+        ids = self.words.get(w)
+        if ids is None:
+            ids = tuple(self.merge(w.encode("utf-8", "surrogatepass")))
+            if len(w) <= 64:
+                if len(self.words) >= self.cached_words:
+                    self.words.clear()
+                self.words[w] = ids
+        return ids
+
+    def _words(self, text: str) -> tuple[int, ...]:
+        found = self.find(text)
+        if len(found) == 1:
+            return self._word(found[0])
+        return tuple(chain.from_iterable(map(self._word, found)))
 
     def _plain(self, text: str) -> list[int]:
         # A single space between two non-spaces always starts a word, so the text can be
@@ -132,7 +139,7 @@ class ByteBPE:
             if ids is None:
                 ids = self._words(" " + p)
                 if len(p) <= 64:
-                    if len(chunks) >= self.cached:
+                    if len(chunks) >= self.cached_chunks:
                         chunks.clear()
                     chunks[p] = ids
             out += ids
