@@ -261,7 +261,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
     Rows without a doc_id cannot be told apart and stay.
     """
     hit = contamination(docs, benchmark, window).where(F.col("n_hit") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hit, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,19 +99,11 @@ def levels(docs: DataFrame, rate: float = 0.05) -> dict[tuple[str, int], float]:
     return out
 
 
-def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
-    """Add to ``docs`` (doc_id, text, ...) the column ``secrets``: its secret spans.
-
-    ``secrets`` is an array of (kind, start, stop, score), by start and then kind as
-    listed in KINDS; places are code points, stop exclusive. Fixed kinds have score 1.
-    A random token that overlaps a fixed span is not reported again. Null or empty
-    texts have no spans; every row and column of ``docs`` is kept, and a column named
-    ``secrets`` is replaced.
-    """
+def _scanned(docs: DataFrame, rate: float) -> DataFrame:
+    """(_row, _s): each row of ``docs`` as a struct, and its secret spans."""
     found = levels(docs, rate)
     cut = "CASE " + " ".join(f"WHEN x.enc = '{e}' AND {_band('x.n')} = {b} THEN x.p >= {c}" for (e, b), c in sorted(found.items())) + " ELSE false END" if found else "false"
-    names = [c for c in docs.columns if c != "secrets"]
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), text_or_empty().alias("_text"))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_or_empty().alias("_text"))
     df = with_matches(df, "_text", PATTERNS)
     group2 = f"regexp_extract(m.text, {literal(ASSIGN)}, 2)"
     fixed = "concat(" + ", ".join(
@@ -123,7 +115,19 @@ def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     every = f"array_sort(concat(_fixed, transform({free}, x -> named_struct('start', x.start, 'rank', 3, 'stop', x.stop, 'score', x.p))))"
     kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     spans = f"transform({every}, s -> named_struct('kind', {kinds}[s.rank], 'start', s.start, 'stop', s.stop, 'score', s.score))"
-    return df.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.expr(spans).alias("secrets"))
+    return df.select("_row", F.expr(spans).alias("_s"))
+
+
+def scan(docs: DataFrame, rate: float = 0.05) -> DataFrame:
+    """Add to ``docs`` (doc_id, text, ...) the column ``secrets``: its secret spans.
+
+    ``secrets`` is an array of (kind, start, stop, score), by start and then kind as
+    listed in KINDS; places are code points, stop exclusive. Fixed kinds have score 1.
+    A random token that overlaps a fixed span is not reported again. Null or empty
+    texts have no spans; every row and column of ``docs`` is kept, and a column named
+    ``secrets`` is replaced.
+    """
+    return _scanned(docs, rate).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "secrets"], F.col("_s").alias("secrets"))
 
 
 def joined(spans: str) -> Column:
@@ -137,14 +141,13 @@ def redacted(docs: DataFrame, rate: float = 0.05, mark: str = "[SECRET]") -> Dat
     Overlapping spans are replaced once, by one mark. Texts without spans, null ones
     among them, and all other columns stay as they are.
     """
-    df = scan(docs, rate).withColumnRenamed("secrets", "_s")
     # spans come by start: a span opens a new stretch if it begins after all before it have ended
     merged = "aggregate(_s, named_struct('at', 0, 'out', cast(array() AS array<struct<a:int,b:int>>)), (acc, s) -> CASE WHEN s.start >= acc.at THEN named_struct('at', s.stop, 'out', concat(acc.out, array(named_struct('a', acc.at, 'b', s.start)))) ELSE named_struct('at', greatest(acc.at, s.stop), 'out', acc.out) END)"
-    df = df.select("*", F.expr(merged).alias("_m"))
-    text = f"concat(array_join(transform(_m.out, x -> substring(text, x.a + 1, x.b - x.a)), '{mark}'), '{mark}', substring(text, _m.at + 1))"
-    df = df.select("*", F.when(F.size("_s") > 0, F.expr(text)).otherwise(F.col("text")).alias("_new"))
-    new = {"text": F.col("_new").alias("text"), "n_chars": F.when(F.size("_s") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")} if "n_chars" in docs.columns else {"text": F.col("_new").alias("text")}
-    return df.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    df = _scanned(docs, rate).select("*", F.expr(merged).alias("_m"))
+    text = f"concat(array_join(transform(_m.out, x -> substring(_row.text, x.a + 1, x.b - x.a)), '{mark}'), '{mark}', substring(_row.text, _m.at + 1))"
+    df = df.select("_row", F.expr(f"CASE WHEN size(_s) > 0 THEN {text} END").alias("_new"))
+    new = {"text": F.coalesce("_new", "_row.text"), "n_chars": F.coalesce(F.length("_new").cast("long"), "_row.n_chars") if "n_chars" in docs.columns else None}
+    return df.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def one_per_class(docs: DataFrame, words: int = 3, max_distance: int = 2) -> Dat
     """
     found = near_duplicates(docs, words, max_distance)
     gone = found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
