@@ -76,19 +76,21 @@ class Model:
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated full-batch gradient descent."""
+    # in the matrix's own precision throughout: a mixed product would copy the matrix at each step
+    x, y = np.ascontiguousarray(x, np.float32), y.astype(np.float32)
     n, k = x.shape
-    w, b = np.zeros(k), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
+    w, b = np.zeros(k, np.float32), np.float32(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     # the largest eigenvalue of x'x/n by power iteration bounds the curvature
-    v = np.ones(k) / np.sqrt(max(k, 1))
+    v = np.ones(k, np.float32) / np.float32(np.sqrt(max(k, 1)))
     for _ in range(15):
         v = x.T @ (x @ v)
-        v /= np.linalg.norm(v) + 1e-12
-    step = 1 / (0.25 * (np.linalg.norm(x @ v) ** 2 / n + 1) + ridge)
+        v /= np.linalg.norm(v) + np.float32(1e-12)
+    step = np.float32(1 / (0.25 * (np.linalg.norm(x @ v) ** 2 / n + 1) + ridge))
     wy, by = w.copy(), b
     for t in range(steps):
         g = 1 / (1 + np.exp(-(x @ wy + by))) - y
-        w2, b2 = wy - step * (x.T @ g / n + ridge * wy), by - step * g.mean()
-        m = t / (t + 3)
+        w2, b2 = wy - step * ((g @ x) / n + np.float32(ridge) * wy), by - step * g.mean()
+        m = np.float32(t / (t + 3))
         wy, by = w2 + m * (w2 - w), b2 + m * (b2 - b)
         w, b = w2, b2
     return w, float(b)
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = S
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.list_(pa.int64())), pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["rows", "seen"])
 
     seen, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
-    for r in map_arrow(sample, count, "rows array<long>, seen binary").toLocalIterator():
+    for r in map_arrow(sample, count, "rows array<long>, seen binary").collect():
         seen += np.frombuffer(zlib.decompress(r["seen"]), np.int32).reshape(2, -1)
         n += np.array(r["rows"])
     if not n.all():
