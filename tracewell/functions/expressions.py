@@ -20,6 +20,11 @@ _RANK = {"||": 0, "&&": 1, "|": 2, "^": 3, "&": 4, "==": 5, "!=": 5, "<=": 6, ">
 _NAME = {s: n for n, s in _LEVELS}
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, where writing it out would repeat it many times."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def u64_less(a: Column, b: Column) -> Column:
     """Unsigned comparison of two bit patterns."""
     low = F.lit(-(1 << 63)).cast("bigint")
