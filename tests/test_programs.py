@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import expressions as E
 from tracewell.functions import rules as C
+from tracewell.operators import graphs as G
 from tracewell.operators import interpreter as I
 from tracewell.operators import oracles as O
+from tracewell.sources import aliases as A
 from tracewell.sources import builds as B
 from tracewell.sources import listings as K
 from tracewell.sources import logs as L
@@ -155,3 +157,59 @@ def test_streams_end_as_tables_do(spark, tmp_path):
     closed = W.drained(W.windowed_counts(stream, "at", ["k"]), "t")
     assert [(r.k, r.n) for r in closed.collect()] == [("u", 2)]
     assert sorted((r.k, r.n) for r in W.windowed_counts(df, "at", ["k"]).collect()) == [("u", 2), ("w", 1)]
+
+
+def test_value_traces(spark):
+    text = "[x] early\n[trace 1] R 0x1 = 0x2\n[x-begin]\n[trace 2] R 0x1 = 0x2\n[x] one\n[trace 3] W 0x10 = 0xffffffffffffffff\n[x-result] 0x5\n[x-output] a=0x7\n[x-state] s=0x1 t=0x2\n[x] two\nnoise\n[x-end]\n[trace 4] R 0x1 = 0x2\n[x-begin]\n[trace 5] R 0x1 = 0x2\n[x] one\n[trace 6] R 0x3 = 0x4"
+    df = spark.createDataFrame([("f", text), ("g", None), ("h", "")], "log string, text string")
+    got = sorted((r.line_no, r.call_no, r.module, r.kind, r.name, r.offset, r.value) for r in L.value_traces(L.lines(df, "log"), "log", "x").collect())
+    assert [g[1:] for g in got] == [
+        (1, "one", "W", None, 16, -1), (1, "one", "result", None, None, 5), (1, "one", "output", "a", None, 7), (1, "one", "state", "s", None, 1), (1, "one", "state", "t", None, 2),
+        (2, "two", None, None, None, None), (3, "one", "R", None, 3, 4),
+    ]
+
+
+def test_manifests(spark):
+    def m(**more):
+        return json.dumps({"schema": 1, "name": "n", "sources": ["a.c", "b.c", "../c.c", "/d.c"], "kbuild": "Kbuild", **more})
+
+    rows = [("ok", m()), ("schema", m(schema=2)), ("name", m(name="")), ("few", m(sources=["a.c"])), ("c", m(sources=["a.c", "b.c", "c.c", "d.h"])), ("text", "x"), ("null", None)]
+    df = spark.createDataFrame([(k, t, "/k/d") for k, t in rows], "k string, text string, directory string")
+    got = {r.k: r for r in B.manifests(df, "k").collect()}
+    assert {k: r.problem for k, r in got.items()} == {"ok": None, "schema": "schema", "name": "name", "few": "too few sources", "c": "not C", "text": "not a manifest", "null": "not a manifest"}
+    assert got["ok"].sources == ["/k/d/a.c", "/k/d/b.c", "/k/c.c", "/d.c"] and got["ok"].build_file == "/k/d/Kbuild"
+
+
+def test_code_only(spark):
+    text = "readl(a); // writel(\n/* readl(\n */ s = \"readl( \\\" x\"; c = '('; xreadl(b); readl (c); writel(d)"
+    assert one(spark, C.call_count(C.code_only(F.lit(text)), ("readl", "writel"))) == 3
+    assert one(spark, C.call_count(C.code_only(F.lit("\"" + "x" * 200_000 + "\"")), ("x",))) == 0
+
+
+def test_aliases(spark):
+    text = 'head\n1 var1[@probe] %a { "ln": 12, "fl": "d.c" }\n2 var2[m@isr] %b\n3 plain\n2 var2[g] %c\nMayAlias var1[@p] -- var2[@q]\nMayAlias var3[x] -- var1[p]\nNoAlias var1[p] -- var9[x]\nMayAlias var1[p] -- var4[p]\nMayAlias var2[p] -- var3[p]\nMayAlias plain -- var3[p]'
+    lines = L.lines(spark.createDataFrame([("f", text), ("g", None)], "k string, text string"), "k")
+    assert {r.var: (r.function, r.line, r.file) for r in A.symbols(lines, "k").collect()} == {1: ("probe", 12, "d.c"), 2: ("g", 0, ""), 3: ("", 0, "")}
+    found = A.pairs(lines, "k")
+    assert found.count() == 5
+    origins = spark.createDataFrame([("f", 1), ("f", 4), ("f", 4)], "k string, var long")
+    assert sorted((r.alias_var, r.origin_var) for r in A.aliased(found, origins, "k").collect()) == [(2, 1), (3, 1)]
+    assert A.aliased(found, origins.limit(0), "k").count() == 0
+
+
+def test_edges_and_entries(spark):
+    refs = spark.createDataFrame([("f", 1, 2, "a"), ("f", 5, 6, "a"), ("f", 8, 9, "b"), ("f", 11, 12, "x")], "file string, s int, e int, sym string")
+    callees = spark.createDataFrame([("f", 1, 2), ("f", 8, 9)], "file string, s int, e int")
+    targets = spark.createDataFrame([("a",), ("b",)], "sym string")
+    assert [r.sym for r in G.callback_entries(refs, callees, targets, ["file", "s", "e"], "sym").collect()] == ["a"]
+    functions = spark.createDataFrame([("s1", "f", "u1"), ("s2", "g", "u2"), ("s3", "h", "u1"), ("s4", "h", "u2")], "symbol string, name string, unit string")
+    sites = spark.createDataFrame([("m", "f", "s1", "u1"), ("m", "g", "s2", "u1"), ("m", "g", None, "u1"), ("m", "h", None, "u1"), ("m", "z", "s9", "u1")], "caller string, callee string, symbol string, unit string")
+    got = sorted((r.callee, r.target_unit or "", r.how) for r in G.resolved_edges(sites, functions).collect())
+    assert got == [("f", "u1", "same unit"), ("g", "u2", "other unit"), ("g", "u2", "other unit"), ("h", "", "unresolved"), ("z", "", "unresolved")]
+
+
+def test_pruned(spark):
+    rows = [(0, None, 0, "Cond", 0), (1, 0, 1, "Read", 1), (2, 0, 1, "Seq", 0), (3, 2, 2, "Write", 0), (4, None, 0, "Loop", 0), (5, 4, 1, "Read", 1), (6, None, 0, "Read", 0), (7, None, 0, "Seq", 0), (8, 7, 1, "Cond", 0), (9, 8, 2, "Read", 1)]
+    nodes = spark.createDataFrame([("m", *r) for r in rows], "m string, node_id int, parent_id int, depth int, kind string, good int")
+    assert sorted(r.node_id for r in G.pruned(nodes, ["m"], F.col("good") == 1).collect()) == [0, 1, 7, 8, 9]
+    assert G.pruned(nodes.limit(0), ["m"], F.col("good") == 1).count() == 0

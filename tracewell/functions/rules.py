@@ -164,3 +164,15 @@ def clock(mode: Column, reg: Column, a: Column, b: Column) -> Column:
     ).bitwiseAND(big(0xFFFFFFFF))
     status = F.when((mode == 7) & (ratio % 2 == 1), -22).otherwise(0)
     return F.when(value.isNotNull(), F.struct(status.alias("status"), value.alias("value"), after.alias("reg")))
+
+
+def code_only(text: Column) -> Column:
+    """C text with comments made a space, then strings and characters made empty, in this order."""
+    for pattern, to in ((r"(?s)/\*.*?\*/", " "), (r"//[^\n]*", " "), (r'(?s)"(?:\\[^\n]|[^"\\])*+"', '""'), (r"(?s)'(?:\\[^\n]|[^'\\])*+'", "''")):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def call_count(code: Column, names: tuple[str, ...]) -> Column:
+    """How many calls of any of the names a text has."""
+    return F.regexp_count(code, F.lit(r"(?U)\b(?:" + "|".join(sorted(names)) + r")\s*\("))

@@ -90,3 +90,43 @@ def dominators(edges: DataFrame, graph: str, src: str, dst: str, entry: str) ->
 
     return edges.select(graph, src, dst, entry).groupBy(graph).applyInPandas(run, schema)
 
+
+
+def callback_entries(refs: DataFrame, callees: DataFrame, targets: DataFrame, place: list[str], symbol: str) -> DataFrame:
+    """The target symbols that some reference names other than as what is called, one row each."""
+    return refs.join(callees.select(*place), place, "left_anti").join(targets.select(symbol), symbol, "left_semi").select(symbol).distinct()
+
+
+def resolved_edges(sites: DataFrame, functions: DataFrame) -> DataFrame:
+    """(caller, callee, unit, target_unit, how) for each call site (caller, callee, symbol, unit).
+
+    ``functions`` has (symbol, name, unit), names and symbols once per unit. A site goes to
+    the function of its symbol; without one, to the only function of its name; ``how`` is
+    ``same unit``, ``other unit`` or, without either, ``unresolved``.
+    """
+    by_symbol = functions.groupBy("symbol").agg(F.min("unit").alias("_s"))
+    by_name = functions.groupBy(F.col("name").alias("callee")).agg(F.min("unit").alias("_n"), F.count(F.lit(1)).alias("_c")).where("_c = 1").drop("_c")
+    joined = sites.join(by_symbol, "symbol", "left").join(by_name, "callee", "left").withColumn("target_unit", F.coalesce("_s", "_n"))
+    how = F.when(F.col("target_unit").isNull(), "unresolved").when(F.col("target_unit") == F.col("unit"), "same unit").otherwise("other unit")
+    return joined.select("caller", "callee", "unit", "target_unit", how.alias("how"))
+
+
+def pruned(nodes: DataFrame, module: list[str], keep) -> DataFrame:
+    """The leaves of op trees for which ``keep`` is true, and the conditions and sequences that lead to one.
+
+    Needs node_id, parent_id, depth and kind. What is in a loop goes with the loop. One
+    join for each level of nesting, up and then down.
+    """
+    inner = F.col("kind").isin("Cond", "Seq")
+    leaf = F.coalesce(keep, F.lit(False)) & ~F.col("kind").isin("Cond", "Seq", "Loop")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    at = lambda d: nodes.where(F.col("depth") == d)
+    levels = {deepest: at(deepest).where(leaf)}
+    for d in range(deepest - 1, -1, -1):
+        parents = levels[d + 1].select(*module, F.col("parent_id").alias("node_id"))
+        levels[d] = at(d).where(leaf).unionByName(at(d).where(inner).join(parents, [*module, "node_id"], "left_semi"), allowMissingColumns=True)
+    out = above = levels[0]
+    for d in range(1, deepest + 1):
+        above = levels[d].join(above.select(*module, F.col("node_id").alias("parent_id")), [*module, "parent_id"], "left_semi")
+        out = out.unionByName(above)
+    return out.select(*nodes.columns)

@@ -146,3 +146,19 @@ def compile_commands(files: DataFrame, text: str = "text", directory: str = "dir
     first = each.groupBy("source").agg(F.min_by(F.struct("_a", "_c", "directory", "command_sha256"), F.struct("_d", "_i")).alias("f")).select("source", "f.*")
     split = F.udf(_split, "array<string>")
     return first.select("source", F.coalesce("_a", split(F.when(F.col("_a").isNull(), F.coalesce("_c", F.lit(""))))).alias("tokens"), "directory", "command_sha256")
+
+
+def manifests(files: DataFrame, key: str, text: str = "text", directory: str = "directory", least: int = 4) -> DataFrame:
+    """(key, name, sources, build_file, problem) of manifests of several sources; paths start at the folder in ``directory``.
+
+    ``problem`` is the first that holds of ``not a manifest``, ``schema``, ``name``, ``too few
+    sources`` (fewer than ``least``) and ``not C``; null for a manifest that is fine.
+    """
+    m = F.from_json(F.col(text), "schema int, name string, sources array<string>, kbuild string")
+    paths = F.transform("_m.sources", lambda s: normal_path(s, F.col(directory)))
+    problem = (
+        F.when(F.col("_m.sources").isNull(), "not a manifest").when(~F.col("_m.schema").eqNullSafe(F.lit(1)), "schema").when(F.coalesce(F.col("_m.name"), F.lit("")) == "", "name")
+        .when(F.size("_m.sources") < least, "too few sources").when(~F.forall("_m.sources", lambda s: F.coalesce(s.endswith(".c"), F.lit(False))), "not C")
+    )
+    read = files.select(key, directory, m.alias("_m"))
+    return read.select(key, F.col("_m.name").alias("name"), paths.alias("sources"), F.when(F.col("_m.kbuild").isNotNull(), normal_path(F.col("_m.kbuild"), F.col(directory))).alias("build_file"), problem.alias("problem"))

@@ -6,7 +6,9 @@ from 1. Patterns use Unicode classes. Null texts have no lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.traces import segments
@@ -113,3 +115,46 @@ def listed_modules(files: DataFrame, registers: DataFrame, key: str, text: str =
     each = placed.withColumn("_ops", F.when(F.col("kind") == "RMW", F.array(one("R"), one("W"))).otherwise(F.array(F.struct("kind", "offset"))))
     per = each.groupBy(key, "module", "_m").agg(F.array_sort(F.collect_list(F.struct("_i", "_ops"))).alias("_o"))
     return per.groupBy(key, "module").agg(F.max_by("_o", "_m").alias("_o")).select(key, "module", F.flatten(F.col("_o._ops")).alias("ops"))
+
+
+def value_traces(lines: DataFrame, log: str, tag: str, line_no: str = "line_no", text: str = "text") -> DataFrame:
+    """(log, line_no, call_no, module, kind, name, offset, value) of what calls do between fences.
+
+    Lines ``[tag-begin]`` and ``[tag-end]`` fence off what counts; ``[tag] module`` starts
+    a call, numbered from 1 in each log, and what follows belongs to it up to the next
+    call or the end fence. ``kind`` is R or W for ``[trace n] R 0x.. = 0x..``, ``result``
+    for ``[tag-result] 0x..``, and ``output`` and ``state`` for ``name=0x..`` pairs after
+    ``[tag-output]`` and ``[tag-state]``, one row per pair. A call without any such line has
+    one row with a null kind. Values beyond 63 bits are their bit patterns.
+    """
+    t, q = F.col(text), re.escape(tag)
+    flagged = lines.select(
+        log, line_no, t.alias("_t"), F.when(F.contains(t, F.lit(f"[{tag}-begin]")), 1).when(F.contains(t, F.lit(f"[{tag}-end]")), 0).alias("_fence"),
+        _group(t, rf"\[{q}\]\s+([A-Za-z_]\w*)", 1).alias("_module"),
+    )
+    so_far = Window.partitionBy(log).orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
+    on = flagged.withColumn("_on", F.last("_fence", True).over(so_far) == 1).withColumn("_ends", F.sum(F.when(F.col("_fence") == 0, 1).otherwise(0)).over(so_far))
+    starts = F.col("_on") & F.col("_fence").isNull() & F.col("_module").isNotNull()
+    since = Window.partitionBy(log, "_ends").orderBy(line_no).rowsBetween(Window.unboundedPreceding, 0)
+    called = on.withColumn("_start", F.coalesce(starts, F.lit(False))).withColumn("call_no", F.sum(F.col("_start").cast("bigint")).over(so_far))
+    called = called.withColumn("module", F.last(F.when(F.col("_start"), F.col("_module")), True).over(since)).where(F.col("_on") & F.col("_fence").isNull() & F.col("module").isNotNull())
+    line = F.col("_t")
+    access, result = r"\[trace\s+\d+\]\s+(R|W)\s+0x([0-9a-fA-F]+)\s+=\s+0x([0-9a-fA-F]+)", rf"\[{q}-result\]\s+0x([0-9a-fA-F]+)"
+    pair = r"([A-Za-z_]\w*)=0x([0-9a-fA-F]+)"
+    bits = lambda x: F.conv(x, 16, -10).try_cast("bigint")
+
+    def item(kind, name, offset, value):
+        return F.struct(kind.alias("kind"), name.cast("string").alias("name"), offset.cast("bigint").alias("offset"), value.alias("value"))
+
+    none = F.lit(None)
+    found = F.regexp_extract_all(line, F.lit(pair), F.lit(0))
+    after = lambda k: F.transform(found, lambda x: item(F.lit(k), F.regexp_extract(x, pair, 1), none, bits(F.regexp_extract(x, pair, 2))))
+    items = (
+        F.when(F.col("_start"), F.array(item(none.cast("string"), none, none, none.cast("bigint"))))
+        .when(line.rlike(access), F.array(item(F.regexp_extract(line, access, 1), none, bits(F.regexp_extract(line, access, 2)), bits(F.regexp_extract(line, access, 3)))))
+        .when(line.rlike(result), F.array(item(F.lit("result"), none, none, bits(F.regexp_extract(line, result, 1)))))
+        .when(F.contains(line, F.lit(f"[{tag}-output]")), after("output")).when(F.contains(line, F.lit(f"[{tag}-state]")), after("state"))
+    )
+    rows = called.select(log, line_no, "call_no", "module", "_start", F.inline(items))
+    alone = Window.partitionBy(log, "call_no")
+    return rows.withColumn("_n", F.count("kind").over(alone)).where(F.col("kind").isNotNull() | (F.col("_n") == 0)).select(log, line_no, "call_no", "module", "kind", "name", "offset", "value")
