@@ -132,13 +132,20 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = S
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([presence(t.as_py(), slot) for t in b.column(0)], pa.list_(pa.int64())), b.column(1)], ["on", "label"])
-
-    got = map_arrow(sample, rows_of, "on array<long>, label int").collect()
-    x = np.zeros((len(got), len(buckets)), np.float32)
+            packed = []
+            for t in b.column(0):
+                bits = np.zeros(kept, np.bool_)
+                bits[presence(t.as_py(), slot)] = True
+                packed.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1)], ["bits", "label"])
+
+    kept = len(buckets)
+    got = map_arrow(sample, rows_of, "bits binary, label int").collect()
+    x = np.empty((len(got), kept), np.float32)
     for i, r in enumerate(got):
-        x[i, r["on"]] = 1
-    w, b = logistic(x * ratio.astype(np.float32), np.array([r["label"] for r in got], np.float32), ridge)
+        x[i] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=kept)
+    x *= ratio.astype(np.float32)
+    w, b = logistic(x, np.array([r["label"] for r in got], np.float32), ridge)
     return Model(buckets, w * ratio, b)
 
 
