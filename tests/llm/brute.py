@@ -41,6 +41,30 @@ def classes(fps, distance=2):
     return {d: find(d) for d in ids}
 
 
+def shingles(text, words=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def similar_classes(texts, similarity=0.8):
+    """texts: {doc_id: text} to {doc_id: least doc_id of its class by Jaccard similarity of shingles}."""
+    sets, root = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 10 * both >= round(10 * similarity) * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in ids}
+
+
 def secrets(text):
     text = text or ""
     found = []

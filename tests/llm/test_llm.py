@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tracewell.llm import bpe, media, pii, positional, quality, registry, secrets, simhash, toxicity, urls, warc
+from tracewell.llm import bpe, media, pii, positional, quality, registry, secrets, shingles, simhash, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -73,6 +73,29 @@ def test_ball_links_find_all_close_pairs(spark, distance):
     assert {f: roots.get(f, f) for f in fps} == want
 
 
+def test_shingle_classes_equal_brute_force(spark, texts, odd, empty):
+    import corpus_pipeline as c
+
+    r = random.Random(3)
+    made = {}
+    for g in range(8):  # copies with words changed here and there, at similarities around 0.8
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([5, 9, 60, 400]))]
+        for k in range(12):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                w[r.randrange(len(w))] = f"x{r.randrange(5000)}"
+            made[10_000 + 100 * g + k] = " ".join(w) + (" one line that is in many texts of all kinds" if k % 2 else "")
+    every = {**texts, **made, 20_000: None, 20_001: " "}
+    docs = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    want = brute.similar_classes(every)
+    assert {x["doc_id"]: x["component_id"] for x in shingles.near_duplicates(docs).collect()} == want
+    kept = {x["doc_id"] for x in c.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {d for d, k in want.items() if d == k} and {1, 6} <= kept and not {177, 145} & kept
+    kept = shingles.one_per_class(odd)
+    assert kept.columns == odd.columns and {x["doc_id"] for x in kept.collect()} == {1, 3, None, 6, 7, 8}
+    assert shingles.near_duplicates(empty).count() == 0
+
+
 def test_spans(spark, texts, odd, empty):
     for name, f in (("op2_secrets", brute.secrets), ("op9_pii", brute.pii)):
         got = {r["doc_id"]: r for r in registry.QUERIES[name](spark, SF).collect()}
