@@ -127,6 +127,16 @@ def test_random_tokens_are_told_from_words(spark):
     assert sum("random" in got[i] for i in range(200)) > 150 and not any(got[1000 + i] for i in range(200))
 
 
+def test_a_hot_token_does_not_set_the_level(spark):
+    r = random.Random(7)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    some = ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(2000)]
+    docs = spark.createDataFrame([(t,) for t in some], "text string")
+    p = docs.select("text", F.expr(secrets._battery("array(named_struct('start', 0, 'stop', 40, 'text', text))") + "[0].p").alias("p"))
+    hot = p.where("p BETWEEN 0.35 AND 0.45").first()["text"]
+    assert secrets.levels(docs.union(spark.createDataFrame([(hot,)] * 1000, "text string"))) == secrets.levels(docs) == {("base64", 32): 0.02}
+
+
 def test_account_numbers_need_their_checksum(spark):
     good, bad = "pay to bank account GB82 WEST 1234 5698 7654 32 now", "pay to bank account GB83 WEST 1234 5698 7654 32 now"
     got = pii.scan(spark.createDataFrame([(1, good), (2, bad)], "doc_id long, text string")).orderBy("doc_id").collect()

@@ -75,13 +75,17 @@ def _band(n: str) -> str:
 def levels(docs: DataFrame, rate: float = 0.05) -> dict[tuple[str, int], float]:
     """The p-value from which a token counts as random, by encoding and band of lengths.
 
-    One pass over all texts. What reaches the driver is a histogram of at most
+    One pass over all texts. A token counts once, however often it is copied: copies are
+    one draw, and would else set the level for all. What reaches the driver is a histogram of at most
     4 encodings x 6 bands x 50 cells, whatever the corpus.
     """
     tokens = with_matches(docs.select(text_or_empty().alias("text")), "text", {"token": PATTERNS["token"]}).where("size(token) > 0")
     cells = (
-        tokens.select(F.explode(F.expr(_battery("token"))).alias("x"))
-        .groupBy(F.col("x.enc").alias("enc"), F.expr(_band("x.n")).alias("band"), F.expr("least(int(x.p * 50), 49)").alias("cell"))
+        tokens.select(F.explode("token").alias("t"))
+        .select(F.xxhash64("t.text").alias("digest"), F.explode(F.expr(_battery("array(t)"))).alias("x"))
+        .select("digest", F.col("x.enc").alias("enc"), F.expr(_band("x.n")).alias("band"), F.expr("least(int(x.p * 50), 49)").alias("cell"))
+        .distinct()
+        .groupBy("enc", "band", "cell")
         .count()
         .collect()
     )
