@@ -25,12 +25,14 @@ from tracewell.llm.common import map_arrow, staged, table, text_or_empty
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
+#: Over so many tasks the rows of one payload are dealt in joins.
+SALTS = 16
 CHUNK_SCHEMA = "record_id string, chunk_no int, n_chunks int, data binary, digest string"
 RECORD_SCHEMA = "page_id long, uri string, record_type string, refers_to long, length long, digest string"
 
 
-def record_id(page_id: int | None, digest: str, number: int = 0) -> str:
-    """A record's urn: the same page always has the same one."""
+def record_id(page_id: int | None, digest: str, number: int) -> str:
+    """A record's urn. ``number`` is that of the row, so that equal rows have records of their own."""
     return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{number}')}"
 
 
@@ -53,10 +55,10 @@ def header(page_id: int | None, uri: str | None, kind: str, refers_to: int | Non
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields if v is not None), "\r\n"]).encode()
 
 
-def record_chunks(page_id: int | None, uri: str | None, payload: memoryview, kind: str, refers_to: int | None, digest: str, chunk: int) -> Iterator[tuple]:
+def record_chunks(page_id: int | None, uri: str | None, payload: memoryview, kind: str, refers_to: int | None, digest: str, chunk: int, number: int = 0) -> Iterator[tuple]:
     """A record's chunks; a revisit has a header and no payload."""
     body = payload if kind == "response" else memoryview(b"")
-    rid = record_id(page_id, digest)
+    rid = record_id(page_id, digest, number)
     n = max(1, -(-len(body) // chunk))
     state = hashlib.sha1()
     for k in range(n):
@@ -67,13 +69,17 @@ def record_chunks(page_id: int | None, uri: str | None, payload: memoryview, kin
 
 
 class RecordError(ValueError):
-    """An archive whose chunks do not form whole records."""
+    """An archive whose chunks do not form whole records, or whose bytes do not have the digests stored with them."""
 
 
-def read_records(chunks: Iterable[tuple[str, int, int, bytes]]) -> Iterator[dict]:
-    """Records from chunk rows in order: header fields, with length and SHA-1 of the bytes read."""
+def read_records(chunks: Iterable[tuple[str, int, int, bytes, str]]) -> Iterator[dict]:
+    """Records from chunk rows in order: header fields, with length and SHA-1 of the bytes read.
+
+    The running digest is compared with the one stored in every chunk, and that of a
+    whole response with the digest and the length in its header.
+    """
     head: dict | None = None
-    for rid, number, n, data in chunks:
+    for rid, number, n, data, stored in chunks:
         view = memoryview(data)
         if number == 0:
             if head is not None:
@@ -92,10 +98,15 @@ def read_records(chunks: Iterable[tuple[str, int, int, bytes]]) -> Iterator[dict
         head["length"] += len(body)
         head["left"] -= len(body)
         head["next"] += 1
+        if head["sha1"].hexdigest() != stored:
+            raise RecordError(f"chunk {number} of {rid} does not have its stored digest")
         if number == n - 1:
             if head["left"] or bytes(view[len(body) :]) != _END:
                 raise RecordError(f"{rid} is cut short")
-            yield head | {"digest": head["sha1"].hexdigest()}
+            named = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+            if head["WARC-Type"] == "response" and (head["sha1"].hexdigest() != named or head["length"] != int(head["X-Payload-Length"])):
+                raise RecordError(f"{rid} does not have the payload its header names")
+            yield head | {"digest": named}
             head = None
     if head is not None:
         raise RecordError(f"{head['rid']} ends early")
@@ -105,34 +116,37 @@ def revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """(page_id, digest, refers_to) of the rows whose payload a larger page_id has as well.
 
     Payloads count as equal by SHA-1 and length, from ``least`` bytes on. Only ids,
-    digests and lengths are shuffled; a hot digest is pre-aggregated, and AQE splits it
-    in the join.
+    digests and lengths are shuffled. A hot digest is pre-aggregated, and its rows are
+    dealt over ``SALTS`` tasks in the join with the few digests that several ids have.
     """
     p = pages.select("page_id", F.encode(text_or_empty("html"), "UTF-8").alias("b")).select("page_id", F.sha1("b").alias("digest"), F.octet_length("b").alias("n"))
     p = p.where((F.col("n") >= least) & F.col("page_id").isNotNull())
-    last = p.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"))
-    return p.join(last, ["digest", "n"]).where(F.col("page_id") < F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
+    last = p.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first")).where(F.col("first") < F.col("refers_to"))
+    last = last.select("digest", "n", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return p.join(last, ["digest", "n", "salt"]).where(F.col("page_id") < F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archive(pages: DataFrame, chunk: int = 64 << 10, least: int = 1000) -> DataFrame:
     """The archive of ``pages`` (page_id, url, html): its chunk table, written and read anew.
 
-    Every row gives one record. Null html counts as empty; a null url has no
-    WARC-Target-URI; a null page_id is a response of its own. Rows that repeat a page_id
-    with the largest id of their payload are all responses.
+    Every row gives one record, repeated rows too: its id holds the row's number in the
+    scan. Null html counts as empty; a null url has no WARC-Target-URI; a null page_id is
+    a response of its own. Rows that repeat a page_id with the largest id of their
+    payload are all responses. Columns other than the three are not read.
     """
     r = revisits(pages, least).withColumnsRenamed({"page_id": "_p", "digest": "_d"})
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(text_or_empty("html"), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    rows = p.join(r, (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left").select("page_id", "url", "payload", "digest", "refers_to")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(text_or_empty("html"), "UTF-8").alias("payload"), F.monotonically_increasing_id().alias("number")).withColumn("digest", F.sha1("payload"))
+    rows = p.join(r, (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left").select("page_id", "url", "payload", "digest", "refers_to", "number")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "chunk_no", "n_chunks", "data", "digest"]
         types = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
         for b in batches:
             out, size = [], 0
-            for page_id, url, payload, digest, ref in zip(*b.columns):
+            for page_id, url, payload, digest, ref, number in zip(*b.columns):
                 ref = ref.as_py()
-                for c in record_chunks(page_id.as_py(), url.as_py(), memoryview(payload.as_buffer()), "response" if ref is None else "revisit", ref, digest.as_py(), chunk):
+                for c in record_chunks(page_id.as_py(), url.as_py(), memoryview(payload.as_buffer()), "response" if ref is None else "revisit", ref, digest.as_py(), chunk, number.as_py()):
                     out.append(c)
                     size += len(c[3])
                     if size >= 8 << 20:
@@ -149,14 +163,15 @@ def read_archive(archive: DataFrame) -> DataFrame:
 
     Records of one chunk are read where they lie. Chunks of larger ones are dealt by
     record and read in order, one chunk at a time. Length and digest are of the bytes
-    read; a revisit has none of its own, so they are null.
+    read and are checked against those that were stored; a revisit has the digest of the
+    payload it stands for, and no length of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks():
             for b in batches:
-                for rid, k, n, data in zip(*b.columns):
-                    yield rid.as_py(), k.as_py(), n.as_py(), data.as_py()
+                for row in zip(*b.columns):
+                    yield tuple(x.as_py() for x in row)
 
         def emit(rows):
             types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
@@ -166,26 +181,33 @@ def read_archive(archive: DataFrame) -> DataFrame:
         for h in read_records(chunks()):
             own = h["WARC-Type"] == "response"
             number = lambda k: int(h[k]) if k in h else None
-            rows.append((number("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], number("X-Refers-To-Page-ID"), h["length"] if own else None, h["digest"] if own else None))
+            rows.append((number("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], number("X-Refers-To-Page-ID"), h["length"] if own else None, h["digest"]))
             if len(rows) >= 5000:
                 yield emit(rows)
                 rows = []
         if rows:
             yield emit(rows)
 
-    cols = ["record_id", "chunk_no", "n_chunks", "data"]
+    cols = ["record_id", "chunk_no", "n_chunks", "data", "digest"]
     one = archive.where("n_chunks = 1").select(*cols)
     more = archive.where("n_chunks > 1").select(*cols).repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
     return map_arrow(one, run, RECORD_SCHEMA).unionByName(map_arrow(more, run, RECORD_SCHEMA))
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Give revisits the length and digest of the response that they refer to."""
+    """Give revisits the length of the response that they refer to.
+
+    That response has the page_id in question and the digest that the revisit carries; a
+    revisit without such a response is an error of the archive and keeps a null length.
+    Responses that many refer to are dealt over ``SALTS`` tasks.
+    """
     r = staged(records, "records")
-    own = r.where("record_type = 'response'")
-    target = own.where(F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("_p")).agg(F.max(F.struct("length", "digest")).alias("_t"))
-    back = r.where("record_type = 'revisit'").join(target, F.col("refers_to") == F.col("_p"), "left").select("page_id", "uri", "record_type", "refers_to", F.col("_t.length").alias("length"), F.col("_t.digest").alias("digest"))
-    return own.unionByName(back)
+    own, back = r.where("record_type = 'response'"), r.where("record_type = 'revisit'")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    asked = back.select(F.col("refers_to").alias("page_id"), "digest").distinct()
+    target = own.join(asked, ["page_id", "digest"]).groupBy("page_id", "digest").agg(F.max("length").alias("_n")).select(F.col("page_id").alias("refers_to"), "digest", "_n", salts)
+    back = back.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(target, ["refers_to", "digest", "salt"], "left")
+    return own.unionByName(back.select("page_id", "uri", "record_type", "refers_to", F.col("_n").alias("length"), "digest"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
