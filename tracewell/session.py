@@ -44,14 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "zstd", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts lineage.
 
     A lost executor costs only the tasks that it ran: what is staged is never recomputed.
-    The written table stays until the shared folder is cleaned, because the DataFrame
-    returned here is lazy.
+    The DataFrame returned here is lazy, so the table stays until the application ends;
+    the file system then deletes it. ``partition_by`` writes a folder for each value of a
+    column, so that a filter on it reads no others.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    w = df.write.option("compression", compression)
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have Hadoop's file system, which Spark writes through, delete a path when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
