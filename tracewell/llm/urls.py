@@ -4,24 +4,30 @@ A rule is a host and a path prefix. The rule's text, host followed by path, is h
 with XXH64; the sorted digests, the rule texts and their verdicts form one flat image
 that workers map into memory. A url asks for the digests of its host's suffixes
 combined with those prefixes of its path whose lengths occur among the rules; all
-questions of a batch are answered by one vectorised binary search. A hit counts only
+questions of a batch are answered by one vectorised binary search. Workers map the
+image's file read-only, so all Python processes of a machine share its pages. A hit counts only
 if the stored text equals the asked one, so colliding digests cannot decide a verdict.
 """
 
 from __future__ import annotations
 
-import mmap
+import hashlib
+import os
+import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import LOWER, UPPER, map_arrow, table
 
 SEED = 42
+#: Over so many tasks the urls that ask for one key are dealt in the join.
+SALTS = 8
 VERDICTS = ("block", "allow")
 #: The rules of the registered query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -47,7 +53,7 @@ def image(rules: Iterable[tuple[str, str, str]]) -> bytes:
 
 
 class Rules:
-    """A rule image, read through the buffer it lies in: a mapped file or mapped memory."""
+    """A rule image, read through the buffer it lies in, as a rule a mapped file."""
 
     def __init__(self, buffer):
         n = int(np.frombuffer(buffer, np.uint64, 1)[0])
@@ -64,13 +70,6 @@ class Rules:
         """Map an image file."""
         return cls(np.memmap(path, np.uint8, "r"))
 
-    @classmethod
-    def mapped(cls, data: bytes) -> Rules:
-        """Put an image into anonymous mapped memory of this process."""
-        m = mmap.mmap(-1, len(data))
-        m.write(data)
-        return cls(m)
-
     def text(self, i: int) -> bytes:
         return bytes(self.texts[int(self.offsets[i]) : int(self.offsets[i + 1])])
 
@@ -121,7 +120,23 @@ def parts(urls: DataFrame) -> DataFrame:
     )
 
 
-_mapped: dict[int, Rules] = {}
+_mapped: dict[str, Rules] = {}
+
+
+def ship_image(spark: SparkSession, data: bytes) -> str:
+    """Hand an image to all executors as a file, once for each content; returns its name.
+
+    Spark copies the driver's file to every executor, so the folders are not shared.
+    """
+    name = f"rules-{hashlib.sha256(data).hexdigest()[:32]}.img"
+    sent = spark.sparkContext.__dict__.setdefault("_tracewell_images", set())
+    if name not in sent:
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)
+        with open(path, "wb") as f:
+            f.write(data)
+        spark.sparkContext.addFile(path)
+        sent.add(name)
+    return name
 
 
 def judge(urls: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", max_image: int = 64 << 20) -> DataFrame:
@@ -129,21 +144,23 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], default: str = "al
 
     ``rule`` is host and path of the longest fitting rule, else null; ``verdict`` is the
     rule's, else ``default``. Null urls, and urls without ``://``, have an empty host
-    and fit no rule. The rules are a driver-side list; their image is broadcast and must
-    not exceed ``max_image`` bytes. For more rules use ``judge_by_join``. Rows are
-    neither merged nor moved.
+    and fit no rule. The rules are a driver-side list, in which a later rule replaces an
+    earlier one of the same host and path. Their image is copied to every executor and
+    must not exceed ``max_image`` bytes; for more rules ``judge_by_join`` gives the same
+    result. Rows are neither merged nor moved, repeated rows are returned as often as
+    they occur, other columns are not read, and an empty table gives no rows.
     """
     data = image(rules)
     if len(data) > max_image:
         raise ValueError("the rule image is over max_image; use judge_by_join")
-    shared = urls.sparkSession.sparkContext.broadcast(data)
+    name = ship_image(urls.sparkSession, data)
     key = urls.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(shared.value) not in _mapped:
+        if name not in _mapped:
             _mapped.clear()
-            _mapped[id(shared.value)] = Rules.mapped(shared.value)
-        r = _mapped[id(shared.value)]
+            _mapped[name] = Rules.open(SparkFiles.get(name))
+        r = _mapped[name]
         for b in batches:
             found = r.longest(b.column(1).to_pylist(), b.column(2).to_pylist())
             rule = pa.array([r.text(i).decode() if i >= 0 else None for i in found], pa.string())
@@ -155,13 +172,15 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], default: str = "al
 
 
 def judge_by_join(urls: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """The same result for any number of rules: ``rules`` (host, path, verdict) is a table.
+    """The same result for any number of rules: ``rules`` (host, path, verdict, ordinal) is a table.
 
-    Questions are made as in the image, with the path lengths of the rules (a set of
-    small integers), joined on the same XXH64 keys and confirmed by the stored text.
+    Of rules with the same host and path that with the greatest ordinal holds, as the
+    last one does in a list. Questions are made as in the image, with the path lengths of
+    the rules (a set of small integers), joined on XXH64 keys and confirmed by the stored
+    text. A key that many urls ask for is dealt over tasks by a salt.
     """
     key = urls.columns[0]
-    r = rules.select(F.translate("host", UPPER, LOWER).alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), F.col("verdict").alias("rv")).groupBy("rh", "rp").agg(F.max("rv").alias("rv"))
+    r = rules.select(F.translate("host", UPPER, LOWER).alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), F.col("verdict").alias("rv"), "ordinal").groupBy("rh", "rp").agg(F.max_by("rv", F.struct("ordinal", "rv")).alias("rv"))
     lengths = r.select(F.array_sort(F.collect_set(F.length("rp"))).alias("lengths"))
     u = parts(urls.select(key, "url")).select(key, "host", "path").withColumn("_row", F.monotonically_increasing_id())
     asked = u.crossJoin(F.broadcast(lengths)).select(  # one row: the set of lengths
@@ -169,12 +188,13 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, default: str = "allow") ->
         F.explode(F.expr("transform(sequence(1, size(split(host, '\\\\.'))), i -> array_join(slice(split(host, '\\\\.'), i, size(split(host, '\\\\.'))), '.'))")).alias("qh"),
         "path", "lengths",
     ).select("_row", "qh", F.explode(F.expr("transform(filter(lengths, n -> n <= length(path)), n -> substring(path, 1, n))")).alias("qp"))
+    salted = r.withColumn("rk", F.xxhash64(F.concat("rh", "rp"))).withColumn("rs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = (
-        asked.withColumn("k", F.xxhash64(F.concat("qh", "qp")))
-        .join(r.withColumn("rk", F.xxhash64(F.concat("rh", "rp"))), F.col("k") == F.col("rk"))
+        asked.where("qh <> ''").withColumn("k", F.xxhash64(F.concat("qh", "qp"))).withColumn("ks", F.pmod("_row", F.lit(SALTS)).cast("int"))
+        .join(salted, (F.col("k") == F.col("rk")) & (F.col("ks") == F.col("rs")))
         .where((F.col("qh") == F.col("rh")) & (F.col("qp") == F.col("rp")))
         .groupBy("_row")
-        .agg(F.max_by(F.struct("rh", "rp", "rv"), F.struct(F.length(F.concat("rh", "rp")), F.length("rh"))).alias("hit"))
+        .agg(F.max_by(F.struct("rh", "rp", "rv"), F.struct(F.octet_length(F.concat("rh", "rp")), F.octet_length("rh"))).alias("hit"))
     )
     return u.join(hits, "_row", "left").select(key, "host", "path", F.concat("hit.rh", "hit.rp").alias("rule"), F.coalesce("hit.rv", F.lit(default)).alias("verdict"))
 
