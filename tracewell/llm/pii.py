@@ -16,6 +16,12 @@ from tracewell.llm.secrets import joined
 from tracewell.llm.spans import with_matches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "card_short")
+#: Fixed by the standard: the length of an account number (IBAN) in each country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: Written so that no search retraces a long run: a match may start where no run is cut
 #: in two, or right after the match before it, and repeated groups are possessive.
 PATTERNS = {
@@ -23,7 +29,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
     "card_short": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])",
 }
 #: Score before context, and context words that support a kind.
@@ -69,7 +75,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Add to ``docs`` (doc_id, text, ...) the column ``pii``: spans of personal data.
 
     ``pii`` is an array of (kind, start, stop, score), by kind as listed in KINDS and
-    then start; places are code points, stop exclusive. A span of an added kind that
+    then start; places are code points, stop exclusive. An account number has the length
+    of its country, so what follows it is no part of it. A span of an added kind that
     overlaps a span of a fixed kind is left out. Null or empty texts have no spans;
     every row and column of ``docs`` is kept, and a column named ``pii`` is replaced.
     """
