@@ -33,20 +33,23 @@ def held_out(column: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
     """At most ``rows`` labelled documents for training, as (doc_id, text, label).
 
-    Rows of the held-out fold and rows without a label are left out first. The sample is
-    by hash of doc_id, so it is the same in every run. Several labels of one document
-    count as their maximum. The bound makes broadcasting the chosen ids safe.
+    Rows of the held-out fold, rows without a label and labels other than 0 and 1 are
+    left out first. The sample is by hash of doc_id, so it is the same in every run.
+    Several labels of one document count as their maximum; of several rows with one
+    doc_id the least text by its hash is taken, before anything is shuffled. The bound
+    makes broadcasting the chosen ids and collecting what is learned from them safe.
     """
     chosen = (
         labels.select("doc_id", F.col(target).cast("int").alias("label"))
-        .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
+        .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .where(~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("d")).select("doc_id", "d.text", "d.label")
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

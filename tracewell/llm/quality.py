@@ -150,7 +150,10 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled rows that are not held out; only their features are collected."""
+    """Fit on at most ``rows`` labelled rows that are not held out; only their features are collected.
+
+    Labels other than 0 and 1 count as missing.
+    """
     sample = staged(labelled_sample(docs, labels, target, rows).select("text", "label"), "quality-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row: one pass without a shuffle. Null texts count as empty."""
+    """(doc_id, score) for every row: one pass without a shuffle. Null texts count as empty.
+
+    Features beyond those of all labelled rows fall into the outermost bins. So texts of a
+    word or two, and very long ones, get what the nearest labelled texts contribute, and
+    empty ones, whose features are all zero, what the lowest bins do.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from tracewell.llm.common import held_out, labelled_sample, map_arrow, staged, t
 
 ORDERS = (3, 5, 7)
 BITS = 21
-#: At most so many labelled rows are learned from, and so many n-grams are kept.
+#: At most so many labelled rows are learned from, and so many n-grams are kept, out of 2 ** BITS buckets.
 SAMPLE_ROWS = 12000
 FEATURES = 1024
 _PIECE = 1 << 18
@@ -30,19 +30,20 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def hashed(text: str) -> Iterator[np.ndarray]:
     """Bucket numbers of all n-grams of a lower-cased text with a space at both ends.
 
-    N-grams are of UTF-8 bytes. Long texts come in pieces, so memory is bounded; pieces
+    N-grams are of code points. Long texts come in pieces, so memory is bounded; pieces
     overlap by the longest n-gram less one, so no n-gram is lost.
     """
-    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
-    for at in range(0, len(raw), _PIECE):
-        b = raw[at : at + _PIECE + max(ORDERS) - 1].astype(np.uint64)
-        packed = b.copy()
-        for n in range(2, max(ORDERS) + 1):
-            if len(b) < n:
+    most = max(ORDERS)
+    text = f" {text.lower()} "
+    for at in range(0, len(text), _PIECE):
+        c = np.frombuffer(text[at : at + _PIECE + most - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        gram = c.copy()
+        for n in range(2, most + 1):
+            if len(c) < n:
                 break
-            packed = packed[:-1] | b[n - 1 :] << np.uint64(8 * (n - 1))
+            gram = gram[:-1] * _MIX + c[n - 1 :]
             if n in ORDERS:
-                yield ((packed * _MIX) ^ (packed >> np.uint64(17)) * np.uint64(0xD6E8FEB86659FD93 + 2 * n)) >> np.uint64(64 - BITS)
+                yield ((gram ^ gram >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93 + 2 * n)) >> np.uint64(64 - BITS)
 
 
 def presence(text: str, slot: np.ndarray | None = None) -> np.ndarray:
@@ -101,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = S
 
     Tasks count, for each bucket, the toxic and the other documents that have it; the
     count vectors of 8 tasks are summed on the driver. N-grams are ranked by chi-squared
-    and the first ``features`` kept. Without any labelled row, or with one class only,
+    and the first ``features`` kept. Labels other than 0 and 1 count as missing. Without any labelled row, or with one class only,
     the model is the constant of the label's share.
     """
     sample = staged(labelled_sample(docs, labels, target, rows).select("text", "label"), "toxic-sample").repartition(8)
