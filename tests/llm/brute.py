@@ -1,7 +1,9 @@
 """Plain row-at-a-time versions of what the contracts say, for the tests."""
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 
 import xxhash
@@ -96,3 +98,54 @@ def pii(text):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def toxicity(model, text):
+    """The score as a sum over a set of n-grams, each hashed on its own."""
+    from tracewell.llm import toxicity as t
+
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    text, buckets, mask = f" {text.lower()} ", set(), (1 << 64) - 1
+    for n in t.ORDERS:
+        for gram in {text[i : i + n] for i in range(len(text) - n + 1)}:
+            h = ord(gram[0])
+            for c in gram[1:]:
+                h = (h * int(t._MIX) + ord(c)) & mask
+            buckets.add((((h ^ h >> 29) * (0xD6E8FEB86659FD93 + 2 * n)) & mask) >> (64 - t.BITS))
+    z = model.bias + sum(weight.get(b, 0.0) for b in buckets)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def quality(model, text):
+    """The score as a sum over table cells, each found by counting the edges below the feature."""
+    from tracewell.llm import quality as q
+
+    x = q.features(text)
+    at = [sum(e <= v for e in edges) for edges, v in zip(model.edges, x)]
+    z = model.bias + sum(t[i] for t, i in zip(model.tables, at)) + sum(t[at[i], at[j]] for i, j, t in model.pairs)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def media(raw):
+    """(payload sha256, media bytes, media sha256) of a payload stored as 8-bit samples."""
+    payload = raw + b" " * ((-len(raw)) % 192 or (192 if not raw else 0))
+    head = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload))
+    return hashlib.sha256(payload).hexdigest(), len(head + payload), hashlib.sha256(head + payload).hexdigest()
+
+
+def phrases(docs, items, window, slop):
+    """{doc_id: (n_hit, items, near)} by trying every window at every start."""
+    out = {}
+    wins = {i: [t.split()[k : k + window] for k in range(max(1, len(t.split()) - window + 1))] for i, t in items if t.split()}
+    for d, text in docs:
+        w, hit, exact, near = text.split(), set(), set(), set()
+        for i, ws in wins.items():
+            for p in ws:
+                for s in range(-slop, len(w) + slop):
+                    if s >= 0 and w[s : s + len(p)] == p:
+                        hit |= set(range(s, s + len(p)))
+                        exact.add(str(i))
+                    if all(t in w[max(0, s + k - slop) : max(0, s + k + slop + 1)] for k, t in enumerate(p)):
+                        near.add(str(i))
+        out[d] = (len(hit), sorted(exact), sorted(near))
+    return out
