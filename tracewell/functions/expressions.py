@@ -144,6 +144,6 @@ def site_id(*parts: Column) -> Column:
 
 
 def c_identifier(name: Column) -> Column:
-    """A name with all but letters, digits and underscores replaced, not starting with a digit."""
+    """A name with all but letters, digits and underscores replaced; empty, or before a digit, it is led by ``tu_``."""
     c = F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
-    return F.when(c.rlike("^[0-9]"), F.concat(F.lit("_"), c)).otherwise(c)
+    return F.when(c.rlike("^(?:[0-9]|$)"), F.concat(F.lit("tu_"), c)).otherwise(c)

@@ -22,12 +22,12 @@ def access_accounting(sites: DataFrame, ops: DataFrame, key: str, op_id: str, in
 
 
 def accounting_totals(accounted: DataFrame, without_evidence: Column) -> DataFrame:
-    """Counters by status, ``complete`` (nothing unaccounted, no stray operation) and ``strict_complete``."""
+    """Counters by status, ``complete`` (nothing unaccounted, no stray operation) and ``strict_complete`` (nothing filtered or unsupported either)."""
     n = {s: F.count_if(F.col("status") == s).alias(s) for s in ("emitted", "filtered", "unsupported", "unaccounted")}
     return accounted.agg(F.count(F.lit(1)).alias("source_accesses"), *n.values()).select(
         "*",
         ((F.col("unaccounted") == 0) & (without_evidence == 0)).alias("complete"),
-        ((F.col("unaccounted") == 0) & (without_evidence == 0) & (F.col("unsupported") == 0)).alias("strict_complete"),
+        ((F.col("unaccounted") == 0) & (without_evidence == 0) & (F.col("filtered") == 0) & (F.col("unsupported") == 0)).alias("strict_complete"),
     )
 
 
@@ -42,9 +42,9 @@ def unique_candidate(df: DataFrame, key: str, candidate: str) -> DataFrame:
 
 
 def primary_and_alternates(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in order, with the number of the others."""
-    w = Window.partitionBy(*key)
-    return df.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("alternates", F.count(F.lit(1)).over(w) - 1).where("_n = 1").drop("_n")
+    """The first row of each key in order, with the number of the others; pre-aggregated, so a hot key is no single task."""
+    got = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_f"), (F.count(F.lit(1)) - 1).alias("alternates"))
+    return got.select("_f.*", "alternates")
 
 
 def report_diff(base: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
