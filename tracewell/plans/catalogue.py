@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import facts, logs, programs, traces
+from tracewell.plans import accounts, facts, logs, programs, traces
 
-_MODULES = (traces, facts, logs, programs)
+_MODULES = (traces, facts, accounts, logs, programs)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
