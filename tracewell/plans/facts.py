@@ -317,9 +317,9 @@ def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, (l_orderkey & 255) | (CAST(l_linenumber AS BIGINT) << 8) AS v, xor(l_orderkey, l_partkey) AS x FROM lineitem")
 def expr_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = {n: F.expr("array(" + ", ".join("named_struct('tok', '{}', 'op', {}, 'ival', {}, 'name', {})".format(t, f"'{o}'" if o else "cast(null as string)", f"{i}L" if i is not None else "cast(null as bigint)", f"'{v}'" if v else "cast(null as string)") for t, o, i, v in E.parse(text)) + ")") for n, text in {"v": "key & 255 | line << 8", "x": "key ^ part"}.items()}
-    env = F.create_map(F.lit("key"), F.col("l_orderkey"), F.lit("line"), F.col("l_linenumber").cast("bigint"), F.lit("part"), F.col("l_partkey"))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[E.evaluate(t, env).alias(n) for n, t in tokens.items()])
+    env = {"key": F.col("l_orderkey"), "line": F.col("l_linenumber"), "part": F.col("l_partkey")}
+    made = {n: E.compiled(E.parse(t), env).alias(n) for n, t in {"v": "(key & 255) | (line << 8)", "x": "key ^ part"}.items()}
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *made.values())
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderkey < o_custkey ELSE true END AS less FROM orders")

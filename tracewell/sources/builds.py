@@ -6,13 +6,14 @@ shell command, and parsing an expression that is more than a literal.
 
 from __future__ import annotations
 
+import re
 import shlex
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import expressions as E
-from tracewell.session import ship
+from tracewell.functions.batches import batched
 
 #: Fixed by the command lines: flags followed by a path, prefixes of paths, flags and prefixes kept as they are.
 PATH_FLAGS = ("-I", "-isystem", "-include", "-imacros", "-iquote", "-idirafter")
@@ -48,18 +49,15 @@ def _literal(t: Column) -> Column:
 
 
 def _tokens(text: str | None):
-    try:
-        return E.parse(text)
-    except ValueError:  # a decimal with leading zeros
-        return None
+    # a decimal with leading zeros is no number of a definition
+    return None if text is None or re.search(r"(?<![\w.])0[0-9]", text) else E.parse(text)
 
 
 def int_value(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the value of a constant integer expression; null if it reads a name or divides."""
-    ship(df.sparkSession)
     t = F.trim(F.regexp_replace(F.col(text), _SUFFIX, "$1"))
     t = F.coalesce(_group(t, r"(?i)^HSOTG_REG\s*\((.+)\)$", 1), t)
-    parsed = F.udf(_tokens, f"array<{E.TOKEN}>")(F.when(int_literal(t).isNull(), t))
+    parsed = batched(_tokens, f"array<{E.TOKEN}>")(F.when(int_literal(t).isNull(), t))
     out = df.withColumn("_tok", parsed)
     constant = ~F.exists("_tok", lambda x: (x["tok"] == "Var") | ((x["tok"] == "Op") & (x["op"] == "Div")))
     value = F.when(constant, E.evaluate(F.col("_tok"), F.expr("cast(map() as map<string,bigint>)")))
@@ -138,13 +136,12 @@ def compile_commands(files: DataFrame, text: str = "text", directory: str = "dir
     ``directory`` names the column with the folder of the file, for entries without their own. Texts that
     are not such a database give no rows; an entry whose command has an open quote has null tokens.
     """
-    ship(files.sparkSession)
     entries = files.select(F.col(directory).alias("_d"), F.posexplode(F.from_json(F.col(text), _ENTRIES)).alias("_i", "_e"))
     home = F.coalesce(F.nullif(F.col("_e.directory"), F.lit("")), F.col("_d"))
     raw = F.coalesce(F.array_join(F.col("_e.arguments"), "\0"), F.col("_e.command"), F.lit(""))
     each = entries.select("_d", "_i", normal_path(F.coalesce(F.col("_e.file"), F.lit("")), home).alias("source"), home.alias("directory"), F.col("_e.arguments").alias("_a"), F.col("_e.command").alias("_c"), F.sha2(raw, 256).alias("command_sha256"))
     first = each.groupBy("source").agg(F.min_by(F.struct("_a", "_c", "directory", "command_sha256"), F.struct("_d", "_i")).alias("f")).select("source", "f.*")
-    split = F.udf(_split, "array<string>")
+    split = batched(_split, "array<string>")
     return first.select("source", F.coalesce("_a", split(F.when(F.col("_a").isNull(), F.coalesce("_c", F.lit(""))))).alias("tokens"), "directory", "command_sha256")
 
 

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.session import ship
+from tracewell.functions.batches import batched
 
 NODE = "module string, module_no int, node_id int, parent_id int, depth int, branch string, ord int, kind string, register string, offset bigint, var string"
 #: Fixed by the document format: the lists of child ops by kind of node, and their branches.
@@ -45,8 +45,7 @@ def op_nodes(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Trees nest to any depth, so each document is walked once in Python; nothing is shuffled.
     """
-    ship(documents.sparkSession)
-    nodes = F.udf(walk, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in NODE.split(', '))}>>")
+    nodes = batched(walk, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in NODE.split(', '))}>>")
     return documents.select(key, F.inline(nodes(F.col(text))))
 
 
