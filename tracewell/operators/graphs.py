@@ -7,20 +7,28 @@ shared folder, so a lost executor does not repeat earlier rounds.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.session import ship, staged
 
 
-def reach(edges: DataFrame, src: str, dst: str, rounds: int | None = None) -> DataFrame:
+#: Most edges of one graph whose dominators are computed.
+MAX_EDGES = 200_000
+
+
+def reach(edges: DataFrame, src: str, dst: str, rounds: int | None = None, roots: DataFrame | None = None) -> DataFrame:
     """(root, node, depth) for all nodes reachable from each root, at their least depth.
 
+    ``roots`` (root) are where to start; the result has at most one row for a root and a
+    node. Without it every node with an edge is a root, which only suits small graphs or
+    few ``rounds``. Backward reachability is the same with ``src`` and ``dst`` exchanged.
     Edges run within a graph key if they have one folded into the node ids. Cycles are
     safe: a frontier holds only pairs that were not seen before.
     """
     step = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where(F.col("_s").isNotNull() & F.col("_d").isNotNull()).distinct()
-    seen = frontier = staged(step.select(F.col("_s").alias("root"), F.col("_d").alias("node"), F.lit(1).alias("depth")), "reach")
+    first = step if roots is None else step.join(roots.select(F.col("root").alias("_s")).distinct(), "_s", "left_semi")
+    seen = frontier = staged(first.select(F.col("_s").alias("root"), F.col("_d").alias("node"), F.lit(1).alias("depth")), "reach")
     depth = 1
     while rounds is None or depth < rounds:
         depth += 1
@@ -39,6 +47,95 @@ def propagation(edges: DataFrame, src: str, dst: str, rounds: int) -> DataFrame:
     return per.withColumn("total_pairs", F.sum("new_pairs").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def summary_propagation(functions: DataFrame, calls: DataFrame, rounds: int) -> DataFrame:
+    """(depth, new_ops, total_ops): how many operations summaries of callees add, round by round.
+
+    ``functions`` has (symbol, own_ops), ``calls`` one (caller, callee) row for each call
+    site. In each round a call brings the operations that its callee had in the round
+    before; a function does not take in itself. Rounds end when no count changes.
+    """
+    own = functions.select("symbol", F.col("own_ops").cast("long").alias("own"))
+    sites = staged(calls.where("caller <> callee").groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("n")).join(own.select(F.col("symbol").alias("callee")), "callee", "left_semi"), "sites")
+    now = staged(own.withColumn("ops", F.col("own")), "summaries")
+    total = int(now.agg(F.sum("ops")).first()[0] or 0)
+    rows = [(0, total, total)]
+    for depth in range(1, rounds + 1):
+        brought = sites.join(now.select(F.col("symbol").alias("callee"), "ops"), "callee").groupBy(F.col("caller").alias("symbol")).agg(F.sum(F.col("n") * F.col("ops")).alias("_b"))
+        after = staged(now.join(brought, "symbol", "left").select("symbol", "own", (F.col("own") + F.coalesce("_b", F.lit(0))).alias("ops"), F.col("ops").alias("before")), "summaries")
+        before, (total, changed) = total, after.agg(F.coalesce(F.sum("ops"), F.lit(0)), F.count_if(F.col("ops") != F.col("before"))).first()
+        rows.append((depth, max(0, total - before), total))
+        now = after.drop("before")
+        if not changed:
+            break
+    return functions.sparkSession.createDataFrame(rows, "depth int, new_ops long, total_ops long")
+
+
+def pure_functions(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """(symbol, name) of the functions that only compute a value from pure functions.
+
+    ``functions`` has (symbol, name, return_expr, n_ops), ``calls`` (caller, callee): names
+    of what a function calls. To start with, functions count that return an expression,
+    have no operations and share their name with no other such function. Those go that
+    call what is not pure, or call it outside the returned expression, until none does.
+    """
+    some = functions.where("return_expr IS NOT NULL AND return_expr <> '' AND n_ops = 0")
+    once = some.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.first("symbol").alias("symbol"), F.first("return_expr").alias("return_expr")).where("_n = 1")
+    pure = staged(once.select("symbol", "name", "return_expr"), "pure")
+    outside = ~F.expr(r"return_expr RLIKE concat('\\b', callee, '\\s*\\(')")
+    left = pure.count()
+    while left:
+        asked = calls.select(F.col("caller").alias("symbol"), "callee").join(pure, "symbol")
+        bad = asked.join(pure.select(F.col("name").alias("callee"), F.lit(True).alias("_p")), "callee", "left").where(F.col("_p").isNull() | outside).select("symbol").distinct()
+        pure = staged(pure.join(bad, "symbol", "left_anti"), "pure")
+        before, left = left, pure.count()
+        if left == before:
+            break
+    return pure.select("symbol", "name")
+
+
+def inlined(ops: DataFrame, calls: DataFrame, depth: int = 3) -> DataFrame:
+    """(root, path, op, level): the operations of each function with those of what it calls, in order.
+
+    ``ops`` has (symbol, pos, op), ``calls`` (caller, pos, callee): where in the caller the
+    callee's operations belong. ``path`` is the array of places from the root down; sorting
+    by it gives the order. Calls are followed ``depth`` deep, and never into a function
+    that is being expanded already.
+    """
+    at = staged(ops.select(F.col("symbol").alias("root")).union(calls.select("caller")).distinct().select("root", F.col("root").alias("symbol"), F.expr("cast(array() AS array<int>)").alias("path"), F.array("root").alias("chain")), "inline")
+    out = None
+    for level in range(depth + 1):
+        here = at.join(ops, "symbol").select("root", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), "op", F.lit(level).alias("level"))
+        out = here if out is None else out.unionByName(here)
+        if level == depth:
+            break
+        down = at.join(calls, F.col("symbol") == F.col("caller")).where(~F.array_contains("chain", F.col("callee")))
+        at = staged(down.select("root", F.col("callee").alias("symbol"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), F.concat("chain", F.array("callee")).alias("chain")), "inline")
+        if at.isEmpty():
+            break
+    return out
+
+
+def called_helpers(calls: DataFrame, with_ops: DataFrame, entries: DataFrame) -> DataFrame:
+    """(symbol) of functions with operations that another one calls and that are no callback entries."""
+    other = calls.where("caller <> callee").select(F.col("callee").alias("symbol")).distinct()
+    return other.join(with_ops.select("symbol"), "symbol", "left_semi").join(entries.select("symbol"), "symbol", "left_anti")
+
+
+def target_calls(call_sites: DataFrame, functions: DataFrame) -> DataFrame:
+    """(caller, callee) for every call among the functions, each pair once."""
+    return call_sites.join(functions.select(F.col("symbol").alias("callee")), "callee", "left_semi").select("caller", "callee").distinct()
+
+
+def propagating_edges(edges: DataFrame, with_ops: DataFrame) -> DataFrame:
+    """The edges whose callee has operations."""
+    return edges.join(with_ops.select(F.col("symbol").alias("callee")), "callee", "left_semi").select("caller", "callee")
+
+
+def goto_kind(source_offset: Column, target_offset: Column) -> Column:
+    """goto-forward or goto-backward, by where the target lies; null if the target is unknown."""
+    return F.when(target_offset.isNotNull(), F.when(target_offset > source_offset, "goto-forward").otherwise("goto-backward"))
+
+
 def join_blocks(edges: DataFrame, graph: list[str], src: str, dst: str) -> DataFrame:
     """Nodes with more than one predecessor."""
     return edges.groupBy(*graph, dst).agg(F.count_distinct(src).alias("n_pred")).where("n_pred > 1")
@@ -73,13 +170,17 @@ def dominators(edges: DataFrame, graph: str, src: str, dst: str, entry: str) ->
 
     One Python call per graph: control-flow graphs are small, and there are many. ``entry``
     is a column with the graph's entry node. ``header`` marks targets of edges whose
-    source they dominate.
+    source they dominate. Post-dominators are the same with ``src`` and ``dst`` exchanged
+    and the exit for the entry. A graph of over ``MAX_EDGES`` edges is an error, since its
+    edges are gathered in one task.
     """
     ship(edges.sparkSession)
     schema = f"{graph} {dict(edges.dtypes)[graph]}, node string, idom string, dom_size int, header boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = {(str(a), str(b)) for a, b in zip(pdf[src], pdf[dst])}
+        if len(pdf) > MAX_EDGES:
+            raise ValueError(f"graph {pdf[graph].iloc[0]} has more than {MAX_EDGES} edges")
         first = str(pdf[entry].iloc[0])
         dom = _dominators(sorted({n for p in pairs for n in p} | {first}), pairs, first)
         rows = []
@@ -91,7 +192,6 @@ def dominators(edges: DataFrame, graph: str, src: str, dst: str, entry: str) ->
     return edges.select(graph, src, dst, entry).groupBy(graph).applyInPandas(run, schema)
 
 
-
 def callback_entries(refs: DataFrame, callees: DataFrame, targets: DataFrame, place: list[str], symbol: str) -> DataFrame:
     """The target symbols that some reference names other than as what is called, one row each."""
     return refs.join(callees.select(*place), place, "left_anti").join(targets.select(symbol), symbol, "left_semi").select(symbol).distinct()

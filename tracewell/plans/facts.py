@@ -103,7 +103,7 @@ def access_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_ACC} SELECT count(*) AS source_accesses, count(*) FILTER (status = 'emitted') AS emitted, count(*) FILTER (status = 'filtered') AS filtered, CAST(0 AS BIGINT) AS unsupported,
- count(*) FILTER (status = 'unaccounted') AS unaccounted, count(*) FILTER (status = 'unaccounted') = 0 AS complete, count(*) FILTER (status = 'unaccounted') = 0 AS strict_complete FROM a""")
+ count(*) FILTER (status = 'unaccounted') AS unaccounted, count(*) FILTER (status = 'unaccounted') = 0 AS complete, count(*) FILTER (status <> 'emitted') = 0 AS strict_complete FROM a""")
 def accounting_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.accounting_totals(_accounted(spark, sf_dir), F.lit(0))
 
@@ -131,9 +131,9 @@ def macro_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_wins(read(spark, sf_dir, "part"), "p_name", "p_retailprice", ["p_partkey"])
 
 
-@query("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@query("SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
 def unique_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.unique_candidate(read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
+    return R.unique_candidate(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
 
 
 @query("""SELECT c_nationkey, c_custkey, alternates FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_mktsegment = 'BUILDING'), c_mktsegment, c_custkey) AS n,
@@ -307,11 +307,39 @@ def joins_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.join_blocks(_transitions(spark, sf_dir), ["cohort"], "a", "b")
 
 
-@query(None)
+def _dominator_sql(src: str, dst: str, entry: str) -> str:
+    """d dominates n exactly if n is reached from the entry, but not without d."""
+    return f"""WITH RECURSIVE {_EDGES}, g AS (SELECT DISTINCT cohort FROM e), n AS (SELECT cohort, a AS x FROM e UNION SELECT cohort, b FROM e UNION SELECT cohort, '{entry}' FROM g),
+w AS (SELECT cohort, '' AS x FROM g UNION SELECT * FROM n), r AS (SELECT cohort, x AS d, '{entry}' AS node FROM w WHERE x <> '{entry}' UNION SELECT r.cohort, r.d, e.{dst} FROM r JOIN e ON r.cohort = e.cohort AND r.node = e.{src} AND e.{dst} <> r.d),
+live AS (SELECT cohort, node FROM r WHERE d = ''), dom AS (SELECT l.cohort, l.node, m.node AS d FROM live l JOIN live m ON l.cohort = m.cohort LEFT JOIN r ON r.cohort = l.cohort AND r.d = m.node AND r.node = l.node WHERE r.node IS NULL),
+s AS (SELECT cohort, node, count(*) AS size FROM dom GROUP BY 1, 2)
+SELECT s.cohort, s.node, (SELECT arg_max(d, z.size) FROM dom JOIN s z ON z.cohort = dom.cohort AND z.node = dom.d WHERE dom.cohort = s.cohort AND dom.node = s.node AND dom.d <> s.node) AS idom, CAST(s.size AS INT) AS dom_size,
+ EXISTS (SELECT 1 FROM e JOIN dom ON dom.cohort = e.cohort AND dom.node = e.{src} AND dom.d = s.node WHERE e.cohort = s.cohort AND e.{dst} = s.node) AS header FROM s"""
+
+
+@query(_dominator_sql("a", "b", "signup"))
 def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dominators(_transitions(spark, sf_dir).withColumn("entry", F.lit("signup")), "cohort", "a", "b", "entry")
 
 
+_CHAIN = "e AS (SELECT DISTINCT user_id % 10 AS cohort, CAST(event_id % 40 AS VARCHAR) AS a, CAST((event_id % 40 * (3 + user_id % 10) + 1) % (30 + user_id % 10) AS VARCHAR) AS b FROM events WHERE event_id % 40 < 30)"
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").where("event_id % 40 < 30").selectExpr("user_id % 10 AS cohort", "cast(event_id % 40 AS string) AS a", "cast((event_id % 40 * (3 + user_id % 10) + 1) % (30 + user_id % 10) AS string) AS b")
+    return e.distinct()
+
+
+@query(_dominator_sql("a", "b", "0").replace(_EDGES, _CHAIN))
+def chain_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.dominators(_sparse(spark, sf_dir).withColumn("entry", F.lit("0")), "cohort", "a", "b", "entry")
+
+
+@query(_dominator_sql("b", "a", "7").replace(_EDGES, _CHAIN))
+def postdominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.dominators(_sparse(spark, sf_dir).withColumn("exit", F.lit("7")), "cohort", "b", "a", "exit")
+
+
 # ---------------------------------------------------------------- expressions
 
 
