@@ -1,4 +1,4 @@
-"""Python functions on columns, run on Arrow batches; each distinct input of a batch is computed once."""
+"""Python functions on columns, run on Arrow batches; inputs that repeat within a task are computed once."""
 
 from __future__ import annotations
 
@@ -14,6 +14,10 @@ from pyspark.sql.types import _parse_datatype_string
 from tracewell.session import ship
 
 
+#: Inputs whose results a task keeps; it forgets them all between batches beyond that.
+MOST_KNOWN = 20_000
+
+
 def _frozen(x: Any) -> Any:
     if isinstance(x, (list, tuple)):
         return tuple(map(_frozen, x))
@@ -39,7 +43,7 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
     """``function`` of plain Python values as a function of columns that returns the SQL type ``returns``.
 
     Maps arrive as lists of pairs. Structs are returned as tuples in the order of their
-    fields. The function must be pure: equal inputs of a batch share one call.
+    fields. The function must be pure: equal inputs share one call.
     """
 
     def call(*columns: Column) -> Column:
@@ -48,9 +52,12 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
             ship(spark)
         kind = to_arrow_type(_parse_datatype_string(returns))
 
+        known: dict[Any, Any] = {}  # each task has its own copy
+
         def run(*arrays: pa.Array) -> pa.Array:
-            known: dict[Any, Any] = {}
             out = []
+            if len(known) > MOST_KNOWN:
+                known.clear()
             for row in zip(*(a.to_pylist() for a in arrays)):
                 key = _frozen(row)
                 if key not in known:
