@@ -70,12 +70,6 @@ def resolved_sources(requests: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.col("_s").alias("sources"), F.col("_n").alias("name"), descriptor.alias("descriptor"), problem.alias("problem"))
 
 
-def kbuild_command(text: Column) -> Column:
-    """The compile command of a saved build command file, up to its first semicolon; null without one."""
-    raw = F.nullif(F.regexp_extract(text, r"(?m)^(?:savedcmd_|cmd_)[^\n]*?:=[ \t]*(.*)$", 1), F.lit(""))
-    return F.trim(F.substring_index(F.trim(raw), ";", 1))
-
-
 def compile_contexts(sources: DataFrame, databases: DataFrame, kbuild: DataFrame, mode: str = "auto") -> DataFrame:
     """(source, command, origin, problem): of each source the command of its compile database, else of its saved build command.
 
@@ -323,3 +317,29 @@ def first_hits(files: DataFrame, identifiers: list[str], key: str, text: str = "
     line = lambda p: F.length(F.regexp_replace(F.substring(t, F.lit(1), p - 1), r"[^\n]", "")) + 1
     hits = F.array(*[F.when(place(i) > 0, F.struct(F.lit(i).alias("identifier"), line(place(i)).alias("line"))) for i in identifiers])
     return files.select(key, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select(key, "h.*")
+
+
+def case_profiles(cases: DataFrame, recipes: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``cases`` with the columns of the profile that their recipe names; null without a recipe or a profile."""
+    return cases.join(recipes.select("case_id", "profile"), "case_id", "left").join(profiles, "profile", "left")
+
+
+def run_rows(cases: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """One row a case with a struct column for each part (metrics, score, accounting and the like).
+
+    A part without the case is null, and ``failed`` names it; so a case whose run broke off
+    keeps its row. Each part has the case at most once.
+    """
+    out = cases
+    for name, part in parts.items():
+        out = out.join(part.select(key, F.struct(*[c for c in part.columns if c != key]).alias(name)), key, "left")
+    return out.withColumn("failed", F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in parts])))
+
+
+def state_fields(variables: DataFrame, driver: str, known: dict[str, str]) -> DataFrame:
+    """(driver, field, type) of the device state that a program's expressions read: (driver, name) of their variables.
+
+    ``known`` has the type of each member that counts; a member is read as ``->member`` or ``.member``.
+    """
+    hits = F.array_compact(F.array(*[F.when(F.col("name").rlike(rf"(?:->|\.){f}\b"), F.struct(F.lit(f).alias("field"), F.lit(t).alias("type"))) for f, t in known.items()]))
+    return variables.select(driver, F.explode(hits).alias("h")).select(driver, "h.*").distinct()

@@ -11,6 +11,7 @@ from tracewell.operators import oracles as O
 from tracewell.plans import contracts as C
 from tracewell.plans.registry import collector
 from tracewell.plans.traces import read
+from tracewell.sources.logs import build_command
 
 QUERIES, ORACLE_SQL, query = collector()
 
@@ -66,7 +67,7 @@ def compile_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("source"))
     text = F.when(F.col("source") % 3 < 2, _text("x := y\nsavedcmd_k.o := gcc -O2 -c k", F.col("source"), ".c ; ./objtool\nother := 1\n")).otherwise("nothing := here")
     db = s.where("source % 3 = 0").select("source", _text("cc -c db", F.col("source")).alias("command"))
-    return P.compile_contexts(s, db, s.select("source", P.kbuild_command(text).alias("command")), "required").withColumnRenamed("source", "s_suppkey")
+    return P.compile_contexts(s, db, s.select("source", build_command(text).alias("command")), "required").withColumnRenamed("source", "s_suppkey")
 
 
 @query("""WITH c AS (SELECT l_orderkey AS f, count(*) FILTER (l_partkey % 3 < 2) AS n, max(CASE WHEN l_partkey % 3 < 2 THEN l_suppkey END) AS s, max(CASE WHEN l_partkey % 3 < 2 THEN l_partkey % 3 END) AS k, max(CASE WHEN l_partkey % 3 < 2 AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END) AS g FROM lineitem GROUP BY 1)
