@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tracewell.operators.traces import align_calls, greedy_prefix
 
 VARIANTS = "array<array<struct<kind:string,offset:bigint>>>"
+#: Variants multiply with every condition; a module with more is an error of its own.
+MOST_VARIANTS = 65_536
 _ONE_EMPTY = f"CAST(array(array()) AS {VARIANTS})"
 _NODES = "array<struct<ord:int,node_id:int,v:{}>>".format(VARIANTS)
 
@@ -20,7 +22,12 @@ _NODES = "array<struct<ord:int,node_id:int,v:{}>>".format(VARIANTS)
 def _product(children: Column) -> Column:
     """All concatenations of one variant of each child, in order, the first of equal ones kept."""
     ordered = F.array_sort(F.coalesce(children, F.expr(f"CAST(array() AS {_NODES})")))
-    joined = F.aggregate(ordered, F.expr(_ONE_EMPTY), lambda acc, c: F.flatten(F.transform(acc, lambda p: F.transform(c["v"], lambda s: F.concat(p, s)))))
+
+    def joined_with(acc: Column, c: Column) -> Column:
+        every = F.flatten(F.transform(acc, lambda p: F.transform(c["v"], lambda s: F.concat(p, s))))
+        return F.when(F.size(acc) * F.size(c["v"]) > MOST_VARIANTS, F.raise_error(F.lit(f"a module has more than {MOST_VARIANTS} variants"))).otherwise(every)
+
+    joined = F.aggregate(ordered, F.expr(_ONE_EMPTY), joined_with)
     return F.array_distinct(joined)
 
 
