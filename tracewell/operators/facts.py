@@ -343,3 +343,41 @@ def state_fields(variables: DataFrame, driver: str, known: dict[str, str]) -> Da
     """
     hits = F.array_compact(F.array(*[F.when(F.col("name").rlike(rf"(?:->|\.){f}\b"), F.struct(F.lit(f).alias("field"), F.lit(t).alias("type"))) for f, t in known.items()]))
     return variables.select(driver, F.explode(hits).alias("h")).select(driver, "h.*").distinct()
+
+
+def instantiated(calls: DataFrame, ops: DataFrame, functions: DataFrame) -> DataFrame:
+    """(call columns, pos, kind, address, value, guard): a callee's operations with its parameters replaced by the arguments of each call.
+
+    ``calls`` has (callee, args), ``functions`` (symbol, params: names), ``ops`` (symbol,
+    pos, kind, address, value, guard). A call with fewer arguments than parameters leaves
+    the rest as they are; names of members are never replaced.
+    """
+    from tracewell.functions.cexpr import substituted_column
+
+    f = functions.select(F.col("symbol").alias("callee"), "params")
+    n = F.least(F.size("params"), F.size("args"))
+    mapping = F.map_from_arrays(F.slice("params", F.lit(1), n), F.slice("args", F.lit(1), n))
+    got = calls.join(f, "callee").withColumn("_m", mapping).join(ops.withColumnRenamed("symbol", "callee"), "callee")
+    return got.select(*calls.columns, "pos", "kind", *[substituted_column(F.col(c), F.col("_m")).alias(c) for c in ("address", "value", "guard")])
+
+
+def guard_issues(cases: DataFrame, files: DataFrame, inventory: DataFrame, allowed: DataFrame, first_run: str) -> DataFrame:
+    """(issue) of a frozen holdout: sources that changed or are gone, identifiers in protected files, specialisations beyond the allowed.
+
+    ``cases`` has (case_id, source_sha256, text, identifiers), a bounded manifest; ``files``
+    (path, text) are the protected ones; ``inventory`` and ``allowed`` have (category,
+    value). ``first_run`` has to be one of the cases.
+    """
+    actual = F.sha2(F.col("text").cast("binary"), 256)
+    drift = F.when(F.col("text").isNull(), F.concat(F.lit("missing holdout source of "), F.col("case_id"))).when(actual != F.col("source_sha256"), F.concat(F.lit("source hash drift for "), F.col("case_id")))
+    out = cases.select(drift.alias("issue")).where("issue IS NOT NULL")
+    names = [r[0] for r in cases.select(F.explode("identifiers").alias("i")).distinct().orderBy("i").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("guard_issues takes at most 1,000 identifiers")
+    if names:
+        hits = first_hits(files, names, "path")
+        out = out.unionByName(hits.select(F.format_string("holdout specialization %s in %s:%d", "identifier", "path", "line").alias("issue")))
+    extra = inventory.join(allowed, ["category", "value"], "left_anti").groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("v"))
+    out = out.unionByName(extra.select(F.format_string("new %s specialization(s): %s", "category", "v").alias("issue")))
+    known = cases.agg(F.coalesce(F.bool_or(F.col("case_id") == first_run), F.lit(False)).alias("ok"))
+    return out.unionByName(known.where("NOT ok").select(F.lit("holdout cases or first_run are invalid").alias("issue")))

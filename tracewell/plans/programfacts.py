@@ -299,3 +299,24 @@ def callback_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("k"), F.col("p_size").alias("v"), "p_partkey")
     return O.merged_first([p.where("p_partkey % 3 = 0"), p.where("p_partkey % 2 = 0")], "k", "v")
+
+
+@query("""SELECT o_orderkey, CAST(0 AS INT) AS pos, 'Write' AS kind, '(d' || o_custkey || ') + REG' AS address, 'v' || o_orderkey || ' | p->v' AS value, CASE WHEN o_orderkey % 2 = 0 THEN 'c' ELSE 'on' END AS guard FROM orders WHERE o_orderkey % 3 > 0""")
+def instantiated_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    args = F.array(_text("(d", F.col("o_custkey"), ")"), _text("v", k), F.lit("c"))
+    calls = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 > 0, "set").otherwise("unknown").alias("callee"), F.when(k % 2 == 0, args).otherwise(F.slice(args, 1, 2)).alias("args"))
+    functions = spark.range(1).select(F.lit("set").alias("symbol"), F.array(F.lit("dev"), F.lit("v"), F.lit("on")).alias("params"))
+    ops = spark.range(1).select(F.lit("set").alias("symbol"), F.lit(0).alias("pos"), F.lit("Write").alias("kind"), F.lit("dev + REG").alias("address"), F.lit("v | p->v").alias("value"), F.lit("on").alias("guard"))
+    return P.instantiated(calls, ops, functions).select("o_orderkey", "pos", "kind", "address", "value", "guard")
+
+
+@query("""SELECT 'source hash drift for c' || s_suppkey AS issue FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'missing holdout source of c' || s_suppkey FROM supplier WHERE s_suppkey % 4 = 1
+UNION ALL SELECT 'holdout specialization my_dev in f' || n_nationkey || ':2' FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'new drivers specialization(s): x1, x3'""")
+def guard_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    text = F.when(k % 4 != 1, _text("int x", k, ";"))
+    cases = read(spark, sf_dir, "supplier").select(_text("c", k).alias("case_id"), F.sha2(F.concat(text, F.when(k % 4 == 0, " ").otherwise("")).cast("binary"), 256).alias("source_sha256"), text.alias("text"), F.array(F.lit("my_dev")).alias("identifiers"))
+    files = read(spark, sf_dir, "nation").select(_text("f", F.col("n_nationkey")).alias("path"), F.when(F.col("n_nationkey") % 5 == 0, "int a;\nuse(my_dev);").otherwise("not_my_device my_dev1").alias("text"))
+    values = spark.range(1, 4).select(F.lit("drivers").alias("category"), _text("x", F.col("id")).alias("value"))
+    return P.guard_issues(cases, files, values, values.where("value = 'x2'"), "c2")
