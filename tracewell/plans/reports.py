@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions import rules as R
 from tracewell.operators import facts as P
+from tracewell.operators import graphs as G
+from tracewell.operators import oracles as O
 from tracewell.operators import quality as Q
 from tracewell.operators import traces as T
 from tracewell.plans import contracts as C
 from tracewell.plans.accounts import _MODULES, _SCORED
 from tracewell.plans.registry import collector
 from tracewell.plans.traces import read
+from tracewell.sources import builds as B
 from tracewell.sources import listings as K
 from tracewell.sources import logs as L
+from tracewell.sources import programs as D
 from tracewell.sources import reports as W
 
 QUERIES, ORACLE_SQL, query = collector()
@@ -84,3 +89,64 @@ def state_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = C.pick(("dev->version", "v.ready & v->features", "version"), "c_custkey")
     v = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("driver"), name.alias("name"))
     return P.state_fields(v, "driver", {"version": "UInt", "ready": "Bool", "features": "UInt64"}).select("driver", "field")
+
+
+def _text(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query("""SELECT p_partkey, 'g->base=' || (p_size % 4) || ',x=1' AS bindings, CASE WHEN p_size % 3 > 0 THEN '4660,' || p_partkey END AS ids, p_size % 2 = 0 AS listed, 3 AS lines, 2 AS non_blank, 'a();' || chr(10) || 'c();' || chr(10) AS cleaned, 2 AS calls FROM part""")
+def source_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resource indexes, device ids, build lists, line counts, dropped calls and counted calls of source texts."""
+    k, m = F.col("p_partkey"), F.col("p_size")
+    bind = R.resource_bindings(_text("x = devm_platform_ioremap_resource(pdev, 0);\n g -> base = devm_platform_ioremap_resource(pdev, ", m % 4, ");\nx = devm_platform_ioremap_resource(pdev, 1);"))
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries(bind), lambda e: _text(e["key"], "=", e["value"]))), ",")
+    ids = R.device_ids(_text("{ PCI_DEVICE(0x1234, ", F.when(m % 3 > 0, "MY_DEV").otherwise("OTHER"), ") }"), F.create_map(F.lit("MY_DEV"), k))
+    lines = R.line_counts(F.lit("a\n\n b\n"))
+    code = R.code_only(F.lit('readl(x); /* readl(y) */ "readl(z)" ; // readl(w)\nwritel (1, x); my_readl(q);'))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", pairs.alias("bindings"), F.array_join(ids.cast("array<string>"), ",").alias("ids"), R.sources_listed(F.when(m % 2 == 0, "obj-y += a.o b.o").otherwise("obj-y += a.o"), F.array(F.lit("/k/a.c"), F.lit("/k/b.c"))).alias("listed"),
+        lines["lines"].alias("lines"), lines["non_blank"].alias("non_blank"), R.without_calls(_text("a();\n  writel(", k, ", base + DMA_LINE);\nc();\n"), "DMA_LINE").alias("cleaned"), R.call_count(code, ("readl", "writel")).alias("calls"),
+    )
+
+
+@query("""SELECT n_nationkey, '/k/d' || n_nationkey || '/a.c' AS source, 'gcc,-c,a b' AS tokens FROM nation UNION ALL SELECT n_nationkey, '/abs/b.c', CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation) THEN 'cc' END FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation)""")
+def compile_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    text = _text('[{"file": "a.c", "command": "gcc -c \'a b\'"}, {"file": "./a.c", "command": "second"}, {"file": "/abs/b.c", "arguments": ["cc"]}]')
+    files = read(spark, sf_dir, "nation").select("n_nationkey", text.alias("text"), F.format_string("/k/d%d", k).alias("directory"))
+    got = B.compile_commands(files).select("source", F.array_join("tokens", ",").alias("tokens"))
+    own = F.regexp_extract("source", r"^/k/d(\d+)/", 1)
+    least = files.agg(F.min("n_nationkey").alias("_k"))
+    return got.crossJoin(F.broadcast(least)).select(F.coalesce(F.nullif(own, F.lit("")).cast("bigint"), F.col("_k")).alias("n_nationkey"), "source", "tokens")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'not a manifest' WHEN 1 THEN 'schema' WHEN 2 THEN 'too few sources' WHEN 3 THEN 'not C' END AS problem, CASE WHEN n_nationkey % 5 = 4 THEN '/m/Kbuild' END AS build_file FROM nation""")
+def source_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("n_nationkey") % 5
+    ok = '{"schema": 1, "name": "n", "sources": ["a.c", "b.c", "c.c", "d.c"], "kbuild": "x/../Kbuild"}'
+    text = F.when(m == 0, "{}").when(m == 1, ok.replace("1,", "2,", 1)).when(m == 2, '{"schema": 1, "name": "n", "sources": ["a.c"]}').when(m == 3, ok.replace("b.c", "b.h")).otherwise(ok)
+    got = B.manifests(read(spark, sf_dir, "nation").select("n_nationkey", text.alias("text"), F.lit("/m").alias("directory")), "n_nationkey")
+    return got.select("n_nationkey", "problem", F.when(F.col("problem").isNull(), F.col("build_file")).alias("build_file"))
+
+
+_DOC = '{"register_map": [{"name": "CTRL", "offset": 4}], "modules": [{"name": "m", "ops": [{"Cond": {"then_ops": [{"Read": {"var": "a", "addr": {"Symbolic": {"register": "CTRL"}}}}], "else_ops": [{"Seq": {"ops": [{"Write": {"addr": {"Fixed": {"offset": %}}}}]}}]}}, {"Loop": {"body": [{"Read": {"addr": {"Symbolic": {"register": "NONE"}}}}]}}]}]}'
+
+
+@query("""SELECT n_nationkey, 'Cond:|Read:4|Seq:|Write:' || (n_nationkey * 4) || '|Loop:|Read:' AS nodes, CASE WHEN n_nationkey % 2 = 0 THEN 'Cond|Read' ELSE 'Cond|Seq|Write' END AS pruned FROM nation""")
+def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node tables of documents with the offsets of named registers, and what is left of them after a filter on leaves."""
+    head, tail = _DOC.split("%")
+    docs = read(spark, sf_dir, "nation").select("n_nationkey", _text(head, F.col("n_nationkey") * 4, tail).alias("text"))
+    nodes = D.placed(D.op_nodes(docs, "n_nationkey"), D.register_map(docs, "n_nationkey"), "n_nationkey")
+    listed = lambda df, t, name: df.groupBy("n_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("node_id", t.alias("t"))))["t"], "|").alias(name))
+    wanted = F.when(F.col("n_nationkey") % 2 == 0, F.col("kind") == "Read").otherwise(F.col("kind") == "Write")
+    left = G.pruned(nodes, ["n_nationkey", "module"], wanted)
+    return listed(nodes, _text(F.col("kind"), ":", F.coalesce(F.col("offset").cast("string"), F.lit(""))), "nodes").join(listed(left, F.col("kind"), "pruned"), "n_nationkey")
+
+
+@query("""SELECT mutation, cases, caught, cases = caught AS complete FROM (SELECT 'add' AS mutation, count(*) AS cases, count(*) AS caught FROM orders UNION ALL SELECT 'mask', count(*), count(*) FILTER (o_custkey & 1 = 1) FROM orders)""")
+def mutation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("v"))
+    mutants = base.select("o_orderkey", F.explode(F.array(F.struct(F.lit("add").alias("mutation"), (F.col("v") + 1).alias("v")), F.struct(F.lit("mask").alias("mutation"), F.col("v").bitwiseAND(F.lit(-2).cast("bigint")).alias("v")))).alias("m")).select("o_orderkey", "m.*")
+    return O.mutations_caught(base, mutants, ["o_orderkey"], "mutation", "v")
