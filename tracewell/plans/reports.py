@@ -15,6 +15,7 @@ from tracewell.plans import contracts as C
 from tracewell.plans.accounts import _MODULES, _SCORED
 from tracewell.plans.registry import collector
 from tracewell.plans.traces import read
+from tracewell.sources import aliases as A
 from tracewell.sources import builds as B
 from tracewell.sources import listings as K
 from tracewell.sources import logs as L
@@ -150,3 +151,23 @@ def mutation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("v"))
     mutants = base.select("o_orderkey", F.explode(F.array(F.struct(F.lit("add").alias("mutation"), (F.col("v") + 1).alias("v")), F.struct(F.lit("mask").alias("mutation"), F.col("v").bitwiseAND(F.lit(-2).cast("bigint")).alias("v")))).alias("m")).select("o_orderkey", "m.*")
     return O.mutations_caught(base, mutants, ["o_orderkey"], "mutation", "v")
+
+
+@query("""SELECT n_nationkey, unnest([3, 4, 5, 5]) AS line_no, CAST(1 AS BIGINT) AS call_no, unnest(['W', 'result', 'output', 'output']) AS kind, unnest([NULL, NULL, 'a', 'b']) AS name, unnest([16, NULL, NULL, NULL]) AS "offset", unnest([n_nationkey, 255, 1, n_nationkey]) AS value FROM nation""")
+def value_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.lower(F.hex("n_nationkey"))
+    text = _text("[t-begin]\n[t] m\n[trace 1] W 0x10 = 0x", k, "\n[t-result] 0xff\n[t-output] a=0x1 b=0x", k, "\n[t-end]\n[trace 2] R 0x1 = 0x2")
+    got = L.value_traces(L.lines(read(spark, sf_dir, "nation").select("n_nationkey", text.alias("text")), "n_nationkey"), "n_nationkey", "t")
+    return got.select("n_nationkey", F.col("line_no").cast("int").alias("line_no"), "call_no", "kind", "name", "offset", "value")
+
+
+@query("""SELECT n_nationkey, 'fn' || n_nationkey AS function, CAST(n_nationkey + 1 AS INT) AS line, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 1 END AS BIGINT) AS origin FROM nation""")
+def alias_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second variable of each report: its place, and the known origin that it may be an alias of."""
+    k = F.col("n_nationkey")
+    text = _text('1 var1[m@probe] %a = call devm_ioremap { "ln": 3, "fl": "a.c" }\n2 var2[m@fn', k, '] %b { "ln": ', k + 1, ', "fl": "a.c" }\n', F.when(k % 2 == 0, "MayAlias var2[q] -- var1[p]").otherwise("NoAlias var2[q] -- var1[p]"))
+    lines = L.lines(read(spark, sf_dir, "nation").select("n_nationkey", text.alias("text")), "n_nationkey")
+    s = A.symbols(lines, "n_nationkey")
+    origins = P.mapping_origins(s.withColumnRenamed("code", "ir"), spark.range(0).select(F.lit("g").alias("name"))).select("n_nationkey", "var")
+    found = A.aliased(A.pairs(lines, "n_nationkey"), origins, "n_nationkey").select("n_nationkey", F.col("alias_var").alias("var"), F.col("origin_var").alias("origin"))
+    return s.where("var = 2").join(found, ["n_nationkey", "var"], "left").select("n_nationkey", "function", "line", "origin")
