@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.plans import accounts, expressions, facts, logs, programfacts, programs, reports, subsystems, traces
+from tracewell.plans import accounts, devices, expressions, facts, logs, programfacts, programs, reports, subsystems, traces
 
-_MODULES = (traces, facts, accounts, expressions, programfacts, subsystems, reports, logs, programs)
+_MODULES = (traces, facts, accounts, expressions, programfacts, subsystems, reports, logs, programs, devices)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
