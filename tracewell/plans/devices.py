@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import backends as B
+from tracewell.operators import banks as G
 from tracewell.operators import devices as D
 from tracewell.operators import extraction as X
 from tracewell.operators import interpreter as I
@@ -166,6 +167,33 @@ def bank_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("k", text.alias("trace"), call(1)["result"].alias("level"), call(2)["result"].alias("input"), call(2)["data"].alias("data"), call(2)["direction"].alias("direction"))
 
 
+_FLAGS = ("unreadable_set", "no_set_on_input", "unreadable_dir", "big_endian", "read_output_set")
+
+
+@query("""SELECT o_orderkey AS k, CAST(7 AS INT) AS calls, o_orderkey % 7 <> 0 AS passed, CASE WHEN o_orderkey % 7 = 0 THEN 'gpio_chip.direction_output' END AS first_difference FROM orders""")
+def bank_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs of banks of all kinds against their drivers; every seventh loses the flag that turns a line before it is set."""
+    k, at = F.col("o_orderkey"), (F.col("o_orderkey") % 50 * 20 + 16).cast("bigint")
+    fields = [("dat", F.lit(True)), ("set", k % 3 > 0), ("clr", k % 3 > 1), ("dirout", k % 2 == 0), ("dirin", k % 2 == 1)]
+    entries = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("key"), (at + 4 * i).alias("value"))) for i, (n, c) in enumerate(fields)]), lambda e: e.isNotNull())
+    lost = k % 7 == 0
+    flags = F.filter(F.array(*[F.when((k % (i + 2) == 1) | (lost if n == "no_set_on_input" else F.lit(False)), F.lit(n)) for i, n in enumerate(_FLAGS)]), lambda f: f.isNotNull())
+    num = lambda **kv: F.create_map(*[x for n, v in kv.items() for x in (F.lit(n), v.cast("bigint"))])
+    args = num(offset=k % 8, value=F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(0), mask=F.col("o_custkey") % 256, bits=k % 256)
+    plan = F.array(*[F.struct(F.lit(t).alias("table"), args.alias("args")) for t in B.GPIO_TABLES])
+    cases = read(spark, sf_dir, "orders").select(k.alias("k"), F.map_from_entries(entries).alias("offsets"), C.pick((1, 2, 4), "o_custkey").alias("width"), flags.alias("flags"), F.when(lost, F.array_remove(flags, "no_set_on_input")).otherwise(flags).alias("made"), plan.alias("plan"))
+    return G.bank_differential(cases, "offsets", "width", "flags", "made", "plan").select("k", F.col("calls").cast("int").alias("calls"), "passed", "first_difference")
+
+
+@query("""SELECT o_orderkey AS k, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 5 ELSE 8 END AS BIGINT) AS programs, o_orderkey % 5 > 0 AS turns FROM orders WHERE o_orderkey % 3 > 0""")
+def bank_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    place = lambda *fields: F.create_map(*[x for i, n in enumerate(fields) for x in (F.lit(n), (k % 90 + 4 * i).cast("bigint"))])
+    offsets = F.when(k % 3 == 0, place("set")).when(k % 5 == 0, place("dat", "set")).otherwise(place("dat", "dirin"))
+    cases = read(spark, sf_dir, "orders").select(k.alias("k"), offsets.alias("offsets"), F.lit(4).alias("width"), F.array().cast("array<string>").alias("flags"))
+    return G.callback_programs(cases, ["k"], "offsets", "width", "flags").groupBy("k").agg(F.count(F.lit(1)).alias("programs"), F.bool_or(F.col("callback") == "get_direction").alias("turns"))
+
+
 _SAVED = [*D.PM_SAVED[0], *D.PM_SAVED[1], "intmask"]
 _RESTORED = [*D.PM_RESTORED[0], *D.PM_RESTORED[1], "eoi"]
 _PM_SQL = f"""t AS ({' UNION ALL '.join(f"SELECT '{p}' AS phase, {n} AS n, '{'W' if p == 'resume' or n == 8 else 'R'}' AS kind, '{r}' AS r, {D.PM_REGISTERS[r]} AS a0, {D.PM_STRIDE.get(r, 0)} AS stride" for p, rs in (('suspend', _SAVED), ('resume', _RESTORED)) for n, r in enumerate(rs))}),
