@@ -77,3 +77,40 @@ def operations(events: DataFrame, function: list[str]) -> DataFrame:
         *function, "ord", F.when(changed, "ReadModifyWrite").otherwise(F.col("_o.kind")).alias("kind"), F.col("_o.address").alias("address"), F.col("_o.width").alias("width"),
         F.when(changed, F.col("_v")).otherwise(F.col("_o.var")).alias("var"), F.coalesce("_held", F.col("_o.value")).alias("value"), "guards",
     )
+
+
+def lowered_arrays(ops: DataFrame, loops: DataFrame, key: list[str]) -> DataFrame:
+    """(key, ord, sub, index, op): operations of loops with the elements of a private array as indexed state.
+
+    ``ops`` has (key, ord, op) with ``op`` as in summaries, ``loops`` (key, source): one
+    text a loop. A loop counts from 0, takes ``x = p->array[i].member`` and a context
+    ``*c = p->array[i].context`` of the same array; any other loop, and operations without
+    a loop, stay as they are. The loop begins (ord null) by reading ``array_member`` into x.
+    What is read into ``c->f`` is kept in ``array_context_f``; writes that use ``c->f``
+    read it first. ``index`` is set for such state.
+    """
+    from tracewell.operators.summaries import OP, operation
+
+    name = r"([A-Za-z_]\\w*)"
+    found = loops.groupBy(*key).agg(F.min("source").alias("_src")).withColumn("_i", F.regexp_extract("_src", r"for\s*\(\s*([A-Za-z_]\w*)\s*=\s*0\s*;", 1)).where("_i <> ''")
+    part = lambda head, n, g: F.expr(f"regexp_extract(_src, concat('{head}{name}', '\\\\s*=\\\\s*({name}->{name}\\\\[', _i, '\\\\]\\\\.{name})\\\\s*;'), {g})")
+    took, kept = (lambda g: part(r"(?<![\\w*>.])", 0, g)), (lambda g: part(r"\\*\\s*", 0, g))
+    found = found.select(
+        *key, F.explode(F.array(F.struct(F.col("_i").alias("i"), took(1).alias("x"), took(2).alias("e"), took(4).alias("a"), took(5).alias("m"), kept(1).alias("c"), kept(4).alias("ca"), kept(5).alias("cm")))).alias("_l")
+    ).where("_l.x <> '' AND _l.c <> '' AND _l.a = _l.ca")
+    j = ops.select(*key, "ord", F.col("op").cast(OP).alias("op")).join(found, key, "left")
+    loop = F.col("_l")
+    swap = lambda c: f"regexp_replace({c}, concat('(?<![A-Za-z0-9_])\\\\Q', _l.e, '\\\\E(?![A-Za-z0-9_])'), _l.x)"
+    inner = F.concat(F.lit("(?<![A-Za-z0-9_])"), loop["c"], F.lit(r"->([A-Za-z_]\w*)"))
+    of = F.struct(*[(F.expr(swap(f"op.{c}")) if c in ("address", "value", "guard") else F.col(f"op.{c}")).alias(c) for c in ("kind", "width", "address", "field", "var", "value", "guard")])
+    j = j.withColumn("_o", of).withColumn("_read", F.when(F.col("op.kind") == "Read", F.nullif(F.expr("regexp_extract(op.var, concat('^', _l.c, '->([A-Za-z_]\\\\w*)$'), 1)"), F.lit(""))))
+    state = lambda f: F.concat(loop["a"], F.lit("_"), loop["cm"], F.lit("_"), f)
+    local = F.concat(F.lit("loop_state_"), F.col("_read"), F.lit("_value"))
+    stored = F.array(F.col("_o").withField("var", local).cast(OP), operation("StateWrite", 4, field=state(F.col("_read")), value=local).cast(OP))
+    fields = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("op.value", F.lit("")), inner, F.lit(1))))
+    used = F.concat(F.transform(fields, lambda f: operation("StateRead", 4, field=state(f), var=F.concat(F.lit("loop_state_"), f)).cast(OP)), F.array(F.col("_o").withField("value", F.regexp_replace("_o.value", inner, F.lit("loop_state_$1"))).cast(OP)))
+    new = F.when(loop.isNull(), F.array("op")).when(F.col("_read").isNotNull(), stored).when(F.col("op.kind").isin("Write", "ReadModifyWrite"), used).otherwise(F.array(F.col("_o").cast(OP)))
+    index = F.when(F.col("_l").isNotNull() & F.col("op.kind").isin("StateRead", "StateWrite") & F.col("op.field").startswith(F.concat(loop["a"], F.lit("_"))), loop["i"])
+    body = j.select(*key, "ord", "_l", F.posexplode(new).alias("sub", "op")).select(*key, "ord", "sub", index.alias("index"), "op")
+    first = operation("StateRead", 4, field=F.concat(loop["a"], F.lit("_"), loop["m"]), var=loop["x"]).cast(OP)
+    return found.select(*key, F.lit(None).cast("int").alias("ord"), F.lit(0).alias("sub"), loop["i"].alias("index"), first.alias("op")).unionByName(body)

@@ -60,6 +60,21 @@ def extracted_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.operations(events, ["k"]).drop("guards")
 
 
+@query("""WITH b AS (SELECT o_orderkey AS k, o_orderkey % 3 > 0 AS yes FROM orders)
+SELECT k, yes AND x.i AS "index", x.t AS op FROM (SELECT k, yes, unnest(CASE WHEN yes THEN [{'i': true, 't': 'StateRead|ports_idx|bank|'}, {'i': false, 't': 'Read||loop_state_dir_value|'}, {'i': true, 't': 'StateWrite|ports_ctx_dir||loop_state_dir_value'},
+ {'i': true, 't': 'StateRead|ports_ctx_data|loop_state_data|'}, {'i': true, 't': 'StateRead|ports_ctx_dir|loop_state_dir|'}, {'i': false, 't': 'Write|||loop_state_dir | loop_state_data << bank'}]
+ ELSE [{'i': false, 't': 'Read||ctx->dir|'}, {'i': false, 't': 'Write|||ctx->dir | ctx->data << g->ports[i].idx'}] END) AS x FROM b)""")
+def lowered_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.operators.summaries import operation
+
+    k = F.col("o_orderkey")
+    row = lambda o, op: F.struct(F.lit(o).alias("ord"), op.alias("op"))
+    ops = read(spark, sf_dir, "orders").select(k.alias("k"), F.inline(F.array(row(1, operation("Read", 4, "A", var="ctx->dir")), row(2, operation("Write", 4, "B", value="ctx->dir | ctx->data << g->ports[i].idx")))))
+    text = _text("for (i = 0; i < n; i++) { bank = g->ports[i].idx; *ctx = g->", F.when(k % 3 > 0, "ports").otherwise("others"), "[i].ctx; }")
+    got = X.lowered_arrays(ops, read(spark, sf_dir, "orders").select(k.alias("k"), text.alias("source")), ["k"])
+    return got.select("k", F.col("index").isNotNull().alias("index"), F.concat_ws("|", "op.kind", *[F.coalesce(f"op.{c}", F.lit("")) for c in ("field", "var", "value")]).alias("op"))
+
+
 # ---- backends -------------------------------------------------------------------------
 
 _OWNERS = ("irq_chip", "gpio_chip.get", "platform_driver.probe", "private_ops.run", None, "irq_chip.irq_ack")
