@@ -74,3 +74,25 @@ def test_contexts(spark):
     commands = spark.createDataFrame([("b", "s.c", "cc 2"), ("b", "s.c", "cc 1")], "directory string, source string, command string")
     got = B.holdout_contexts(cases, recipes, profiles, commands).collect()
     assert sorted((r.command or "", r.problem or "") for r in got) == [("", "case without a recipe"), ("cc 1", ""), ("cc 1", "")]
+
+
+def test_variants_and_banks(spark):
+    fields = "id int, field string, expr string, condition string, switch string, branch string"
+    rows = [(1, "dirin", "b", "(i) == 2", "i", "case"), (1, "dirout", "b ", "", "i", "default"), (1, "dirout", "b", "", "i", "default"), (2, "dirin", None, None, None, None), (2, "dirout", None, None, None, None)]
+    sources = spark.createDataFrame([(1, 'i = of_alias_get_id(pdev->dev.of_node, "g");'), (2, None)], "id int, text string")
+    assert G.direction_variants(spark.createDataFrame(rows, fields), sources, ["id"]).count() == 0  # two entries of one field; nulls
+    got = G.direction_variants(spark.createDataFrame(rows[:2], fields), sources, ["id"]).collect()
+    assert [r.source_condition for r in got] == ['(of_alias_get_id(pdev->dev.of_node, "g")) == 2']
+    places = "id int, field string, base string, resource_index int, expr string"
+    macros = spark.createDataFrame([], "id int, name string, value bigint")
+    bank = [(1, "dat", "g->r", 0, "g->r + p->i"), (1, "dirout", "g->r", 0, "p->i * 4"), (2, "dat", None, None, None), (2, "set", None, None, None)]
+    kept = spark.createDataFrame([(1, "c->n = p->i;"), (2, None)], "id int, text string")
+    assert [tuple(r) for r in G.bank_models(spark.createDataFrame(bank, places), kept, macros, ["id"]).collect()] == [(1, "p->i", "g->r", 0, None, None, None)]
+    assert G.bank_models(spark.createDataFrame([], places), kept, macros, ["id"]).count() == 0
+
+
+def test_lowered_arrays_leave_other_loops(spark):
+    ops = spark.createDataFrame([(1, 1, ("Write", 4, "a", None, None, "c->x", None)), (2, 1, None)], "id int, ord int, op struct<kind:string,width:int,address:string,field:string,var:string,value:string,guard:string>")
+    loops = spark.createDataFrame([(1, "for (i = 1; ...)"), (2, None)], "id int, source string")
+    got = X.lowered_arrays(ops, loops, ["id"]).collect()
+    assert sorted((r.id, r.sub, r.op and r.op.value) for r in got) == [(1, 0, "c->x"), (2, 0, None)]

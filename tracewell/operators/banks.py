@@ -153,3 +153,60 @@ def bank_differential(cases: DataFrame, offsets: str, width: str, flags: str, pr
     calls = F.coalesce(F.size("_s.calls"), F.lit(0))
     out = both.withColumn("calls", F.when(F.col("_s").isNull(), 0).otherwise(calls)).withColumn("first_difference", first)
     return out.withColumn("passed", F.col("_s").isNotNull() & F.col("first_difference").isNull()).drop("_s", "_f")
+
+
+def _quoted(name: str) -> str:
+    """SQL of a regular expression that matches a column's text as it is."""
+    return f"'\\\\Q', {name}, '\\\\E'"
+
+
+def direction_variants(fields: DataFrame, sources: DataFrame, key: list[str]) -> DataFrame:
+    """(key, source_variable, source_expr, source_condition) of banks whose one direction register is inverted for one case.
+
+    ``fields`` has (key, field, expr, condition, switch, branch), ``sources`` (key, text).
+    dirin and dirout each have one entry, of the same register, in the case and the default
+    of one switch; the switched variable is last assigned the number of a firmware alias,
+    names within it resolved to what they were last assigned.
+    """
+    row = F.struct(F.trim("expr").alias("expr"), F.trim("switch").alias("switch"), "branch", "condition")
+    pick = lambda f: (F.count_if(F.col("field") == f).alias(f"_n_{f}"), F.max(F.when(F.col("field") == f, row)).alias(f"_{f}"))
+    per = fields.where(F.col("field").isin("dirin", "dirout")).groupBy(*key).agg(*pick("dirin"), *pick("dirout"))
+    per = per.where("_n_dirin = 1 AND _n_dirout = 1 AND _dirin.expr = _dirout.expr AND _dirin.switch = _dirout.switch AND _dirin.switch <> ''")
+    per = per.where("array_sort(array(_dirin.branch, _dirout.branch)) = array('case', 'default')")
+    per = per.select(*key, F.col("_dirin.switch").alias("source_variable"), F.col("_dirin.condition").alias("_c")).join(sources.select(*key, "text"), key)
+    last = lambda name, value: f"element_at(regexp_extract_all(text, concat('(?s)(?<![A-Za-z0-9_])', {_quoted(name)}, '\\\\s*=\\\\s*({value})\\\\s*;'), 1), -1)"
+    per = per.withColumn("_e", F.expr(f"try_{last('source_variable', '.+?')}")).where("_e IS NOT NULL")
+    resolved = f"""aggregate(array_sort(array_distinct(regexp_extract_all(_e, '([A-Za-z_]\\\\w*)', 1))), _e, (e, n) ->
+        if(n = source_variable, e, coalesce(regexp_replace(e, concat('(?<![A-Za-z0-9_])', {_quoted('n')}, '(?![A-Za-z0-9_])'), concat('(', try_{last('n', '[^;]+?')}, ')')), e)))"""
+    per = per.withColumn("source_expr", F.expr(resolved)).withColumn("_v", F.regexp_extract("_c", r"(?:==|!=)\s*\(?\s*([0-9]+)\s*\)?", 1))
+    per = per.where(F.col("source_expr").rlike(r'^of_alias_get_id\s*\(\s*\(?\s*pdev->dev\.of_node\s*\)?\s*,\s*"[A-Za-z0-9_-]+"\s*\)$') & (F.col("_v") != ""))
+    return per.select(*key, "source_variable", "source_expr", F.concat(F.lit("("), "source_expr", F.lit(") == "), F.col("_v").cast("bigint").cast("string")).alias("source_condition"))
+
+
+def bank_models(fields: DataFrame, sources: DataFrame, macros: DataFrame, key: list[str]) -> DataFrame:
+    """(key, selector, base, resource_index, max_count, property, irq_selector) of configurations that choose among banks.
+
+    ``fields`` has (key, field, base, resource_index, expr): computed places relative to a
+    mapped base. At least two of dat, set and dirout are there, each once and at one base,
+    and exactly one member is in all their places: the selector, which the source must keep
+    in the chip's own object. ``macros`` has (key, name, value); a bound over 256 is none.
+    """
+    member = r"([A-Za-z_]\w*(?:(?:->|\.)[A-Za-z_]\w*)+)"
+    members = F.filter(F.array_distinct(F.regexp_extract_all("expr", F.lit(member), F.lit(1))), lambda m: ~m.eqNullSafe(F.col("base")))
+    of = fields.where(F.col("field").isin("dat", "set", "dirout")).select(*key, "field", "base", "resource_index", members.alias("_m"))
+    per = of.groupBy(*key, "field").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct("base", "resource_index")).alias("_b"), F.first("_m").alias("_m"))
+    whole = per.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_n"), F.min("_b").alias("_lo"), F.max("_b").alias("_b"), F.count("_b.resource_index").alias("_r"), F.collect_list("_m").alias("_ms"))
+    shared = F.aggregate("_ms", F.get("_ms", F.lit(0)), lambda a, m: F.array_intersect(a, m))
+    one = whole.where("_k >= 2 AND _n = 1 AND _r = _k AND _lo = _b").withColumn("_s", shared).where("size(_s) = 1").select(*key, F.get("_s", F.lit(0)).alias("selector"), "_b.base", "_b.resource_index")
+    j = one.join(sources.select(*key, "text"), key).where(F.expr(f"text RLIKE concat('[A-Za-z_]\\\\w*\\\\s*->\\\\s*[A-Za-z_]\\\\w*\\\\s*=\\\\s*', {_quoted('selector')}, '\\\\s*;')"))
+    number = r"(0[xX][0-9a-fA-F]+|\\d+)"
+    got = lambda before, after: F.nullif(F.expr(f"regexp_extract(text, concat('{before}', {_quoted('selector')}, '{after}'), 1)"), F.lit(""))
+    value = lambda t: F.when(t.rlike("^0[xX]"), F.conv(F.substring(t, 3, 16), 16, 10).cast("bigint")).otherwise(t.try_cast("bigint"))
+    j = j.withColumn("_limit", got("", r"\\s*>=\\s*([A-Za-z_]\\w*|0[xX][0-9a-fA-F]+|\\d+)"))
+    known = macros.groupBy(*key, F.col("name").alias("_limit")).agg(F.max("value").alias("_value"))
+    bound = F.coalesce(value(F.col("_limit")), "_value")
+    return j.join(known, [*key, "_limit"], "left").select(
+        *key, "selector", "base", "resource_index", F.when((bound > 0) & (bound <= 256), bound).alias("max_count"),
+        got(r"fwnode_property_read_u32\\s*\\([^,]+,\\s*\"([^\"]+)\"\\s*,\\s*&\\s*", r"\\s*\\)").alias("property"),
+        value(got(r"if\\s*\\(\\s*", rf"\\s*==\\s*{number}\\s*\\)\\s*[A-Za-z_]\\w*irq[A-Za-z_]*\\s*\\(")).alias("irq_selector"),
+    )

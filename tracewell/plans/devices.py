@@ -209,6 +209,27 @@ def bank_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.callback_programs(cases, ["k"], "offsets", "width", "flags").groupBy("k").agg(F.count(F.lit(1)).alias("programs"), F.bool_or(F.col("callback") == "get_direction").alias("turns"))
 
 
+@query("""SELECT o_orderkey AS k, 'id' AS source_variable, 'of_alias_get_id((pdev->dev.of_node), "gpio")' AS source_expr, '(of_alias_get_id((pdev->dev.of_node), "gpio")) == ' || o_custkey AS source_condition FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 > 0 AND o_orderkey % 5 > 0""")
+def direction_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    row = lambda field, branch, expr: F.struct(F.lit(field).alias("field"), expr.alias("expr"), _text("(id) == (", F.col("o_custkey"), ")").alias("condition"), F.lit("id").alias("switch"), F.lit(branch).alias("branch"))
+    fields = o.select(k.alias("k"), F.inline(F.array(row("dirin", "case", F.lit("b + 4")), row("dirout", "default", F.when(k % 3 > 0, "b + 4").otherwise("b + 8")))))
+    sources = o.select(k.alias("k"), F.when(k % 5 > 0, F.when(k % 2 == 0, 'np = pdev->dev.of_node; id = of_alias_get_id(np, "gpio");').otherwise("id = 3;")).otherwise("idx = 1;").alias("text"))
+    return G.direction_variants(fields, sources, ["k"])
+
+
+@query("""SELECT o_orderkey AS k, 'port->idx' AS selector, 'g->regs' AS base, 1 AS resource_index, CASE o_orderkey % 4 WHEN 0 THEN CAST(4 AS BIGINT) WHEN 1 THEN CAST(16 AS BIGINT) END AS max_count, CASE WHEN o_orderkey % 5 > 0 THEN 'reg' END AS property,
+ CASE WHEN o_orderkey % 7 > 0 THEN CAST(0 AS BIGINT) END AS irq_selector FROM orders WHERE o_orderkey % 3 > 0""")
+def bank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    row = lambda field, expr: F.struct(F.lit(field).alias("field"), F.lit("g->regs").alias("base"), F.lit(1).alias("resource_index"), expr.alias("expr"))
+    fields = o.select(k.alias("k"), F.inline(F.array(row("dat", F.lit("g->regs + 0x50 + port->idx * 4")), row("set", F.when(k % 3 > 0, "g->regs + port->idx * 12").otherwise("g->regs + 12")))))
+    limit = F.when(k % 4 == 0, "MAX_PORTS").when(k % 4 == 1, "0x10").when(k % 4 == 2, "999").otherwise("UNKNOWN")
+    text = _text("if (port->idx >= ", limit, ") return; gpio->nr = port->idx; ", F.when(k % 5 > 0, 'fwnode_property_read_u32(f, "reg", &port->idx); ').otherwise(""), F.when(k % 7 > 0, "if (port->idx == 0) config_irqs(g);").otherwise(""))
+    macros = o.select(k.alias("k"), F.lit("MAX_PORTS").alias("name"), F.lit(4).cast("bigint").alias("value"))
+    return G.bank_models(fields, o.select(k.alias("k"), text.alias("text")), macros, ["k"])
+
+
 _SAVED = [*D.PM_SAVED[0], *D.PM_SAVED[1], "intmask"]
 _RESTORED = [*D.PM_RESTORED[0], *D.PM_RESTORED[1], "eoi"]
 _PM_SQL = f"""t AS ({' UNION ALL '.join(f"SELECT '{p}' AS phase, {n} AS n, '{'W' if p == 'resume' or n == 8 else 'R'}' AS kind, '{r}' AS r, {D.PM_REGISTERS[r]} AS a0, {D.PM_STRIDE.get(r, 0)} AS stride" for p, rs in (('suspend', _SAVED), ('resume', _RESTORED)) for n, r in enumerate(rs))}),
