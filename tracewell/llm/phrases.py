@@ -28,80 +28,84 @@ from tracewell.llm.common import map_arrow, staged, table, text_or_empty
 
 #: Bits of the array that tells tasks which phrases are frequent. 2 MB; at far larger inputs raise it, or more infrequent phrases are counted.
 FILTER_BITS = 24
-#: Positions of all the shards that a task has open. More means fewer, larger counts to add up, and more memory.
-POSITIONS = 1 << 20
-#: Bytes of one text that are cut into words at a time.
-_BLOCK = 1 << 20
+#: Bytes of all the shards that a task has open. More means fewer, larger counts to add up, and more memory.
+SHARD_BYTES = 6 << 20
 #: Bytes of bitmaps that are extended at a time.
 _ENTRIES = 1 << 16
-#: A byte that no UTF-8 text has; it stands for the end of a piece.
-_END = b"\xff"
+#: What stands for the end of a piece, which no word has.
+_END = b"\n"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _END * 10)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Ids(dict):
-    """Words to numbers in the order in which they come; the end of a piece is 0."""
-
-    def __init__(self):
-        super().__init__({_END: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def shards(rows: Iterator[tuple[str, bytes]], context: int, positions: int = POSITIONS) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+def shards(rows: Iterator[tuple[str, bytes]], context: int, size: int = SHARD_BYTES) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     """(language, words, ids): the words of a shard, and the number of the word at each position.
 
     Positions 0 to 7 hold what came before the shard, for phrases that begin there: the
-    last ``context`` words if a text goes on from one shard to the next. Number 0 is no word.
+    last ``context`` words if a text goes on from one shard to the next. Number 0 is no
+    word. What a task has open, in all languages together, is ``size`` bytes and one
+    word, however long a text is.
     """
-    open_: dict[str, tuple[_Ids, list[np.ndarray]]] = {}
-    size = 0
-
-    def begin(before: list[bytes]) -> tuple[_Ids, list[np.ndarray]]:
-        ids = _Ids()
-        return ids, [np.array([0] * (8 - len(before)) + [ids[w] for w in before], np.int32)]
+    open_: dict[str, list[bytes]] = {}
+    before: dict[str, list[bytes]] = {}
+    total = 0
 
-    def flush() -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-        for lang, (ids, parts) in open_.items():
-            yield lang, list(ids), np.concatenate(parts)
+    def flush() -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+        for lang, parts in open_.items():
+            yield lang, *_numbered(before.get(lang, []), b"".join(parts))
         open_.clear()
+        before.clear()
 
     for lang, raw in rows:
-        at, first = 0, True
-        while at < len(raw) or first:
-            stop = len(raw)
-            if stop - at > _BLOCK:
-                # at a space, which any word ends at; a word longer than a block is taken whole
-                stop = max(raw.rfind(b" ", at, at + _BLOCK), raw.rfind(b"\n", at, at + _BLOCK)) + 1
+        at = 0
+        while at < len(raw):
+            stop = min(len(raw), at + max(1, size - total))
+            if stop < len(raw):
+                # where a word ends; a word that is longer than what is left is taken whole
+                stop = max(raw.rfind(b" ", at, stop), raw.rfind(b"\n", at, stop)) + 1
                 if stop <= at:
                     ends = [x for x in (raw.find(b" ", at), raw.find(b"\n", at)) if x >= 0]
                     stop = min(ends) + 1 if ends else len(raw)
-            found = raw[at:stop].translate(_TABLE).replace(_END, b" \xff ").split()
-            if lang not in open_:
-                open_[lang] = begin([])
-            ids, parts = open_[lang]
-            if first:
-                parts.append(np.zeros(1, np.int32))
-            parts.append(np.fromiter(map(ids.__getitem__, found), np.int32, len(found)))
-            size += len(found) + first
-            at, first = stop, False
-            if size >= positions:
-                words = list(ids)
-                last = np.concatenate(parts[-3:])[-context:] if context else []
+            part = raw[at:stop].translate(_TABLE)
+            open_.setdefault(lang, []).append(part if stop < len(raw) else part + _END)
+            total += stop - at
+            at = stop
+            if total >= size:
+                last = []
+                if at < len(raw) and context:
+                    # long enough for the last words, if words are of usual length; otherwise all
+                    tail = b"".join(open_[lang])
+                    last = _tokens(tail[-4096:])[-context:] if tail.rfind(b" ", 0, -4096) >= 0 and len(_tokens(tail[-4096:])) > context else _tokens(tail)[-context:]
+                    last = before.get(lang, [])[len(last) :] + last if len(last) < context else last
                 yield from flush()
-                size = 0
-                if at < len(raw):
-                    open_[lang] = begin([words[i] for i in last])
+                total = 0
+                if last:
+                    before[lang] = last[-context:]
     yield from flush()
 
 
-def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+def _tokens(data: bytes) -> list[bytes]:
+    """Words, and _END between pieces."""
+    return data.replace(_END, b" \n ").replace(b"  ", b" ").strip(b" ").split(b" ")
+
+
+def _numbered(before: list[bytes], data: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, number 0 none, and the word's number at each position."""
+    data = b" ".join([b"\n"] * (8 - len(before)) + before + [data.replace(_END, b" \n ")])
+    whole = pa.Array.from_buffers(pa.large_binary(), 1, [None, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data)])
+    found = pc.split_pattern(whole, b" ").flatten().dictionary_encode()
+    words, ids = found.dictionary, found.indices.to_numpy()
+    # the first position holds the end of a piece, so that is number 0; spaces in a row leave empty words
+    empty = pc.index(words, pa.scalar(b"", words.type)).as_py()
+    return words, ids[ids != empty] if empty >= 0 else ids
+
+
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word in its language."""
-    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    digest, seed = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    data = memoryview(words.buffers()[2])
+    return np.fromiter((digest(data[a:b], seed) for a, b in zip(ends, ends[1:])), np.uint64, len(words))
 
 
 def phrase_hashes(hashes: list[np.ndarray]) -> np.ndarray:
@@ -231,7 +235,7 @@ def counted(docs: DataFrame, length: int, filters: dict[int, np.ndarray]) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, ids in shards(texts(batches), length - 1):
-            names = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
+            names = words.cast(pa.large_string()).cast(pa.string())
             if length == 1:
                 n = np.bincount(ids[8:], minlength=len(words))[1:]
                 yield rows(lang, names.slice(1), n)
@@ -255,7 +259,7 @@ def filter_of(frequent: DataFrame) -> np.ndarray:
         for b in batches:
             bits: dict[int, int] = {}
             for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = phrase_hashes([h[None] for h in word_hashes(lang, phrase.encode("utf-8", "surrogatepass").split(b" "))])
+                h = phrase_hashes([h[None] for h in word_hashes(lang, pa.array(phrase.encode("utf-8", "surrogatepass").split(b" "), pa.large_binary()))])
                 at = int(h[0]) >> (64 - FILTER_BITS)
                 bits[at >> 6] = bits.get(at >> 6, 0) | 1 << (at & 63)
             cells = np.fromiter(bits.values(), np.uint64, len(bits)).view(np.int64)
