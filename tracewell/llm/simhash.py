@@ -137,18 +137,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_distance: int = 2) -> D
     return fp.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_class(docs: DataFrame, words: int = 3, max_distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` that are not a copy of a row with a lesser doc_id.
-
-    Of each near-duplicate class the document with the least doc_id stays. Rows
-    without a doc_id cannot be named as copies and stay; rows that repeat a doc_id
-    stay or go together.
-    """
-    found = near_duplicates(docs, words, max_distance)
-    gone = found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
