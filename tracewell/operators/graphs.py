@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from tracewell.session import ship, staged
 
 
-#: Most edges of one graph whose dominators are computed.
-MAX_EDGES = 200_000
-
-
 def reach(edges: DataFrame, src: str, dst: str, rounds: int | None = None, roots: DataFrame | None = None) -> DataFrame:
     """(root, node, depth) for all nodes reachable from each root, at their least depth.
 
@@ -47,19 +43,120 @@ def propagation(edges: DataFrame, src: str, dst: str, rounds: int) -> DataFrame:
     return per.withColumn("total_pairs", F.sum("new_pairs").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def summary_propagation(functions: DataFrame, calls: DataFrame, rounds: int) -> DataFrame:
+def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node, component): the strongly connected components of the edges' nodes, named by their greatest node.
+
+    Colouring: the greatest number moves forward along edges until it settles; the nodes
+    that reach the one of their colour backwards, within the colour, are its component.
+    They leave, and the rest is coloured anew. Nodes without a way in or out leave first,
+    as components of their own.
+    """
+    left = staged(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "edges")
+    nodes = staged(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "nodes")
+    done = None
+    while True:
+        while True:  # what no edge enters, or none leaves, is in no cycle
+            inner = staged(left.where("a <> b").join(left.where("a <> b").select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.where("a <> b").select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "edges")
+            same = inner.count() == left.where("a <> b").count()
+            left = inner
+            if same:
+                break
+        if left.isEmpty():
+            break
+        colour = staged(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("c", F.col("node")), "colours")
+        while True:
+            told = left.join(colour, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.max("c").alias("_m"))
+            new = staged(colour.join(told, "node", "left").select("node", F.greatest("c", "_m").alias("c"), (F.col("_m") > F.col("c")).alias("_moved")), "colours")
+            colour = new.select("node", "c")
+            if new.where("_moved").isEmpty():
+                break
+        ca, cb = colour.select(F.col("node").alias("a"), "c"), colour.select(F.col("node").alias("b"), F.col("c").alias("_c"))
+        within = staged(left.join(ca, "a").join(cb, "b").where("c = _c").select("a", "b", "c"), "within")
+        frontier = staged(colour.where("node = c"), "back")
+        found = frontier
+        while True:
+            more = within.join(frontier.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "c").distinct()
+            frontier = staged(more.join(found, ["node", "c"], "left_anti"), "back")
+            if frontier.isEmpty():
+                break
+            found = staged(found.unionByName(frontier), "back")
+        found = found.select("node", F.col("c").alias("component"))
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("node")
+        left = staged(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"), "edges")
+    if done is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+_SITE = "array<struct<param:int,text:string>>"
+
+
+def summaries(functions: DataFrame, ops: DataFrame, calls: DataFrame, rounds: int | None = 3) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """The operations of functions with those of their callees, and (depth, new_ops, total_ops) of each round.
+
+    ``ops`` has (symbol, pos, kind, param, text): an operation on what the parameter of
+    that number means, or on ``text`` if ``param`` is null; ``calls`` (caller, pos, callee,
+    args), an array of (param, text) in the caller's terms. The result has (symbol, path,
+    kind, param, text), ``path`` being the places from the function down: sorting by it
+    gives the order. A round puts the callee's operations of the round before in the place
+    of each call, with parameters replaced by the arguments; a missing argument leaves a
+    text of ``?``. A function does not take in itself.
+
+    A round only makes the callers of functions that changed anew, and rounds end when no
+    function's fingerprint, a sum of hashes of its operations, changes. A cycle would grow
+    for ever, so without a limit of ``rounds`` calls within a component are not followed.
+    """
+    symbols = functions.select("symbol").distinct()
+    known = calls.where("caller <> callee").join(symbols.select(F.col("symbol").alias("callee")), "callee", "left_semi").join(symbols.select(F.col("symbol").alias("caller")), "caller", "left_semi")
+    sites = known.select("caller", F.col("pos").cast("int").alias("_pos"), "callee", F.col("args").cast(_SITE).alias("args"))
+    sites = staged(sites if rounds is not None else _between(sites), "sites")
+    own = staged(ops.join(symbols, "symbol", "left_semi").select("symbol", F.array(F.col("pos").cast("int")).alias("path"), "kind", F.col("param").cast("int").alias("param"), "text"), "summaries")
+    now, changed, totals = own, own.select("symbol").distinct(), []
+    total = own.count()
+    totals.append((0, total, total))
+    prints = lambda df: df.groupBy("symbol").agg(F.sum(F.xxhash64("path", "kind", "param", "text").cast("decimal(20,0)")).alias("print"), F.count(F.lit(1)).alias("n"))
+    before = staged(prints(now), "prints")
+    depth = 0
+    while rounds is None or depth < rounds:
+        depth += 1
+        again = staged(sites.join(changed.select(F.col("symbol").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("symbol")).distinct(), "again")
+        brought = sites.join(again.select(F.col("symbol").alias("caller")), "caller", "left_semi").join(now.select(F.col("symbol").alias("callee"), "path", "kind", "param", "text"), "callee")
+        argument = F.get("args", F.col("param"))
+        mapped = brought.select(
+            F.col("caller").alias("symbol"), F.concat(F.array("_pos"), "path").alias("path"), "kind",
+            F.when(F.col("param").isNotNull(), argument["param"]).alias("param"), F.when(F.col("param").isNull(), F.col("text")).otherwise(F.when(argument["param"].isNull(), F.coalesce(argument["text"], F.lit("?")))).alias("text"),
+        )
+        made = own.join(again, "symbol", "left_semi").unionByName(mapped)
+        now = staged(now.join(again, "symbol", "left_anti").unionByName(made), "summaries")
+        after = staged(prints(now), "prints")
+        changed = staged(after.join(before.select("symbol", F.col("print").alias("_p"), F.col("n").alias("_n")), "symbol", "left").where("NOT (print <=> _p AND n <=> _n)").select("symbol"), "changed")
+        last, total = total, now.count()
+        totals.append((depth, max(0, total - last), total))
+        before = after
+        if changed.isEmpty():
+            break
+    return now, totals
+
+
+def summary_propagation(functions: DataFrame, calls: DataFrame, rounds: int | None) -> DataFrame:
     """(depth, new_ops, total_ops): how many operations summaries of callees add, round by round.
 
     ``functions`` has (symbol, own_ops), ``calls`` one (caller, callee) row for each call
     site. In each round a call brings the operations that its callee had in the round
-    before; a function does not take in itself. Rounds end when no count changes.
+    before; a function does not take in itself. Rounds end when no count changes; without
+    a limit of ``rounds``, calls within a component are not followed, so they do end.
+    ``summaries`` carries the operations themselves.
     """
     own = functions.select("symbol", F.col("own_ops").cast("long").alias("own"))
-    sites = staged(calls.where("caller <> callee").groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("n")).join(own.select(F.col("symbol").alias("callee")), "callee", "left_semi"), "sites")
+    sites = calls.where("caller <> callee").groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("n")).join(own.select(F.col("symbol").alias("callee")), "callee", "left_semi")
+    sites = staged(sites if rounds is not None else _between(sites), "sites")
     now = staged(own.withColumn("ops", F.col("own")), "summaries")
     total = int(now.agg(F.sum("ops")).first()[0] or 0)
     rows = [(0, total, total)]
-    for depth in range(1, rounds + 1):
+    depth = 0
+    while rounds is None or depth < rounds:
+        depth += 1
         brought = sites.join(now.select(F.col("symbol").alias("callee"), "ops"), "callee").groupBy(F.col("caller").alias("symbol")).agg(F.sum(F.col("n") * F.col("ops")).alias("_b"))
         after = staged(now.join(brought, "symbol", "left").select("symbol", "own", (F.col("own") + F.coalesce("_b", F.lit(0))).alias("ops"), F.col("ops").alias("before")), "summaries")
         before, (total, changed) = total, after.agg(F.coalesce(F.sum("ops"), F.lit(0)), F.count_if(F.col("ops") != F.col("before"))).first()
@@ -70,6 +167,13 @@ def summary_propagation(functions: DataFrame, calls: DataFrame, rounds: int) ->
     return functions.sparkSession.createDataFrame(rows, "depth int, new_ops long, total_ops long")
 
 
+def _between(sites: DataFrame) -> DataFrame:
+    """The call sites (caller, callee, ...) whose two ends are in different components."""
+    c = staged(components(sites, "caller", "callee"), "components")
+    ends = sites.join(c.select(F.col("node").alias("caller"), F.col("component").alias("_a")), "caller").join(c.select(F.col("node").alias("callee"), F.col("component").alias("_b")), "callee")
+    return ends.where("_a <> _b").select(*sites.columns)
+
+
 def pure_functions(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """(symbol, name) of the functions that only compute a value from pure functions.
 
@@ -141,57 +245,110 @@ def join_blocks(edges: DataFrame, graph: list[str], src: str, dst: str) -> DataF
     return edges.groupBy(*graph, dst).agg(F.count_distinct(src).alias("n_pred")).where("n_pred > 1")
 
 
-def _dominators(nodes: list[str], edges: set[tuple[str, str]], entry: str) -> dict[str, set[str]]:
-    pred: dict[str, list[str]] = {n: [] for n in nodes}
-    succ: dict[str, list[str]] = {n: [] for n in nodes}
-    for a, b in edges:
-        pred[b].append(a)
-        succ[a].append(b)
-    live, todo = {entry}, [entry]
-    while todo:
-        for b in succ[todo.pop()]:
-            if b not in live:
-                live.add(b)
-                todo.append(b)
-    dom = {n: set(live) for n in live} | {entry: {entry}}
+def _dominator_tree(pairs: set[tuple[str, str]], entry: str) -> list[tuple[str, str | None, int, int, int]]:
+    """(node, immediate dominator, depth from 1, place, last place below) of the nodes reachable from ``entry``, in order of the tree.
+
+    Dominators are found as nearest common ancestors in reverse post-order until nothing
+    changes, so memory is that of the edges.
+    """
+    succ: dict[str, list[str]] = {}
+    for a, b in sorted(pairs):
+        succ.setdefault(a, []).append(b)
+    order, state, stack = [], {entry}, [(entry, iter(succ.get(entry, ())))]
+    while stack:
+        node, rest = stack[-1]
+        for b in rest:
+            if b not in state:
+                state.add(b)
+                stack.append((b, iter(succ.get(b, ()))))
+                break
+        else:
+            order.append(node)
+            stack.pop()
+    order.reverse()
+    number = {n: i for i, n in enumerate(order)}
+    pred: list[list[int]] = [[] for _ in order]
+    for a, b in pairs:
+        if a in number:
+            pred[number[b]].append(number[a])
+    idom = [0] + [-1] * (len(order) - 1)
     changed = True
     while changed:
         changed = False
-        for n in sorted(live - {entry}):
-            ins = [dom[p] for p in pred[n] if p in live]
-            new = {n} | set.intersection(*ins) if ins else {n}
-            if new != dom[n]:
-                dom[n], changed = new, True
-    return dom
+        for n in range(1, len(order)):
+            new = -1
+            for p in pred[n]:
+                if idom[p] < 0:
+                    continue
+                if new < 0:
+                    new = p
+                while new != p:
+                    if new > p:
+                        new = idom[new]
+                    else:
+                        p = idom[p]
+            if new != idom[n]:
+                idom[n], changed = new, True
+    size, depth = [1] * len(order), [1] * len(order)
+    for n in range(len(order) - 1, 0, -1):
+        size[idom[n]] += size[n]
+    place, free = [0] * len(order), [1] * len(order)
+    for n in range(1, len(order)):
+        # a node's dominator comes before it in reverse post-order
+        depth[n] = depth[idom[n]] + 1
+        place[n] = place[idom[n]] + free[idom[n]]
+        free[idom[n]] += size[n]
+    return [(order[n], order[idom[n]] if n else None, depth[n], place[n], place[n] + size[n] - 1) for n in range(len(order))]
 
 
 def dominators(edges: DataFrame, graph: str, src: str, dst: str, entry: str) -> DataFrame:
-    """(graph, node, idom, dom_size, header) of the nodes reachable from each graph's entry.
+    """(graph, node, idom, dom_size, header, place, last) of the nodes reachable from each graph's entry.
 
-    One Python call per graph: control-flow graphs are small, and there are many. ``entry``
-    is a column with the graph's entry node. ``header`` marks targets of edges whose
-    source they dominate. Post-dominators are the same with ``src`` and ``dst`` exchanged
-    and the exit for the entry. A graph of over ``MAX_EDGES`` edges is an error, since its
-    edges are gathered in one task.
+    One Python call per graph: control-flow graphs are small, and there are many; its
+    memory is that of the graph's edges. ``entry`` is a column with the graph's entry
+    node. ``header`` marks targets of edges whose source they dominate. A node dominates
+    those with a ``place`` from its own to its ``last``. Post-dominators are the same with
+    ``src`` and ``dst`` exchanged and the exit for the entry.
     """
     ship(edges.sparkSession)
-    schema = f"{graph} {dict(edges.dtypes)[graph]}, node string, idom string, dom_size int, header boolean"
+    schema = f"{graph} {dict(edges.dtypes)[graph]}, node string, idom string, dom_size int, header boolean, place int, last int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = {(str(a), str(b)) for a, b in zip(pdf[src], pdf[dst])}
-        if len(pdf) > MAX_EDGES:
-            raise ValueError(f"graph {pdf[graph].iloc[0]} has more than {MAX_EDGES} edges")
-        first = str(pdf[entry].iloc[0])
-        dom = _dominators(sorted({n for p in pairs for n in p} | {first}), pairs, first)
-        rows = []
-        for n, d in sorted(dom.items()):
-            strict = d - {n}
-            rows.append((pdf[graph].iloc[0], n, max(strict, key=lambda x: len(dom[x])) if strict else None, len(d), any(b == n and a in dom and n in dom[a] for a, b in pairs)))
-        return pd.DataFrame(rows, columns=[graph, "node", "idom", "dom_size", "header"])
+        tree = _dominator_tree(pairs, str(pdf[entry].iloc[0]))
+        span = {n: (p, z) for n, _, _, p, z in tree}
+        headers = {b for a, b in pairs if a in span and b in span and span[b][0] <= span[a][0] <= span[b][1]}
+        rows = [(pdf[graph].iloc[0], n, d, k, n in headers, p, z) for n, d, k, p, z in sorted(tree)]
+        return pd.DataFrame(rows, columns=[graph, "node", "idom", "dom_size", "header", "place", "last"])
 
     return edges.select(graph, src, dst, entry).groupBy(graph).applyInPandas(run, schema)
 
 
+def backedges(edges: DataFrame, tree: DataFrame, graph: str, src: str, dst: str) -> DataFrame:
+    """(graph, src, dst): the edges whose target dominates their source; ``tree`` is what ``dominators`` returns."""
+    a = tree.select(graph, F.col("node").alias("_s"), F.col("place").alias("_at"))
+    b = tree.select(graph, F.col("node").alias("_d"), F.col("place").alias("_from"), F.col("last").alias("_to"))
+    each = edges.select(graph, F.col(src).cast("string").alias("_s"), F.col(dst).cast("string").alias("_d")).distinct()
+    return each.join(a, [graph, "_s"]).join(b, [graph, "_d"]).where("_from <= _at AND _at <= _to").select(graph, F.col("_s").alias("src"), F.col("_d").alias("dst"))
+
+
+def natural_loops(edges: DataFrame, back: DataFrame, graph: str, src: str, dst: str) -> DataFrame:
+    """(graph, header, node): the nodes of each loop, found backwards from its backedges without passing the header.
+
+    Backedges to one header make one loop. Each round takes in the predecessors of what
+    the one before found, so a body costs its edges; rounds are as many as a body is long.
+    """
+    pred = edges.select(graph, F.col(src).cast("string").alias("_p"), F.col(dst).cast("string").alias("node")).where("_p IS NOT NULL AND node IS NOT NULL").distinct()
+    heads = back.select(graph, F.col("dst").alias("header"), F.col("dst").alias("node")).distinct()
+    frontier = staged(back.select(graph, F.col("dst").alias("header"), F.col("src").alias("node")).distinct().join(heads, [graph, "header", "node"], "left_anti"), "loops")
+    body = staged(heads.unionByName(frontier), "loops")
+    while not frontier.isEmpty():
+        found = frontier.join(pred, [graph, "node"]).select(graph, "header", F.col("_p").alias("node")).distinct()
+        frontier = staged(found.join(body, [graph, "header", "node"], "left_anti"), "loops")
+        body = staged(body.unionByName(frontier), "loops")
+    return body
+
+
 def callback_entries(refs: DataFrame, callees: DataFrame, targets: DataFrame, place: list[str], symbol: str) -> DataFrame:
     """The target symbols that some reference names other than as what is called, one row each."""
     return refs.join(callees.select(*place), place, "left_anti").join(targets.select(symbol), symbol, "left_semi").select(symbol).distinct()

@@ -96,7 +96,7 @@ def exclusive_pairs(conditions: DataFrame, parent: list[str], switch: str, order
     return w.join(b, [*parent, switch]).where("_o < right").select(*parent, switch, F.col("_o").alias("left"), "right", exclusive.alias("exclusive"))
 
 
-def control_totals(transfers: DataFrame, blocks: DataFrame, edges: DataFrame, driver: str = "driver", function: str = "function") -> DataFrame:
+def control_totals(transfers: DataFrame, blocks: DataFrame, edges: DataFrame, driver: str = "driver", function: str = "function", backedges: DataFrame | None = None) -> DataFrame:
     """Control accounting by driver.
 
     ``transfers`` are (driver, function, kind, modeled, in_register_loop, in_switch,
@@ -104,7 +104,8 @@ def control_totals(transfers: DataFrame, blocks: DataFrame, edges: DataFrame, dr
     break and return. What is not modeled is unsupported if it can change which registers
     are reached: a goto; a continue, or a break out of no switch, in a loop with register
     accesses; a return guarded by parameters before one. ``complete`` needs none of them
-    and no goto without its target.
+    and no goto without its target. ``syntax.control_facts`` makes the transfers from
+    statements; with ``backedges`` (driver, function, src, dst) they are counted as well.
     """
     t = F.col("kind")
     bad = (
@@ -121,6 +122,8 @@ def control_totals(transfers: DataFrame, blocks: DataFrame, edges: DataFrame, dr
     j = edges.groupBy(driver, function, "dst").agg(F.count_distinct("src").alias("_n")).where("_n > 1").groupBy(driver).agg(F.count(F.lit(1)).alias("join_count"))
     out = got.join(b, driver, "left").join(e, driver, "left").join(j, driver, "left")
     zero = {c: 0 for c in ("function_count", "block_count", "edge_count", "join_count")}
+    if backedges is not None:
+        out, zero["backedge_count"] = out.join(backedges.groupBy(driver).agg(F.count(F.lit(1)).alias("backedge_count")), driver, "left"), 0
     return out.withColumn("complete", (F.col("unsupported") == 0) & (F.col("_open") == 0)).drop("_open").fillna(zero)
 
 

@@ -225,17 +225,11 @@ def terminating(labelled: DataFrame, unit: str) -> DataFrame:
         done = staged(done.unionByName(new), "ends")
 
 
-def continuation_guards(labelled: DataFrame, params: DataFrame, unit: str) -> DataFrame:
-    """(unit, after, before, guard, branch, source): what holds after an early exit, in pre-order places.
-
-    A guard holds for nodes whose ``pre`` is over ``after`` and, unless ``before`` is null,
-    under it. Statements at the top of a unit are looked at: an if cascade some branches of
-    which return leaves the condition of those that do not (0 if none is left), a switch
-    with returning cases that of the others, a return leaves nothing. ``params``
-    (unit, params) has the names that a condition may rest on; one on anything else says
-    nothing. A forward goto negates what governs it, up to its label.
+def _cascades(labelled: DataFrame, params: DataFrame, unit: str) -> DataFrame:
+    """(unit, node, last, s, b) of the if cascades at the top of a unit that rest on parameters only and some branch of which returns.
 
-    An else whose list is a single if continues the cascade.
+    ``s`` are the ifs in order with what they test and whether their branches return, ``b``
+    the branches' guards, the last one for none of the tests.
     """
     ends = terminating(labelled, unit)
     ended = lambda b: ends.where(F.col("branch") == b).select(unit, F.col("parent").alias("node"), F.lit(True).alias(f"_{b}_ends"))
@@ -243,34 +237,90 @@ def continuation_guards(labelled: DataFrame, params: DataFrame, unit: str) -> Da
     single = lists.where("_n = 1 AND _e.kind = 'if'").select(unit, F.col("_e.node").alias("node"), F.col("node").alias("parent"))
     ifs = labelled.where("kind = 'if'").select(unit, "node", "last", F.trim(F.coalesce("text", F.lit(""))).alias("_c"), F.col("parent").isNull().alias("_top"))
     chains = ancestors(ifs.select(unit, "node").join(single, [unit, "node"], "left"), unit)
-    steps = ifs.join(chains, [unit, "node"]).join(ended("then"), [unit, "node"], "left").join(ended("else"), [unit, "node"], "left").join(lists.select(unit, "node", F.lit(True).alias("_has_else")), [unit, "node"], "left")
+    steps = ifs.join(chains, [unit, "node"]).join(ended("then"), [unit, "node"], "left").join(ended("else"), [unit, "node"], "left")
     steps = steps.join(single.select(unit, F.col("parent").alias("node"), F.lit(True).alias("_goes_on")), [unit, "node"], "left").join(params, unit, "left")
     root = F.when(F.size("chain") > 0, F.element_at("chain", -1)).otherwise(F.col("node"))
-    step = F.struct(F.size("chain").alias("k"), F.col("_c").alias("c"), F.coalesce("_then_ends", F.lit(False)).alias("t"), F.coalesce("_goes_on", F.lit(False)).alias("on"), F.coalesce("_else_ends", F.lit(False)).alias("e"), provable(F.col("_c"), F.coalesce("params", F.expr("cast(array() AS array<string>)"))).alias("ok"))
+    no = F.lit(False)
+    step = F.struct(F.size("chain").alias("k"), F.col("node").alias("n"), F.col("_c").alias("c"), F.coalesce("_then_ends", no).alias("t"), (F.coalesce("_else_ends", no) & ~F.coalesce("_goes_on", no)).alias("e"), provable(F.col("_c"), F.coalesce("params", F.expr("cast(array() AS array<string>)"))).alias("ok"))
     cascades = steps.groupBy(unit, root.alias("node")).agg(F.array_sort(F.collect_list(step)).alias("s"))
     cascades = cascades.join(ifs.where("_top").select(unit, "node", "last"), [unit, "node"]).where("forall(s, x -> x.ok)")
     not_ = negated("x.c")
-    lead = "transform(slice(s, 1, i), x -> concat('(', {0}, ')'))".format(not_)
+    lead = f"transform(slice(s, 1, i), x -> concat('(', {not_}, ')'))"
     taken = f"transform(sequence(0, size(s) - 1), i -> named_struct('g', array_join(concat({lead}, array(concat('(', s[i].c, ')'))), ' && '), 'x', s[i].t))"
     rest = f"array(named_struct('g', array_join(transform(s, x -> concat('(', {not_}, ')')), ' && '), 'x', element_at(s, -1).e))"
-    cascades = cascades.withColumn("b", F.expr(f"concat({taken}, {rest})")).where("exists(b, x -> x.x)")
+    return cascades.withColumn("b", F.expr(f"concat({taken}, {rest})")).where("exists(b, x -> x.x)")
+
+
+def continuation_guards(labelled: DataFrame, params: DataFrame, unit: str) -> DataFrame:
+    """(unit, after, before, guard, branch, source): what holds after an early exit, in pre-order places.
+
+    A guard holds for nodes whose ``pre`` is over ``after`` and, unless ``before`` is null,
+    under it. Statements at the top of a unit are looked at: an if cascade some branches of
+    which return leaves the condition of those that do not (0 if none is left), a switch
+    with returning cases that of the others, a return leaves nothing. ``params``
+    (unit, params) has the names that a condition may rest on; one on anything else says
+    nothing. A forward goto negates what governs it, up to its label.
+
+    An else whose list is a single if continues the cascade.
+    """
     left = F.expr("filter(b, x -> NOT x.x)")
     guard = F.when(F.size(left) == 0, "0").otherwise(F.array_join(F.transform(left, lambda x: F.concat(F.lit("("), x["g"], F.lit(")"))), " || "))
     row = lambda after, before, g, branch, source: [F.col(unit), after.alias("after"), before.cast("long").alias("before"), g.alias("guard"), F.lit(branch).alias("branch"), F.lit(source).alias("source")]
     none = F.lit(None)
-    by_if = cascades.select(*row(F.col("last"), none, guard, "continuation", "early-exit"))
+    by_if = _cascades(labelled, params, unit).select(*row(F.col("last"), none, guard, "continuation", "early-exit"))
     by_return = labelled.where("kind = 'return' AND parent IS NULL").select(*row(F.col("last"), none, F.lit("0"), "unreachable", "early-exit"))
     by_switch = _switch_exits(labelled, params, unit).select(*row(F.col("last"), none, F.col("guard"), "continuation", "switch-exit"))
-    gotos = labelled.where("kind = 'goto'").select(unit, "node", "pre", "last", F.col("text").alias("_label"))
-    labels = labelled.where("kind = 'label'").groupBy(unit, F.col("text").alias("_label")).agg(F.max("pre").alias("_to"))
     held = control_frames(labelled, unit, F.col("kind") == "goto")
     taken_guard = F.when(F.size("frames") == 0, "1").otherwise(F.array_join(F.transform("frames", lambda f: F.concat(F.lit("("), f["guard"], F.lit(")"))), " && "))
-    by_goto = gotos.join(labels, [unit, "_label"]).where("_to > pre").join(held, [unit, "node"]).withColumn("_g", taken_guard).select(*row(F.col("last"), F.col("_to"), F.expr(negated("_g")), "fallthrough", "forward-goto"))
+    by_goto = _forward_gotos(labelled, unit).join(held, [unit, "node"]).withColumn("_g", taken_guard).select(*row(F.col("last"), F.col("_to"), F.expr(negated("_g")), "fallthrough", "forward-goto"))
     return by_if.unionByName(by_return).unionByName(by_switch).unionByName(by_goto)
 
 
+def _forward_gotos(labelled: DataFrame, unit: str) -> DataFrame:
+    """(unit, node, last, _to): the gotos whose label comes later, and its place."""
+    gotos = labelled.where("kind = 'goto'").select(unit, "node", "pre", "last", F.col("text").alias("_label"))
+    labels = labelled.where("kind = 'label'").groupBy(unit, F.col("text").alias("_label")).agg(F.max("pre").alias("_to"))
+    return gotos.join(labels, [unit, "_label"]).where("_to > pre").select(unit, "node", "last", "_to")
+
+
+def modeled_transfers(labelled: DataFrame, params: DataFrame, unit: str) -> DataFrame:
+    """(unit, node) of the returns and gotos that continuation guards speak for."""
+    steps = _cascades(labelled, params, unit).select(unit, F.explode("s").alias("x")).select(unit, F.col("x.n").alias("parent"), F.explode(F.array(F.when(F.col("x.t"), F.lit("then")), F.when(F.col("x.e"), F.lit("else")))).alias("branch")).where("branch IS NOT NULL")
+    returns = labelled.where("kind = 'return'")
+    out = _around(returns, labelled.join(steps, [unit, "parent", "branch"], "left_semi"), unit, {"_x": F.col("node")}, True).select(unit, "node")
+    switches = labelled.join(_switch_exits(labelled, params, unit).select(unit, F.col("node")), [unit, "node"], "left_semi")
+    out = out.union(_around(returns, switches, unit, {"_x": F.col("node")}, False).select(unit, "node"))
+    return out.union(returns.where("parent IS NULL").select(unit, "node")).union(_forward_gotos(labelled, unit).select(unit, "node")).distinct()
+
+
+def control_facts(labelled: DataFrame, params: DataFrame, unit: str) -> DataFrame:
+    """(unit, node, kind, modeled, in_register_loop, in_switch, guarded_by_parameters, before_register, resolved) of gotos, continues, breaks and returns.
+
+    Needs ``access``: whether a statement reads or writes a register. A transfer is in a
+    register loop if the innermost loop around it has such a statement; in a switch if that
+    is nearer than any loop; before a register if one comes later in the unit. It is guarded
+    by parameters if nothing but they decide the innermost if around it, or there is none.
+    """
+    points = labelled.where(F.col("kind").isin("goto", "continue", "break", "return"))
+    loops = labelled.where(F.col("kind").isin(*LOOPS))
+    touched = _around(labelled.where("access"), loops, unit, {"_loop": F.col("node")}, False).select(unit, F.col("_v._loop").alias("_loop")).distinct()
+    loop = enclosing(points, loops, unit, {"_loop": F.col("node")}).join(touched.withColumn("_touched", F.lit(True)), [unit, "_loop"], "left")
+    inner = enclosing(points, labelled.where(F.col("kind").isin(*LOOPS, "switch")), unit, {"_inner": F.col("kind")})
+    tests = enclosing(points, labelled.where("kind = 'if'"), unit, {"_test": F.trim(F.coalesce("text", F.lit("")))})
+    last = labelled.where("access").groupBy(unit).agg(F.max("pre").alias("_last"))
+    labels = labelled.where("kind = 'label'").select(unit, "text", F.lit(True).alias("_label")).distinct()
+    full = points
+    for part, on in ((loop, [unit, "node"]), (inner, [unit, "node"]), (tests, [unit, "node"]), (modeled_transfers(labelled, params, unit).withColumn("_m", F.lit(True)), [unit, "node"]), (last, unit), (labels, [unit, "text"]), (params, unit)):
+        full = full.join(part, on, "left")
+    no = F.lit(False)
+    return full.select(
+        unit, "node", "kind", F.coalesce("_m", no).alias("modeled"), F.coalesce("_touched", no).alias("in_register_loop"), F.coalesce(F.col("_inner") == "switch", no).alias("in_switch"),
+        F.coalesce(provable(F.col("_test"), F.coalesce("params", F.expr("cast(array() AS array<string>)"))), F.lit(True)).alias("guarded_by_parameters"), F.coalesce(F.col("_last") > F.col("pre"), no).alias("before_register"), F.coalesce("_label", no).alias("resolved"),
+    )
+
+
 def _switch_exits(labelled: DataFrame, params: DataFrame, unit: str) -> DataFrame:
-    """(unit, last, guard) of the switches at the top of a unit with cases that return or go elsewhere."""
+    """(unit, node, last, guard) of the switches at the top of a unit with cases that return or go elsewhere."""
     top = labelled.where("kind = 'switch' AND parent IS NULL").select(unit, "node", "pre", "last", "depth", F.trim("text").alias("_sel"))
     top = top.join(params, unit, "left").where(provable(F.col("_sel"), F.coalesce("params", F.expr("cast(array() AS array<string>)"))))
     below = enclosing(labelled.where("kind IN ('case', 'default', 'return', 'goto')"), top, unit, {"_sw": F.col("node"), "_sel": F.col("_sel"), "_last": F.col("last")}).join(labelled.select(unit, "node", "pre", "kind", "text"), [unit, "node"])
@@ -285,4 +335,4 @@ def _switch_exits(labelled: DataFrame, params: DataFrame, unit: str) -> DataFram
     )
     test = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("("), "_sel", F.lit(" == "), x["text"], F.lit(")"))), " || ")
     guard = F.when(F.col("d"), F.when(F.size("stay") > 0, test("stay"))).when(F.size("gone") > 0, F.concat(F.lit("!("), test("gone"), F.lit(")")))
-    return sides.select(unit, F.col("_last").alias("last"), guard.alias("guard")).where("guard IS NOT NULL")
+    return sides.select(unit, F.col("_sw").alias("node"), F.col("_last").alias("last"), guard.alias("guard")).where("guard IS NOT NULL")

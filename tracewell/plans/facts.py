@@ -319,7 +319,7 @@ SELECT s.cohort, s.node, (SELECT arg_max(d, z.size) FROM dom JOIN s z ON z.cohor
 
 @query(_dominator_sql("a", "b", "signup"))
 def dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.dominators(_transitions(spark, sf_dir).withColumn("entry", F.lit("signup")), "cohort", "a", "b", "entry")
+    return G.dominators(_transitions(spark, sf_dir).withColumn("entry", F.lit("signup")), "cohort", "a", "b", "entry").drop("place", "last")
 
 
 _CHAIN = "e AS (SELECT DISTINCT user_id % 10 AS cohort, CAST(event_id % 40 AS VARCHAR) AS a, CAST((event_id % 40 * (3 + user_id % 10) + 1) % (30 + user_id % 10) AS VARCHAR) AS b FROM events WHERE event_id % 40 < 30)"
@@ -332,12 +332,12 @@ def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_dominator_sql("a", "b", "0").replace(_EDGES, _CHAIN))
 def chain_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.dominators(_sparse(spark, sf_dir).withColumn("entry", F.lit("0")), "cohort", "a", "b", "entry")
+    return G.dominators(_sparse(spark, sf_dir).withColumn("entry", F.lit("0")), "cohort", "a", "b", "entry").drop("place", "last")
 
 
 @query(_dominator_sql("b", "a", "7").replace(_EDGES, _CHAIN))
 def postdominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.dominators(_sparse(spark, sf_dir).withColumn("exit", F.lit("7")), "cohort", "b", "a", "exit")
+    return G.dominators(_sparse(spark, sf_dir).withColumn("exit", F.lit("7")), "cohort", "b", "a", "exit").drop("place", "last")
 
 
 # ---------------------------------------------------------------- expressions
