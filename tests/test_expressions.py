@@ -72,15 +72,16 @@ def test_runs_are_unsigned_and_keep_indexed_state():
     assert (result, state, error) == (1 + 0xF0, {"s[2]": 1}, None) and trace[0][:2] == ("R", 20)
 
 
-def test_limits_are_errors(spark):
-    deep = spark.createDataFrame([(1, 1, list("abc"))], "g int, o int, s array<string>")
-    with pytest.raises(Exception, match="deeper"):
-        T.nested(deep, ["g"], ["o"], "s", deepest=2).collect()
+def test_nothing_is_too_deep_or_too_many(spark):
+    deep = spark.createDataFrame([(1, 1, [str(k) for k in range(40)]), (1, 2, [str(k) for k in range(39)])], "g int, o int, s array<string>")
+    assert [x["inside"] for x in T.nested(deep, ["g"], ["o"], "s").orderBy("o").collect()] == [[1] * 40, [1] * 39]
+    assert T.nested(deep.where("false"), ["g"], ["o"], "s").count() == 0
     assert T.nested(spark.createDataFrame([(1, 1, None), (1, 2, ["a"]), (1, 3, ["a", None]), (1, 4, ["b"])], deep.schema), ["g"], ["o"], "s").orderBy("o").select("inside").collect() == [([],), ([2],), ([2, 3],), ([4],)]
     nodes = [("m", 3 * k + j, None if j == 0 else 3 * k, 0 if j == 0 else 1, ("body", "then", "else")[j], k if j == 0 else 0, "Cond" if j == 0 else "Read", k * 2 + j) for k in range(18) for j in range(3)]
     df = spark.createDataFrame(nodes, "module string, node_id int, parent_id int, depth int, branch string, ord int, kind string, offset int")
-    with pytest.raises(Exception, match="variants"):
-        V.branch_variants(df, ["module"]).collect()
+    small = spark.createDataFrame([("n", 1, None, 0, "body", 0, "Read", 4), ("n", 2, None, 0, "body", 1, "Cond", None)], df.schema)
+    got = {x["module"]: (x["too_many"], x["variants"]) for x in V.branch_variants(df.unionByName(small), ["module"]).collect()}
+    assert got["m"] == (True, None) and got["n"] == (False, [[("R", 4)]])
     edges = spark.createDataFrame([("g", "a", "b", "a")] * 3, "g string, s string, d string, entry string")
     assert G.dominators(edges, "g", "s", "d", "entry").count() == 2
 

@@ -219,13 +219,15 @@ def bind_lookup(wanted: DataFrame, table: DataFrame, on: list[str], value: str)
 
 
 def mapping_origins(symbols: DataFrame, globals_: DataFrame) -> DataFrame:
-    """Symbols whose text comes from a mapping call or contains the name of a known global (a bounded list)."""
-    names = [r[0] for r in globals_.select("name").distinct().limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("mapping_origins takes at most 10,000 globals")
-    ir = F.col("ir")
-    hit = ir.rlike("|".join(MAPPING_WORDS))
-    return symbols.where(F.coalesce(hit | F.exists(F.array(*map(F.lit, names)).cast("array<string>"), lambda g: F.contains(ir, g)), F.lit(False)))
+    """Symbols whose text comes from a mapping call or contains the name of a known global.
+
+    Names are identifiers, so one is in a text if it is a part of some word of it. Parts of
+    the words of distinct texts are joined with the names, of which there may be any number.
+    """
+    words = symbols.select("ir").where("ir IS NOT NULL").distinct().select("ir", F.explode(F.array_distinct(F.regexp_extract_all("ir", F.lit(r"\w+"), F.lit(0)))).alias("_w"))
+    parts = F.expr("array_distinct(flatten(transform(sequence(1, length(_w)), i -> transform(sequence(1, length(_w) - i + 1), n -> substr(_w, i, n)))))")
+    named = words.select("ir", F.explode(parts).alias("name")).join(globals_.select("name").distinct(), "name", "left_semi").select("ir").distinct().withColumn("_named", F.lit(True))
+    return symbols.join(named, "ir", "left").where(F.coalesce(F.col("ir").rlike("|".join(MAPPING_WORDS)), F.lit(False)) | F.coalesce("_named", F.lit(False))).select(*symbols.columns)
 
 
 def base_expressions(ops: DataFrame, module: list[str]) -> DataFrame:
@@ -319,6 +321,22 @@ def first_hits(files: DataFrame, identifiers: list[str], key: str, text: str = "
     return files.select(key, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select(key, "h.*")
 
 
+def identifier_hits(files: DataFrame, identifiers: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, identifier, line): where each file first has each identifier (identifier), in letters of any case, not inside a longer word.
+
+    Underscores do not make a word longer. Words of the files are joined with the first
+    word of each identifier, and only the pairs that this leaves are searched; so there may
+    be any number of identifiers. Those without a letter or digit are left out.
+    """
+    first = lambda c: F.lower(F.regexp_extract(c, "[A-Za-z0-9]+", 0))
+    wanted = identifiers.select("identifier").distinct().withColumn("_w", first("identifier")).where("_w <> ''")
+    words = files.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower))).alias("_w"))
+    pairs = words.join(wanted, "_w").select(key, "identifier").join(files.select(key, F.col(text).alias("_t")), key)
+    place = F.regexp_instr("_t", F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), "identifier", F.lit(r"\E(?![A-Za-z0-9])")))
+    found = pairs.withColumn("_at", place).where("_at > 0")
+    return found.select(key, "identifier", (F.length(F.regexp_replace(F.expr("substring(_t, 1, _at - 1)"), r"[^\n]", "")) + 1).alias("line"))
+
+
 def case_profiles(cases: DataFrame, recipes: DataFrame, profiles: DataFrame) -> DataFrame:
     """``cases`` with the columns of the profile that their recipe names; null without a recipe or a profile."""
     return cases.join(recipes.select("case_id", "profile"), "case_id", "left").join(profiles, "profile", "left")
@@ -364,19 +382,15 @@ def instantiated(calls: DataFrame, ops: DataFrame, functions: DataFrame) -> Data
 def guard_issues(cases: DataFrame, files: DataFrame, inventory: DataFrame, allowed: DataFrame, first_run: str) -> DataFrame:
     """(issue) of a frozen holdout: sources that changed or are gone, identifiers in protected files, specialisations beyond the allowed.
 
-    ``cases`` has (case_id, source_sha256, text, identifiers), a bounded manifest; ``files``
+    ``cases`` has (case_id, source_sha256, text, identifiers); ``files``
     (path, text) are the protected ones; ``inventory`` and ``allowed`` have (category,
     value). ``first_run`` has to be one of the cases.
     """
     actual = F.sha2(F.col("text").cast("binary"), 256)
     drift = F.when(F.col("text").isNull(), F.concat(F.lit("missing holdout source of "), F.col("case_id"))).when(actual != F.col("source_sha256"), F.concat(F.lit("source hash drift for "), F.col("case_id")))
     out = cases.select(drift.alias("issue")).where("issue IS NOT NULL")
-    names = [r[0] for r in cases.select(F.explode("identifiers").alias("i")).distinct().orderBy("i").limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("guard_issues takes at most 1,000 identifiers")
-    if names:
-        hits = first_hits(files, names, "path")
-        out = out.unionByName(hits.select(F.format_string("holdout specialization %s in %s:%d", "identifier", "path", "line").alias("issue")))
+    hits = identifier_hits(files, cases.select(F.explode("identifiers").alias("identifier")), "path")
+    out = out.unionByName(hits.select(F.format_string("holdout specialization %s in %s:%d", "identifier", "path", "line").alias("issue")))
     extra = inventory.join(allowed, ["category", "value"], "left_anti").groupBy("category").agg(F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("v"))
     out = out.unionByName(extra.select(F.format_string("new %s specialization(s): %s", "category", "v").alias("issue")))
     known = cases.agg(F.coalesce(F.bool_or(F.col("case_id") == first_run), F.lit(False)).alias("ok"))

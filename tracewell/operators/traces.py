@@ -109,17 +109,18 @@ def _shared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.eqNullSafe(y)), start, step, lambda acc: acc["n"])
 
 
-def nested(df: DataFrame, group: list[str], order: list[str], stack: str, deepest: int = 16) -> DataFrame:
+def nested(df: DataFrame, group: list[str], order: list[str], stack: str) -> DataFrame:
     """Add ``row_no`` and ``inside``: for each frame of a row's stack the row that opened it.
 
     Rows in a run that share a frame at a depth, and all frames above it, are in one node;
-    the node goes by the number of its first row and its depth. A stack of over
-    ``deepest`` frames is an error.
+    the node goes by the number of its first row and its depth. The depth of the deepest
+    stack is looked up first, as each depth is a running column of its own.
     """
+    deepest = df.agg(F.max(F.size(stack))).first()[0] or 0
     w = Window.partitionBy(*group).orderBy(*order)
     s = F.coalesce(F.col(stack), F.array().cast(df.schema[stack].dataType))
     before = F.coalesce(F.lag(s).over(w), F.array().cast(df.schema[stack].dataType))
     out = df.withColumns({"row_no": F.row_number().over(w), "_before": before}).withColumn("_same", _shared(s, F.col("_before")))
     opened = [F.last(F.when(F.col("_same") < d + 1, F.col("row_no")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for d in range(deepest)]
-    checked = F.when(F.size(s) > deepest, F.raise_error(F.lit("a stack is deeper than allowed"))).otherwise(F.slice(F.array(*opened), F.lit(1), F.size(s)))
-    return out.withColumn("inside", checked).drop("_same", "_before")
+    rows = F.array(*opened) if opened else F.expr("cast(array() AS array<int>)")
+    return out.withColumn("inside", F.slice(rows, F.lit(1), F.size(s))).drop("_same", "_before")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.traces import align_calls, greedy_prefix
 
 VARIANTS = "array<array<struct<kind:string,offset:bigint>>>"
-#: Variants multiply with every condition; a module with more is an error of its own.
+#: Variants multiply with every condition; a module with more is only marked, and ``automata`` serves it.
 MOST_VARIANTS = 65_536
 _ONE_EMPTY = f"CAST(array(array()) AS {VARIANTS})"
 _NODES = "array<struct<ord:int,node_id:int,v:{}>>".format(VARIANTS)
@@ -25,7 +25,8 @@ def _product(children: Column) -> Column:
 
     def joined_with(acc: Column, c: Column) -> Column:
         every = F.flatten(F.transform(acc, lambda p: F.transform(c["v"], lambda s: F.concat(p, s))))
-        return F.when(F.size(acc) * F.size(c["v"]) > MOST_VARIANTS, F.raise_error(F.lit(f"a module has more than {MOST_VARIANTS} variants"))).otherwise(every)
+        # null from here on
+        return F.when(F.size(acc).cast("long") * F.size(c["v"]) <= MOST_VARIANTS, every)
 
     joined = F.aggregate(ordered, F.expr(_ONE_EMPTY), joined_with)
     return F.array_distinct(joined)
@@ -42,22 +43,24 @@ def _leaf() -> Column:
 
 
 def branch_variants(nodes: DataFrame, module: list[str]) -> DataFrame:
-    """(module..., variants, traceable) for each module of a node table.
+    """(module..., variants, traceable, too_many) for each module of a node table.
 
     Needs node_id, parent_id, depth (0 at the top), branch, ord, kind and offset. Cond is
     the variants of ``then`` followed by those of ``else`` (a branch without ops is one
     empty variant); Seq is its body; Loop counts as empty, whatever is in it; a
     read-modify-write is a read and a write; an access without an offset is empty and
-    makes the module untraceable. Variants that are empty at the end are left out.
+    makes the module untraceable. Variants that are empty at the end are left out. A module
+    with over ``MOST_VARIANTS`` variants has ``too_many`` and null variants; ``automata``
+    matches traces against it without listing them.
     """
     access = F.col("kind").isin("Read", "Write", "ReadModifyWrite")
-    base = nodes.select(*module, "node_id", "parent_id", "depth", "branch", F.col("ord").cast("int").alias("ord"), "kind", _leaf().alias("v"), (~F.coalesce(access, F.lit(False)) | F.col("offset").isNotNull()).alias("ok"))
+    base = nodes.select(*module, "node_id", "parent_id", "depth", "branch", F.col("ord").cast("int").alias("ord"), "kind", _leaf().alias("v"), F.lit(False).alias("many"), (~F.coalesce(access, F.lit(False)) | F.col("offset").isNotNull()).alias("ok"))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
 
     def grouped(level: DataFrame, by: list[str]) -> DataFrame:
         row = F.struct("ord", F.col("node_id").cast("int").alias("node_id"), "v")
         is_else = F.col("branch") == "else"
-        return level.groupBy(*by).agg(_product(F.collect_list(F.when(~is_else, row))).alias("_then"), _product(F.collect_list(F.when(is_else, row))).alias("_else"), F.bool_and("ok").alias("_ok"))
+        return level.groupBy(*by).agg(_product(F.collect_list(F.when(~is_else, row))).alias("_then"), _product(F.collect_list(F.when(is_else, row))).alias("_else"), F.bool_and("ok").alias("_ok"), F.bool_or("many").alias("_many"))
 
     level = base.where(F.col("depth") == deepest)
     for d in range(deepest - 1, -1, -1):
@@ -66,8 +69,11 @@ def branch_variants(nodes: DataFrame, module: list[str]) -> DataFrame:
         empty = F.expr(_ONE_EMPTY)
         v = F.when(F.col("kind") == "Cond", F.concat(F.coalesce("_then", empty), F.coalesce("_else", empty))).when(F.col("kind") == "Seq", F.coalesce("_then", empty)).otherwise(F.col("v"))
         ok = F.col("ok") & F.when(F.col("kind").isin("Cond", "Seq"), F.coalesce("_ok", F.lit(True))).otherwise(F.lit(True))
-        level = joined.withColumn("v", v).withColumn("ok", ok).drop("_then", "_else", "_ok")
-    return grouped(level, module).select(*module, F.filter("_then", lambda x: F.size(x) > 0).alias("variants"), F.col("_ok").alias("traceable"))
+        # a group without a product has too many; one without a group has no children
+        many = F.col("_ok").isNotNull() & (F.coalesce("_many", F.lit(False)) | F.col("_then").isNull() | F.col("_else").isNull()) & F.col("kind").isin("Cond", "Seq")
+        level = joined.withColumn("many", many).withColumn("v", F.when(F.col("many"), empty).otherwise(v)).withColumn("ok", ok).drop("_then", "_else", "_ok", "_many")
+    too_many = F.coalesce("_many", F.lit(False)) | F.col("_then").isNull()
+    return grouped(level, module).select(*module, F.when(~too_many, F.filter("_then", lambda x: F.size(x) > 0)).alias("variants"), F.col("_ok").alias("traceable"), too_many.alias("too_many"))
 
 
 def match_calls(events: DataFrame, calls: DataFrame, variants: DataFrame, log: str) -> DataFrame:
@@ -102,17 +108,20 @@ def match_calls(events: DataFrame, calls: DataFrame, variants: DataFrame, log: s
 def verdicts(matched: DataFrame, variants: DataFrame, events: DataFrame, log: str) -> DataFrame:
     """(log, verdict, calls, passed, ops, ops_matched, registers, registers_matched): one row per log.
 
-    ``verdict`` is the first that holds of ``unknown module``, ``untraceable``, ``no
-    segments``, ``missing`` (a call lacks accesses) and ``ok``. A register counts as
+    ``verdict`` is the first that holds of ``too many variants`` (see ``branch_variants``),
+    ``unknown module``, ``untraceable``, ``no segments``, ``missing`` (a call lacks accesses)
+    and ``ok``. A register counts as
     matched if it is in the variant of a call that lacks nothing.
     """
-    bad = variants.where(~F.col("traceable")).select(F.col("module").alias("formal"), F.lit(True).alias("_bad"))
+    many = F.col("too_many") if "too_many" in variants.columns else F.lit(False)
+    bad = variants.where(~F.col("traceable") | many).select(F.col("module").alias("formal"), (~F.col("traceable")).alias("_bad"), many.alias("_many"))
     seen = events.where("seg_id > 0").select(log, F.lit(True).alias("_seen")).distinct()
     passed = F.col("missing") == 0
     offsets = F.transform("expected", lambda a: a["offset"])
     per = matched.join(bad, "formal", "left").groupBy(log).agg(
         F.bool_or(F.col("expected").isNull()).alias("_unknown"),
         F.coalesce(F.bool_or("_bad"), F.lit(False)).alias("_untraceable"),
+        F.coalesce(F.bool_or("_many"), F.lit(False)).alias("_too_many"),
         F.count(F.lit(1)).alias("calls"),
         F.count_if(passed).alias("passed"),
         F.coalesce(F.sum(F.size("expected")), F.lit(0)).alias("ops"),
@@ -121,7 +130,7 @@ def verdicts(matched: DataFrame, variants: DataFrame, events: DataFrame, log: st
         F.size(F.array_distinct(F.flatten(F.collect_set(F.when(passed, offsets))))).alias("registers_matched"),
     )
     verdict = (
-        F.when(F.col("_unknown"), "unknown module").when(F.col("_untraceable"), "untraceable").when(F.col("_seen").isNull(), "no segments")
+        F.when(F.col("_too_many"), "too many variants").when(F.col("_unknown"), "unknown module").when(F.col("_untraceable"), "untraceable").when(F.col("_seen").isNull(), "no segments")
         .when(F.col("passed") < F.col("calls"), "missing").otherwise("ok")
     )
     return per.join(seen, log, "left").select(log, verdict.alias("verdict"), "calls", "passed", "ops", "ops_matched", "registers", "registers_matched")
