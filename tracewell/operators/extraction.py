@@ -6,15 +6,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import accesses as A
-from tracewell.functions import cexpr as X
 from tracewell.functions import expressions as E
-from tracewell.functions.batches import batched
+from tracewell.functions.folds import substituted, updated_value
+from tracewell.operators import syntax as X
+from tracewell.session import staged
 
 _NAME = r"^\s*[A-Za-z_]\w*\s*$"
 
 
-def _value(variable: str, initial: str | None, changes: list[dict] | None) -> str:
-    return X.updated_value(variable, initial, [(c["op"], c["text"], c["guards"]) for c in changes or []])
+FRAMES = "array<struct<kind:string,guard:string,branch:string>>"
+
+
+def framed(statements: DataFrame, params: DataFrame, unit: str) -> DataFrame:
+    """``statements`` that are events, with ``frames``: what governs each, outermost first.
+
+    First come the guards that earlier exits and jumps leave, the latest of them outermost,
+    then the conditions and loops around the statement. ``statements`` have the labels of
+    ``syntax.intervals`` and ``event``.
+    """
+    events = statements.where("event IS NOT NULL")
+    lexical = X.control_frames(statements, unit, F.col("event").isNotNull())
+    left = X.continuation_guards(statements, params, unit).select(F.col(unit).alias("_u"), "after", "before", "guard", "branch")
+    held = events.select(unit, "node", "pre").join(left, (F.col(unit) == F.col("_u")) & (F.col("after") < F.col("pre")) & (F.col("before").isNull() | (F.col("pre") < F.col("before"))))
+    frame = F.struct(F.lit("cond").alias("kind"), "guard", "branch")
+    order = F.struct("after", F.coalesce("before", F.lit(1 << 62)).alias("before"), frame.alias("f"))
+    earlier = held.groupBy(unit, "node").agg(F.reverse(F.array_sort(F.collect_list(order)))["f"].alias("_earlier"))
+    joined = events.join(lexical, [unit, "node"]).join(earlier, [unit, "node"], "left")
+    return joined.withColumn("frames", F.concat(F.coalesce(F.col("_earlier").cast(FRAMES), F.expr(f"cast(array() AS {FRAMES})")), F.col("frames").cast(FRAMES))).drop("_earlier")
+
+
+def walk(statements: DataFrame, params: DataFrame, unit: str, entries: DataFrame | None = None, depth: int = 3) -> DataFrame:
+    """(unit, path, kind, address, width, var, value, frames) of the operations of each function and of the helpers that it calls.
+
+    ``statements`` are one function a unit, as for ``operations`` (event, name, args, lhs,
+    op, text) with the tree (node, parent, ord, branch, kind) around them and the labels of
+    ``syntax.intervals``; ``text`` of an event is what it assigns or returns. ``params``
+    (unit, params: names). A call of another unit's ``name`` (the unit as text) puts that
+    unit's operations in its place, but for returns: parameters are replaced by the
+    arguments, and the call's frames come before theirs. Calls are followed ``depth`` deep,
+    not into the function itself, nor into ``entries`` (unit), which are called from
+    elsewhere. Sorting by ``path`` gives the order.
+    """
+    events = staged(framed(statements, params, unit), "events")
+    guards = F.transform("frames", lambda f: f["guard"])
+    own = operations(events.select(unit, F.col("pre").alias("ord"), "event", "name", "args", "lhs", "op", F.col("value").alias("text"), guards.alias("guards")), [unit])
+    frames = events.select(unit, F.col("pre").alias("ord"), "frames")
+    own = own.join(frames, [unit, "ord"]).select(unit, F.array(F.col("ord").cast("long")).alias("path"), "kind", "address", "width", "var", "value", "frames")
+    own = staged(own, "walked")
+    known = params.select(unit, "params", F.col(unit).cast("string").alias("name"))
+    known = known if entries is None else known.join(entries.select(unit), unit, "left_anti")
+    sites = events.where("event = 'call'").select(F.col(unit).alias("_caller"), "pre", "args", F.col("frames").alias("_outer"), "name").join(known.select(F.col(unit).alias("_callee"), "params", "name"), "name").where("_caller <> _callee")
+    n = F.least(F.size("params"), F.size(F.coalesce("args", F.array().cast("array<string>"))))
+    mapping = F.map_from_arrays(F.slice("params", F.lit(1), n), F.slice("args", F.lit(1), n))
+    sites = staged(sites.select("_caller", "_callee", "pre", mapping.alias("_m"), "_outer"), "sites")
+    now = own
+    for _ in range(depth):
+        inner = sites.join(now.where("kind <> 'Return'").withColumnRenamed(unit, "_callee"), "_callee")
+        put = lambda c: substituted(F.col(c), F.col("_m")).alias(c)
+        there = F.transform("frames", lambda f: f.withField("guard", substituted(f["guard"], F.col("_m"))))
+        made = inner.select(F.col("_caller").alias(unit), F.concat(F.array("pre"), "path").alias("path"), "kind", put("address"), "width", "var", put("value"), F.concat("_outer", there).cast(FRAMES).alias("frames"))
+        now = staged(own.unionByName(made), "walked")
+    return now
 
 
 def operations(events: DataFrame, function: list[str]) -> DataFrame:
@@ -68,7 +120,7 @@ def operations(events: DataFrame, function: list[str]) -> DataFrame:
     uses = parts.where(F.col("_from").isNotNull()).withColumn("_use", F.explode("_uses")).select(*function, "_v", "_from", "_use", shown.alias("_c"))
     same = F.coalesce(F.col("_from.address") == F.col("_use.address"), F.lit(False))
     assigned = F.col("_from.address").isNull()
-    held = batched(_value, "string")(F.col("_v"), F.when(assigned, F.col("_from.text")), F.col("_c"))
+    held = updated_value(F.col("_v"), F.when(assigned, F.col("_from.text")), F.col("_c"))
     values = uses.where(same | assigned).select(*function, F.col("_use.ord").alias("ord"), same.alias("_same"), F.col("_v"), held.alias("_held"))
 
     out = known.where(F.col("_o").isNotNull()).join(values, [*function, "ord"], "left")

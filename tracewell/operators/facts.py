@@ -370,13 +370,13 @@ def instantiated(calls: DataFrame, ops: DataFrame, functions: DataFrame) -> Data
     pos, kind, address, value, guard). A call with fewer arguments than parameters leaves
     the rest as they are; names of members are never replaced.
     """
-    from tracewell.functions.cexpr import substituted_column
+    from tracewell.functions.folds import substituted
 
     f = functions.select(F.col("symbol").alias("callee"), "params")
     n = F.least(F.size("params"), F.size("args"))
     mapping = F.map_from_arrays(F.slice("params", F.lit(1), n), F.slice("args", F.lit(1), n))
     got = calls.join(f, "callee").withColumn("_m", mapping).join(ops.withColumnRenamed("symbol", "callee"), "callee")
-    return got.select(*calls.columns, "pos", "kind", *[substituted_column(F.col(c), F.col("_m")).alias(c) for c in ("address", "value", "guard")])
+    return got.select(*calls.columns, "pos", "kind", *[substituted(F.col(c), F.col("_m")).alias(c) for c in ("address", "value", "guard")])
 
 
 def guard_issues(cases: DataFrame, files: DataFrame, inventory: DataFrame, allowed: DataFrame, first_run: str) -> DataFrame:

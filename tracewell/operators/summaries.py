@@ -259,3 +259,107 @@ def acceptance(runs: DataFrame, key: str) -> DataFrame:
     }
     held = runs.select(key, *[F.coalesce(f, F.lit(False)).alias(n) for n, f in flags.items()])
     return held.withColumn("accepted", F.forall(F.array(*flags), lambda x: x))
+
+
+#: Queue calls in a loop, and the counter that bounds it.
+QUEUE_BOUNDS = {"virtqueue_get_buf": "completed", "virtqueue_detach_unused_buf": "outstanding", "virtqueue_add_inbuf_cache_clean": "queue_depth"}
+LOOP_FRAMES = "array<struct<kind:string,loop_kind:string,guard:string,source:string,init:string,step:string,contract:string>>"
+
+
+def bounded_loop_frames(ops: DataFrame, key: list[str]) -> DataFrame:
+    """``ops`` (key, ord, queue_operation, prefix, frames) with loops around queue calls counted up to the queue's counter.
+
+    A loop goes by its source, or its guard without one. Every frame of such a loop, also
+    of other operations of the same key, is rewritten; of several calls in one loop the
+    last decides. Sizes of id tables become 8. A null array of frames stays null.
+    """
+    frames = F.col("frames").cast(LOOP_FRAMES)
+    name = lambda f: F.coalesce(F.nullif(f["source"], F.lit("")), f["guard"], F.lit(""))
+    counter = F.coalesce(*[F.when(F.col("queue_operation") == q, _cat(F.col("prefix"), f"_{c}")) for q, c in QUEUE_BOUNDS.items()])
+    around = ops.select(*key, "ord", counter.alias("_c"), F.posexplode(frames).alias("_i", "_f")).where("_c IS NOT NULL AND _f.kind = 'loop'")
+    each = around.groupBy(*key, name(F.col("_f")).alias("k")).agg(F.max_by("_c", F.struct("ord", "_i")).alias("v"))
+    bounds = each.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_b"))
+    sized = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"sizeof\s*\(\s*struct\s+[A-Za-z_]\w*_devids\s*\)", "8")
+
+    def one(f: Column) -> Column:
+        field = F.try_element_at(F.col("_b"), name(f))
+        kept = f.withField("guard", sized(f["guard"])).withField("source", sized(f["source"]))
+        loop = kept.withField("kind", F.lit("loop")).withField("loop_kind", F.lit("for")).withField("init", F.lit("unsigned int __virtio_i = 0")).withField("guard", _cat("__virtio_i < vi->", field)).withField("step", F.lit("__virtio_i++")).withField("contract", F.lit("linux.virtqueue.bounded"))
+        return F.when(field.isNotNull(), loop).otherwise(kept)
+
+    return ops.join(bounds, key, "left").withColumn("frames", F.transform(frames, one)).drop("_b")
+
+
+def base_store(assignments: DataFrame, seeds: DataFrame, macros: DataFrame, unit: str) -> DataFrame:
+    """(unit, name, expr): what each variable stands for after the assignments (unit, ord, name, text), made in order.
+
+    ``seeds`` (unit, name) are pointers and mapped bases, which stand for themselves;
+    ``macros`` (unit, name, value) are put in as numbers. An assignment takes what names in
+    it stand for by then; one with a call in it is passed over. A unit's assignments are
+    folded in one row: a function's, not a program's.
+    """
+    from tracewell.functions.folds import substituted, with_macros
+
+    empty = F.expr("cast(map() AS map<string, string>)")
+    start = seeds.where("name IS NOT NULL").groupBy(unit).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("name", F.col("name").alias("v"))))).alias("_s"))
+    numbers = macros.where("value IS NOT NULL").groupBy(unit, "name").agg(F.min("value").alias("value")).groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct("name", F.col("value").cast("long")))).alias("_m"))
+    ordered = assignments.where(r"name IS NOT NULL AND text IS NOT NULL AND NOT text RLIKE '\\b[A-Za-z_]\\w*\\s*\\('").groupBy(unit).agg(F.array_sort(F.collect_list(F.struct("ord", "name", F.trim("text").alias("text")))).alias("_a"))
+    both = start.join(ordered, unit, "full_outer").join(numbers, unit, "left")
+
+    def step(acc: Column, a: Column) -> Column:
+        named = substituted(a["text"], acc)
+        value = F.when(F.col("_m").isNull(), named).otherwise(with_macros(named, F.col("_m")))
+        return F.map_concat(F.map_filter(acc, lambda k, _: k != a["name"]), F.create_map(a["name"], value))
+
+    none = F.expr("cast(array() AS array<struct<ord: bigint, name: string, text: string>>)")
+    folded = F.aggregate(F.coalesce(F.col("_a").cast("array<struct<ord: bigint, name: string, text: string>>"), none), F.coalesce("_s", empty), step)
+    return both.select(unit, F.explode(folded).alias("name", "expr"))
+
+
+def expanded_accessors(ops: DataFrame, returns: DataFrame, key: list[str]) -> DataFrame:
+    """(key, ord, sub, op) of private accessors with each access through a public one replaced by what that does.
+
+    ``ops`` has (key, ord, op, field, callee, base, reg, value): the field of the table that
+    the accessor is for, and the public accessor called, null for other operations, which
+    stay. An operation's guard holds for all that it becomes. A reading accessor that
+    returns nothing yet returns the expression of ``returns`` (key, field, text), last.
+    """
+    public = F.col("callee").isin(*FIELD_READS["ioaddr"], *FIELD_WRITES["ioaddr"]) & F.col("op.kind").isin("Read", "Write", "ReadModifyWrite")
+    outer = F.col("op.guard")
+    both = lambda x: F.when(outer.isNull(), x["guard"]).when(x["guard"].isNull(), outer).otherwise(_cat("(", outer, ") && (", x["guard"], ")"))
+    several = F.transform(accessor_operations(F.col("field"), F.col("callee"), F.col("base"), F.col("reg"), F.col("value")).cast(f"array<{OP}>"), lambda x: x.withField("guard", both(x)))
+    rows = ops.select(*key, "ord", F.posexplode(F.when(F.coalesce(public, F.lit(False)), several).otherwise(F.array(F.col("op").cast(OP)))).alias("sub", "op"))
+    done = rows.where("op.kind = 'Return'").select(*key).distinct()
+    more = returns.where("field LIKE 'read\\_%' AND text <> ''").join(done, key, "left_anti").select(*key, F.lit(2_000_000_000).alias("ord"), F.lit(0).alias("sub"), operation("Return", 0, value=F.col("text")).cast(OP).alias("op"))
+    return rows.select(*key, F.col("ord").cast("int").alias("ord"), "sub", "op").unionByName(more)
+
+
+def contract_verdicts(nodes: DataFrame, driver: str, module: str) -> tuple[DataFrame, DataFrame]:
+    """(driver, module, gpio, sdhci): which modules a runner may take by contract; and (driver, accessor_only, state_only), of whole drivers.
+
+    ``nodes`` has kind, addr_kind, lowerable, origin, contract, summary, reliability and
+    bounded. Modules of both kinds need a leaf and no loop. Leaves of a generic chip's
+    configuration come from its summary and are not Unsupported; those of host tables are
+    of that contract and neither Unsupported nor Unknown, and waits are let through. An
+    address is fixed, symbolic, or computed and lowerable. A driver only has accessors if
+    all its leaves are theirs; only state if its leaves are state operations of the bus or
+    queues, at least one of them, and its loops are exact and bounded.
+    """
+    k = F.col("kind")
+    inner = k.isin("Cond", "Seq", "Loop")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    register = k.isin("Read", "Write", "ReadModifyWrite")
+    address = ~register | F.col("addr_kind").isin("symbolic", "fixed") | ((F.col("addr_kind") == "computed") & yes(F.col("lowerable")))
+    state = k.isin("StateRead", "StateWrite", "Return")
+    firm = ~F.coalesce("reliability", F.lit("")).isin("Unsupported", "Unknown")
+    gpio = yes((register | state | (k == "OutputWrite")) & (F.col("origin") == "subsystem_summary") & (F.col("contract") == "linux.gpio_generic_chip_config") & (F.coalesce("reliability", F.lit("")) != "Unsupported") & address)
+    sdhci = yes((k == "Delay") | ((register | state) & (F.col("contract") == "linux.sdhci_ops") & firm & address))
+    accessor = yes((k == "Delay") | ((register | state) & (F.col("origin") == "subsystem_summary") & (F.col("summary") == "sdhci_accessor") & firm & address))
+    moved = k.isin("StateRead", "StateWrite")
+    virtio = yes((k == "Return") | (moved & F.col("contract").isin("linux.virtio_config", "linux.virtqueue", "linux.virtio.lifecycle") & firm))
+    leaf, loop = k.isNotNull() & ~inner, k == "Loop"
+    every = lambda c: F.coalesce(F.bool_and(F.when(leaf, c)), F.lit(False)) & ~F.coalesce(F.bool_or(loop), F.lit(False))
+    exact = yes((F.col("reliability") == "Exact") & F.col("bounded"))
+    modules = nodes.groupBy(driver, module).agg(every(gpio).alias("gpio"), every(sdhci).alias("sdhci"))
+    only_state = F.coalesce(F.bool_and(F.when(leaf, virtio).when(loop, exact)), F.lit(False)) & F.coalesce(F.bool_or(leaf & moved), F.lit(False))
+    return modules, nodes.groupBy(driver).agg(every(accessor).alias("accessor_only"), only_state.alias("state_only"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import annotations as N
 from tracewell.functions import cexpr as X
 from tracewell.functions import expressions as E
+from tracewell.functions import folds
 from tracewell.functions import roles as R
 from tracewell.functions import rules
 from tracewell.functions.batches import batched
@@ -78,7 +79,7 @@ def macro_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(F.lit("base"), F.lit("b"), F.lit("d"), F.lit("x"), F.lit("idx"), F.lit("idx"), F.lit("n"), F.concat(F.lit("("), F.col("o_custkey").cast("string"), F.lit(")")))
     wanted = C.pick(("N_CNT", "BODY", "KEY", "OTHER"), "o_orderkey")
     bodies = F.create_map(F.lit("BODY"), F.lit("(KEY + REG) * 2"), F.lit("OTHER"), F.lit("KEY + unknown"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", X.macro_column(text, macros).alias("expanded"), X.substituted_column(F.lit("d->base + n + idx->base"), names).alias("substituted"), X.macro_value_column(wanted, macros, bodies).alias("bound"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", folds.with_macros(text, macros).alias("expanded"), folds.substituted(F.lit("d->base + n + idx->base"), names).alias("substituted"), X.macro_value_column(wanted, macros, bodies).alias("bound"))
 
 
 _PURE = {"twice": (["x"], "x * 2"), "sum": (["a", "b"], "twice(a) + b")}
@@ -100,8 +101,7 @@ def return_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderkey") % 4 == 1, F.array(r("-EINVAL", first), r("x", second), r("0", none)))
         .when(F.col("o_orderkey") % 4 == 2, F.array(r("x", first), r("x", second))).otherwise(F.array(r("x", first), r("y", second)))
     )
-    merged = batched(lambda rs: X.returned_value([(x["t"], x["g"], x["p"]) for x in rs or []]), "string")
-    return read(spark, sf_dir, "orders").select("o_orderkey", merged(rows).alias("returned"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", folds.returned(rows).alias("returned"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '((c' || o_custkey || ') ? (p + 4) : (p + 8))' WHEN 1 THEN '((c' || o_custkey || ') ? (p + 4) : (base + 0))' END AS pointer,
@@ -112,11 +112,12 @@ def assignment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda t, c: F.struct(F.lit(t).alias("t"), c.alias("c"))
     twin = F.array(row("p + 4", F.array(guard)), row("p + 8", F.array(F.concat(F.lit("!("), guard, F.lit(")")))))
     rows = F.when(F.col("o_orderkey") % 3 == 0, twin).when(F.col("o_orderkey") % 3 == 1, F.array(row("base", none), row("base + 0", none), row("p + 4", F.array(guard)))).otherwise(F.array(row("p + 4", F.array(guard))))
-    pointer = batched(lambda rs: X.pointer_value([(x["t"], x["c"]) for x in rs]), "string")
-    branch = batched(lambda g: X.updated_value("v", None, [("|=", "1", []), ("&=", "~2", [g])]), "string")
-    switch = batched(lambda k: X.switched_value("v", "type", [(["A", "B"], [("|=", k)]), ([], [("=", "0")])]), "string")
-    written = F.when(F.col("o_orderkey") % 2 == 0, branch(guard)).otherwise(switch(F.col("o_custkey").cast("string")))
-    return read(spark, sf_dir, "orders").select("o_orderkey", pointer(rows).alias("pointer"), written.alias("written"))
+    change = lambda op, text, guards: F.struct(F.lit(op).alias("op"), text.alias("text"), guards.alias("guards"))
+    branch = folds.updated_value(F.lit("v"), F.lit(None).cast("string"), F.array(change("|=", F.lit("1"), none), change("&=", F.lit("~2"), F.array(guard))))
+    one = lambda labels, op, text: F.struct(labels.alias("labels"), F.array(F.struct(F.lit(op).alias("op"), text.alias("text"))).alias("changes"))
+    switch = folds.switched_value(F.lit("v"), F.lit("type"), F.array(one(F.array(F.lit("A"), F.lit("B")), "|=", F.col("o_custkey").cast("string")), one(none, "=", F.lit("0"))))
+    written = F.when(F.col("o_orderkey") % 2 == 0, branch).otherwise(switch)
+    return read(spark, sf_dir, "orders").select("o_orderkey", folds.pointer_value(rows).alias("pointer"), written.alias("written"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Offset' WHEN 1 THEN 'Indirect' WHEN 2 THEN 'Indirect' WHEN 3 THEN 'Fixed' WHEN 4 THEN 'Offset' ELSE 'Offset' END AS kind,

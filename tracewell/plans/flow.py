@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators import extraction as W
 from tracewell.operators import graphs as G
 from tracewell.operators import paths as P
 from tracewell.operators import pointers as A
@@ -183,3 +184,31 @@ def points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*map(F.lit, ("address", "copy", "load", "store", "copy", "address")))
     a = read(spark, sf_dir, "lineitem").select(F.get(kinds, F.expr("cast((l_orderkey + l_linenumber) % 6 AS int)")).alias("kind"), F.expr("l_partkey * 64 + l_orderkey % 37").alias("left"), F.expr("l_partkey * 64 + (l_suppkey + l_linenumber * 3) % 37").alias("right"))
     return A.points_to(a)
+
+
+#: What an expression statement is, by its number: a read into a variable of its own, a write, a wait, or a call of the unit's half.
+_EVENT = "CASE WHEN kind = 'return' THEN 'return' WHEN kind = 'expr' THEN 'call' END"
+_NAME = "CASE WHEN kind = 'expr' THEN CASE node % 4 WHEN 0 THEN 'readl' WHEN 1 THEN 'writel' WHEN 2 THEN 'udelay' ELSE CAST(unit {div} 2 AS {text}) END END"
+
+
+@query(f"""{_GUARDS_SQL}, cg AS (SELECT * FROM ({S.ORACLE_SQL["continuation_guards"][len(_GUARDS_SQL):]})),
+ev AS (SELECT s.unit, s.node, p.pre, s.kind AS sk, s.node % 4 AS m FROM st s JOIN pre p ON p.unit = s.unit AND p.node = s.node WHERE s.kind IN ('expr', 'return')),
+held2 AS (SELECT e.unit, e.node, list(g.guard ORDER BY g.after DESC, coalesce(g.before, 1::BIGINT << 62) DESC, g.guard DESC, g.branch DESC) AS gs FROM ev e JOIN cg g ON g.unit = e.unit AND g.after < e.pre AND (g.before IS NULL OR e.pre < g.before) GROUP BY ALL),
+fr AS (SELECT e.*, list_concat(coalesce(h.gs, []), coalesce(list_transform(k.frames, lambda f: f.guard), [])) AS gs FROM ev e LEFT JOIN held2 h ON h.unit = e.unit AND h.node = e.node LEFT JOIN stacks k ON k.unit = e.unit AND k.node = e.node),
+w0 AS (SELECT unit, [pre] AS path, CASE WHEN sk = 'return' THEN 'Return' WHEN m = 0 THEN 'Read' WHEN m = 1 THEN 'Write' ELSE 'Delay' END AS kind, CASE WHEN sk = 'expr' AND m < 2 THEN 'x + REG' || (node % 5) END AS address, CASE WHEN sk = 'return' THEN 'y + ' || node WHEN m = 1 THEN 'y | ' || node WHEN m = 2 THEN CAST(node * 1000 AS VARCHAR) END AS value, gs FROM fr WHERE sk = 'return' OR m < 3),
+site AS (SELECT unit, pre, unit // 2 AS callee, 'b' || node AS x, 'p->y' AS y, gs FROM fr WHERE sk = 'expr' AND m = 3 AND unit // 2 <> unit AND unit // 2 IN (SELECT unit FROM st) AND (unit // 2) % 10 <> 3),
+{', '.join(f"w{k} AS (SELECT * FROM w0 UNION ALL SELECT s.unit, list_prepend(s.pre, w.path), w.kind, {{0}}(w.address), {{0}}(w.value), list_concat(s.gs, list_transform(w.gs, lambda g: {{0}}(g))) FROM site s JOIN w{k - 1} w ON w.unit = s.callee WHERE w.kind <> 'Return')" for k in (1, 2)).replace('{0}(w.address)', "regexp_replace(regexp_replace(w.address, '(^|[^A-Za-z0-9_>.])x([^A-Za-z0-9_]|$)', '\\1' || s.x || '\\2'), '(^|[^A-Za-z0-9_>.])y([^A-Za-z0-9_]|$)', '\\1' || s.y || '\\2')").replace('{0}(w.value)', "regexp_replace(w.value, '(^|[^A-Za-z0-9_>.])y([^A-Za-z0-9_]|$)', '\\1' || s.y || '\\2')").replace('{0}(g)', "regexp_replace(regexp_replace(g, '(^|[^A-Za-z0-9_>.])x([^A-Za-z0-9_]|$)', '\\1' || s.x || '\\2', 'g'), '(^|[^A-Za-z0-9_>.])y([^A-Za-z0-9_]|$)', '\\1' || s.y || '\\2', 'g')")}
+SELECT unit, array_to_string(path, '.') AS path, kind, address, value, array_to_string(gs, '; ') AS guards FROM w2""")
+def walked_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = S.labelled(spark, sf_dir)
+    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    m, n = F.col("node") % 4, F.col("node")
+    place = text("x + REG", n % 5)
+    events = nodes.withColumns({
+        "event": F.expr(_EVENT), "name": F.expr(_NAME.format(div="div", text="string")), "lhs": F.when((F.col("kind") == "expr") & (m == 0), text("r", n)), "op": F.lit(None).cast("string"),
+        "args": F.when(F.col("kind") == "expr", F.when(m == 0, F.array(place)).when(m == 1, F.array(text("y | ", n), place)).when(m == 2, F.array(n.cast("string"))).otherwise(F.array(text("b", n), F.lit("p->y")))),
+        "value": F.when(F.col("kind") == "return", text("y + ", n)),
+    })
+    params = nodes.select("unit").distinct().withColumn("params", F.array(F.lit("x"), F.lit("y")))
+    got = W.walk(events, params, "unit", entries=params.where("unit % 10 = 3").select("unit"), depth=2)
+    return got.select("unit", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "kind", "address", "value", F.array_join(F.transform("frames", lambda f: f["guard"]), "; ").alias("guards"))

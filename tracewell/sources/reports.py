@@ -71,3 +71,51 @@ def typed_value(text: Column) -> Column:
     number = text.try_cast("double")
     flag = F.when(text == "True", True).when(text == "False", False)
     return F.struct(flag.alias("flag"), F.when(flag.isNull(), number).alias("number"), F.when(flag.isNull() & number.isNull(), text).alias("text"))
+
+
+def _section(head: str, lines, array) -> Column:
+    """A heading and one line for each element, or null without elements."""
+    return F.when(F.size(array) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(array, lines), "\n")))
+
+
+def _join(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def device_text(devices: DataFrame, key: str) -> DataFrame:
+    """(key, text): the listing of a device, which ``logs.register_offsets`` reads registers from.
+
+    ``devices`` has name, class, source, state (name, type, bind), resources (name, type,
+    required, bind), registers (name, width, base, offset), invariants and functions, the
+    latter two as texts. Empty arrays and a null source leave out their lines.
+    """
+    bind = lambda x: F.when(x["bind"].isNotNull() & (x["bind"] != ""), F.concat(F.lit(" bind "), x["bind"])).otherwise("")
+    state = F.when(F.size("state") > 0, F.concat(_section("  state {", lambda x: _join("    ", x["name"], ": ", x["type"], bind(x)), F.col("state")), F.lit("\n  }")))
+    resources = F.when(F.size("resources") > 0, F.array_join(F.transform("resources", lambda x: _join("  resource ", x["name"], ": ", x["type"], " { required ", x["required"].cast("string"), bind(x), " }")), "\n"))
+    registers = F.when(F.size("registers") > 0, F.array_join(F.transform("registers", lambda x: _join("  register ", x["name"], ": ", x["width"], " at ", x["base"], " + 0x", F.lower(F.hex(x["offset"])))), "\n"))
+    invariants = F.when(F.size("invariants") > 0, F.array_join(F.transform("invariants", lambda x: _join("  invariant ", x)), "\n"))
+    functions = F.when(F.size("functions") > 0, F.array_join("functions", "\n"))
+    source = F.when(F.coalesce("source", F.lit("")) != "", _join('  source "', F.col("source"), '"'))
+    return devices.select(key, F.concat_ws("\n", _join("device ", F.col("name"), " {"), _join("  class ", F.col("class")), source, state, resources, registers, invariants, functions, F.lit("}")).alias("text"))
+
+
+def facts_text(facts: DataFrame, key: str) -> DataFrame:
+    """(key, text): the report of a source's facts.
+
+    ``facts`` has source, includes, structs (name, fields (name, ctype)), constants (name,
+    value), callbacks (name, function), resources (name, acquisition, binds_to),
+    error_paths, helper_calls and snippets (name, calls), arrays in the order in which they
+    are shown. Empty ones leave out their section; negative constants keep their sign.
+    """
+    number = lambda v: F.when(v < 0, F.concat(F.lit("-0x"), F.lower(F.hex(-v)))).otherwise(F.concat(F.lit("0x"), F.lower(F.hex(v))))
+    item = lambda x: _join("  - ", x)
+    quoted = lambda x: _join('  - "', x, '"')
+    field = lambda f: _join("      ", f["name"], ': "', f["ctype"], '"')
+    struct = lambda x: F.concat_ws("\n", _join("  ", x["name"], ":"), F.lit("    fields:"), F.when(F.size(x["fields"]) > 0, F.array_join(F.transform(x["fields"], field), "\n")))
+    resource = lambda x: F.concat_ws("\n", _join("  ", x["name"], ":"), _join('    acquisition: "', x["acquisition"], '"'), F.when(F.coalesce(x["binds_to"], F.lit("")) != "", _join('    binds_to: "', x["binds_to"], '"')))
+    snippet = lambda x: F.concat_ws("\n", _join("  ", x["name"], ":"), F.when(F.size(x["calls"]) > 0, F.array_join(F.transform(x["calls"], lambda c: _join('    - "', c, '"')), "\n")))
+    return facts.select(key, F.concat_ws(
+        "\n", _join("source: ", F.col("source")), _section("includes:", item, F.col("includes")), _section("structs:", struct, F.col("structs")), _section("constants:", lambda x: _join("  ", x["name"], ": ", number(x["value"])), F.col("constants")),
+        _section("callbacks:", lambda x: _join("  ", x["name"], ": ", x["function"]), F.col("callbacks")), _section("resources:", resource, F.col("resources")), _section("error_paths:", quoted, F.col("error_paths")), _section("helper_calls:", quoted, F.col("helper_calls")),
+        _section("source_snippets:", snippet, F.col("snippets")),
+    ).alias("text"))
