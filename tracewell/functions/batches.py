@@ -1,4 +1,4 @@
-"""Python functions on columns, run on Arrow batches; inputs that repeat within a task are computed once."""
+"""Python functions on columns, run on Arrow batches."""
 
 from __future__ import annotations
 
@@ -14,18 +14,6 @@ from pyspark.sql.types import _parse_datatype_string
 from tracewell.session import ship
 
 
-#: Inputs whose results a task keeps; it forgets them all between batches beyond that.
-MOST_KNOWN = 20_000
-
-
-def _frozen(x: Any) -> Any:
-    if isinstance(x, (list, tuple)):
-        return tuple(map(_frozen, x))
-    if isinstance(x, dict):
-        return ("{}", *((k, _frozen(v)) for k, v in x.items()))
-    return x
-
-
 def _plain(x: Any, t: pa.DataType) -> Any:
     """Tuples as the structs that the type asks for."""
     if x is None:
@@ -43,7 +31,8 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
     """``function`` of plain Python values as a function of columns that returns the SQL type ``returns``.
 
     Maps arrive as lists of pairs. Structs are returned as tuples in the order of their
-    fields. The function must be pure: equal inputs share one call.
+    fields. The function must be pure: where all inputs are texts, numbers or booleans,
+    those that repeat within one batch share a call. Nothing is kept between batches.
     """
 
     def call(*columns: Column) -> Column:
@@ -52,18 +41,13 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
             ship(spark)
         kind = to_arrow_type(_parse_datatype_string(returns))
 
-        known: dict[Any, Any] = {}  # each task has its own copy
-
         def run(*arrays: pa.Array) -> pa.Array:
-            out = []
-            if len(known) > MOST_KNOWN:
-                known.clear()
-            for row in zip(*(a.to_pylist() for a in arrays)):
-                key = _frozen(row)
-                if key not in known:
-                    known[key] = _plain(function(*row), kind)
-                out.append(known[key])
-            return pa.array(out, kind)
+            rows = zip(*(a.to_pylist() for a in arrays))
+            if any(pa.types.is_nested(a.type) for a in arrays):
+                return pa.array([_plain(function(*row), kind) for row in rows], kind)
+            rows = list(rows)
+            known = {row: _plain(function(*row), kind) for row in set(rows)}
+            return pa.array([known[row] for row in rows], kind)
 
         return F.arrow_udf(run, returns)(*columns)
 

@@ -210,3 +210,17 @@ def bank_models(fields: DataFrame, sources: DataFrame, macros: DataFrame, key: l
         got(r"fwnode_property_read_u32\\s*\\([^,]+,\\s*\"([^\"]+)\"\\s*,\\s*&\\s*", r"\\s*\\)").alias("property"),
         value(got(r"if\\s*\\(\\s*", rf"\\s*==\\s*{number}\\s*\\)\\s*[A-Za-z_]\\w*irq[A-Za-z_]*\\s*\\(")).alias("irq_selector"),
     )
+
+
+def applied_bank_models(ops: DataFrame, models: DataFrame, key: list[str]) -> DataFrame:
+    """``ops`` (key, base, expr: a computed address) with the bank's selector in it replaced by the state that holds it.
+
+    ``models`` has (key, selector, base, state_field), one row a key. Addresses from another
+    base stay; those from the model's are then from ``base``, the mapped base of any bank.
+    The selector is replaced where it stands alone, not inside a longer name.
+    """
+    m = models.select(*key, F.col("selector").alias("_sel"), F.col("base").alias("_base"), F.col("state_field").alias("_state"))
+    inside = F.coalesce(F.col("base") == F.col("_base"), F.lit(False))
+    put = F.expr(f"regexp_replace(expr, concat('(?<![A-Za-z0-9_])', {_quoted('_sel')}, '(?![A-Za-z0-9_])'), _state)")
+    got = ops.join(m, key, "left").withColumns({"expr": F.when(inside, put).otherwise(F.col("expr")), "_b": F.when(inside, "base").otherwise(F.col("base"))})
+    return got.drop("base", "_sel", "_base", "_state").withColumnRenamed("_b", "base").select(*ops.columns)

@@ -186,9 +186,9 @@ def module_names(functions: DataFrame, driver: str) -> DataFrame:
 
 
 def register_maps(ops: DataFrame, macros: DataFrame, driver: str) -> DataFrame:
-    """(driver, name, offset, width): the registers that operations name, with the width of the first and the macro's offset, in order of offset."""
+    """(driver, name, offset, width): the registers that operations name, with the width of the first and the macro's offset."""
     first = ops.where("reg_name IS NOT NULL AND reg_name <> ''").groupBy(driver, F.col("reg_name").alias("name")).agg(F.coalesce(F.min_by("width", "ord"), F.lit(4)).alias("width"))
-    return first.join(macros.where("value IS NOT NULL").select(driver, "name", F.col("value").alias("offset")), [driver, "name"]).select(driver, "name", "offset", "width").sortWithinPartitions(driver, "offset")
+    return first.join(macros.where("value IS NOT NULL").select(driver, "name", F.col("value").alias("offset")), [driver, "name"]).select(driver, "name", "offset", "width")
 
 
 def function_specs(modules: DataFrame, functions: DataFrame, bindings: DataFrame, entries: DataFrame) -> DataFrame:
@@ -205,11 +205,11 @@ def function_specs(modules: DataFrame, functions: DataFrame, bindings: DataFrame
 
 
 def binding_report(bindings: DataFrame, entries: DataFrame) -> DataFrame:
-    """``bindings`` (all of them, alternates too) by function, table, field and line, with ``entry``: bound if the symbol is a callback entry; unbound entries have no binding."""
+    """``bindings`` (all of them, alternates too) with ``entry``: bound if the symbol is a callback entry; unbound entries have no binding."""
     e = entries.select("symbol").distinct().withColumn("_e", F.lit(True))
     got = bindings.join(e, "symbol", "full_outer")
     state = F.when(F.col("function").isNull(), "unbound").when(F.col("_e"), "bound")
-    return got.select(*bindings.columns, state.alias("entry")).sortWithinPartitions("function", "table", "field", "line")
+    return got.select(*bindings.columns, state.alias("entry"))
 
 
 def bind_lookup(wanted: DataFrame, table: DataFrame, on: list[str], value: str) -> DataFrame:

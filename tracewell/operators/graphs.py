@@ -376,6 +376,7 @@ def pruned(nodes: DataFrame, module: list[str], keep) -> DataFrame:
     """
     inner = F.col("kind").isin("Cond", "Seq")
     leaf = F.coalesce(keep, F.lit(False)) & ~F.col("kind").isin("Cond", "Seq", "Loop")
+    nodes = staged(nodes, "nodes")
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
     at = lambda d: nodes.where(F.col("depth") == d)
     levels = {deepest: at(deepest).where(leaf)}

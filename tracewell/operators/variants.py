@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.traces import align_calls, greedy_prefix
+from tracewell.session import staged
 
 VARIANTS = "array<array<struct<kind:string,offset:bigint>>>"
 #: Variants multiply with every condition; a module with more is only marked, and ``automata`` serves it.
@@ -55,7 +56,8 @@ def branch_variants(nodes: DataFrame, module: list[str]) -> DataFrame:
     """
     access = F.col("kind").isin("Read", "Write", "ReadModifyWrite")
     base = nodes.select(*module, "node_id", "parent_id", "depth", "branch", F.col("ord").cast("int").alias("ord"), "kind", _leaf().alias("v"), F.lit(False).alias("many"), (~F.coalesce(access, F.lit(False)) | F.col("offset").isNotNull()).alias("ok"))
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    base = staged(base, "variants")
+    deepest = base.agg(F.max("depth")).first()[0] or 0
 
     def grouped(level: DataFrame, by: list[str]) -> DataFrame:
         row = F.struct("ord", F.col("node_id").cast("int").alias("node_id"), "v")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import cexpr as X
 from tracewell.functions import rules
+from tracewell.operators import banks as B
 from tracewell.operators import summaries as S
 from tracewell.plans.contracts import pick, sql_pick
 from tracewell.plans.registry import collector
 from tracewell.plans.traces import read
+from tracewell.sources import aliases as A
 from tracewell.sources import logs as L
 from tracewell.sources import reports as R
 
@@ -162,3 +164,32 @@ _ADDRESSES = (("p->base + 0x10", True), ("regs + (off << 2)", True), ("p->secret
 def lowerable_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = pick([t for t, _ in _ADDRESSES], "l_partkey * 3 + l_linenumber")
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rules.lowerable(X.token_column(texts)).alias("lowerable"))
+
+
+@query("""WITH p AS (SELECT s_suppkey AS k, n, n % 5 AS line, CASE (s_suppkey + n) % 4 WHEN 0 THEN '' WHEN 1 THEN 'a.c' WHEN 2 THEN '/k/y/b.c' ELSE 'x/c.c' END AS file FROM supplier, range(1, 12) t(n)),
+lv AS (SELECT s_suppkey AS k, u.source, l.line, 'v' || l.line || u.t AS name FROM supplier, (VALUES ('/k/x/a.c', 0), ('/k/y/b.c', 1), ('/k/z/b.c', 2)) u(source, t), range(1, 5) l(line) WHERE (s_suppkey + l.line * (u.t + 1)) % 3 > 0),
+s AS (SELECT p.*, CASE file WHEN 'a.c' THEN '/k/x/a.c' END AS src FROM p WHERE line > 0 AND n > 1),
+m AS (SELECT s.*, l.name AS own, (SELECT count(*) FROM lv WHERE lv.k = s.k AND lv.line = s.line) AS c FROM s LEFT JOIN lv l ON l.k = s.k AND l.source = s.src AND l.line = s.line)
+SELECT k AS s_suppkey, CAST(n AS BIGINT) AS alias_var, CASE WHEN own IS NOT NULL THEN src ELSE (SELECT min(source) FROM lv WHERE lv.k = m.k AND lv.line = m.line) END AS source, CAST(line AS INT) AS line, coalesce(own, (SELECT min(name) FROM lv WHERE lv.k = m.k AND lv.line = m.line)) AS name
+FROM m WHERE own IS NOT NULL OR c = 1""")
+def linked_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven variables a program of three units, two of them with one file name; all but the first may alias it."""
+    k = F.col("s_suppkey")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey")
+    each = s.withColumn("n", F.explode(F.expr("sequence(1L, 11L)")))
+    file = F.when((k + F.col("n")) % 4 == 0, "").when((k + F.col("n")) % 4 == 1, "a.c").when((k + F.col("n")) % 4 == 2, "/k/y/b.c").otherwise("x/c.c")
+    code = _text(F.col("n"), " var", F.col("n"), '[m@f] %a { "ln": ', F.col("n") % 5, ', "fl": "', file, '" }\n', F.when(F.col("n") > 1, _text("MayAlias var", F.col("n"), "[q] -- var1[p]\n")).otherwise(""))
+    lines = L.lines(each.groupBy("s_suppkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", code.alias("c"))))["c"], "").alias("text")), "s_suppkey")
+    units = s.withColumn("u", F.explode(F.array(*[F.struct(F.lit(p).alias("source"), F.lit(t).alias("t")) for p, t in (("/k/x/a.c", 0), ("/k/y/b.c", 1), ("/k/z/b.c", 2))]))).select("s_suppkey", "u.*")
+    lvalues = units.withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(4)))).where("(s_suppkey + line * (t + 1)) % 3 > 0").select("s_suppkey", "source", "line", _text("v", F.col("line"), F.col("t")).alias("name"), F.lit("void *").alias("type"))
+    found = A.aliased(A.pairs(lines, "s_suppkey"), s.withColumn("var", F.lit(1).cast("long")), "s_suppkey")
+    return A.linked_names(found, A.symbols(lines, "s_suppkey"), units, lvalues, "s_suppkey").select("s_suppkey", "alias_var", "source", "line", "name")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 AND l_orderkey % 4 > 0 THEN 'base' WHEN l_partkey % 3 = 0 THEN 'g->regs' ELSE 'other' END AS base,
+ CASE WHEN l_partkey % 3 = 0 AND l_orderkey % 4 > 0 THEN '(vi->bank << ' || l_suppkey % 5 || ') + port->idxs + vi->bank' ELSE '(port->idx << ' || l_suppkey % 5 || ') + port->idxs + port->idx' END AS expr FROM lineitem""")
+def applied_bank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    ops = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_partkey") % 3 == 0, "g->regs").otherwise("other").alias("base"), _text("(port->idx << ", F.col("l_suppkey") % 5, ") + port->idxs + port->idx").alias("expr"))
+    models = read(spark, sf_dir, "orders").where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("port->idx").alias("selector"), F.lit("g->regs").alias("base"), F.lit("vi->bank").alias("state_field")).distinct()
+    return B.applied_bank_models(ops, models, ["l_orderkey"])

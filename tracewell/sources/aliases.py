@@ -46,3 +46,25 @@ def aliased(pairs: DataFrame, origins: DataFrame, key: str, kind: str = "MayAlia
     sides = both.select(key, F.col("left_var").alias("origin_var"), F.col("right_var").alias("alias_var")).unionByName(both.select(key, F.col("right_var").alias("origin_var"), F.col("left_var").alias("alias_var")))
     other = known.withColumnRenamed("origin_var", "alias_var")
     return sides.join(known, [key, "origin_var"], "left_semi").join(other, [key, "alias_var"], "left_anti").select(key, "alias_var", "origin_var").distinct()
+
+
+def linked_names(found: DataFrame, symbols: DataFrame, units: DataFrame, lvalues: DataFrame, key: str) -> DataFrame:
+    """(key, alias_var, origin_var, source, line, name, type) of the aliases of a program linked from several units.
+
+    ``found`` is what ``aliased`` returns, ``symbols`` their table, ``units`` (key, source)
+    the paths that were linked, and ``lvalues`` (key, source, line, name, type) what their
+    lines assign, the least name where a line assigns several. A symbol's file is the unit
+    with that path or file name if there is just one; otherwise, or if that line assigns
+    nothing there, the only unit whose line of that number assigns something. Symbols
+    without a line, or with several such units, have no name and are left out.
+    """
+    base = lambda c: F.regexp_extract(c, "[^/]*$", 0)
+    at = found.join(symbols.select(key, F.col("var").alias("alias_var"), "line", "file"), [key, "alias_var"]).where("line > 0")
+    names = units.select(key, "source", F.explode(F.array_distinct(F.array(F.col("source"), base(F.col("source"))))).alias("_n")).distinct()
+    spelled = at.where("file <> ''").select(key, "alias_var", F.explode(F.array_distinct(F.array(F.col("file"), base(F.col("file"))))).alias("_n")).distinct()
+    sources = spelled.join(names, [key, "_n"]).groupBy(key, "alias_var").agg(F.min("source").alias("_s"), F.max("source").alias("_z")).where("_s = _z").drop("_z")
+    assigned = lvalues.join(units.select(key, "source").distinct(), [key, "source"], "left_semi").groupBy(key, "source", "line").agg(F.min(F.struct("name", "type")).alias("_v"))
+    only = assigned.groupBy(key, "line").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct("source", "_v")).alias("_o")).where("_c = 1").drop("_c")
+    told = at.join(sources, [key, "alias_var"], "left").join(assigned.withColumnRenamed("source", "_s"), [key, "_s", "line"], "left").join(only, [key, "line"], "left")
+    by = F.when(F.col("_v").isNotNull(), F.struct(F.col("_s").alias("source"), F.col("_v"))).otherwise(F.col("_o"))
+    return told.withColumn("_by", by).where("_by IS NOT NULL").select(key, "alias_var", "origin_var", "_by.source", "line", "_by._v.name", "_by._v.type")
