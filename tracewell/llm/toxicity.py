@@ -97,6 +97,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 400) -> tu
     return w, float(b)
 
 
+def _telling(seen: np.ndarray, n: np.ndarray, features: int, block: int = 1 << 17) -> np.ndarray:
+    """The ``features`` buckets of greatest chi-squared, the first of equal ones, ascending; a block of buckets at a time."""
+    best, kept = np.empty(0), np.empty(0, np.int64)
+    for at in range(0, seen.shape[1], block):
+        neg, pos = seen[:, at : at + block].astype(np.float64)
+        total = pos + neg
+        expected = total * n[1] / n.sum()
+        chi = np.where(total >= 5, (pos - expected) ** 2 / np.maximum(expected * (1 - total / n.sum()), 1e-9), 0)
+        some = np.flatnonzero(chi > 0)
+        best, kept = np.concatenate([best, chi[some]]), np.concatenate([kept, some + at])
+        order = np.argsort(-best, kind="stable")[:features]
+        best, kept = best[order], kept[order]
+    return np.sort(kept)
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS, features: int = FEATURES, ridge: float = 1e-4) -> Model:
     """Fit on at most ``rows`` labelled rows that are not held out.
 
@@ -115,20 +130,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = S
                 rows[y.as_py()] += 1
         yield pa.RecordBatch.from_arrays([pa.array([rows], pa.list_(pa.int64())), pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["rows", "seen"])
 
-    seen, n = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+    # counts of a bounded sample fit 32 bits
+    seen, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
     for r in map_arrow(sample, count, "rows array<long>, seen binary").collect():
         seen += np.frombuffer(zlib.decompress(r["seen"]), np.int32).reshape(2, -1)
         n += np.array(r["rows"])
     if not n.all():
         share = n[1] / max(n.sum(), 1)
         return Model(np.empty(0, np.int64), np.empty(0), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    neg, pos = seen.astype(np.float64)
-    total = pos + neg
-    expected = total * n[1] / n.sum()
-    chi = np.where(total >= 5, (pos - expected) ** 2 / np.maximum(expected * (1 - total / n.sum()), 1e-9), 0)
-    buckets = np.sort(np.argsort(-chi, kind="stable")[:features])
-    buckets = buckets[chi[buckets] > 0]
-    ratio = np.log((pos[buckets] + 1) / (n[1] + 2)) - np.log((neg[buckets] + 1) / (n[0] + 2))
+    buckets = _telling(seen, n, features)
+    neg, pos = seen[:, buckets].astype(np.float64)
+    del seen
+    ratio = np.log((pos + 1) / (n[1] + 2)) - np.log((neg + 1) / (n[0] + 2))
     slot = Model(buckets, ratio, 0.0).slots()
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
