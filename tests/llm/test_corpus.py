@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tracewell.llm import phrases, registry, rules, sortmeans
@@ -49,6 +50,9 @@ def test_rules_query(spark):
     said = [(got[d]["kept"], q) for d, q in labels.items() if d in got and not got[d]["base_failed"] and q is not None]
     assert sum(k == (q == 1) for k, q in said) >= 0.97 * len(said)
     assert rules.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    # rules that abstain do not count against a document
+    silent = spark.range(1).select(*[F.lit(0).alias(f"v_{r}") for r in rules.RULES], F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"))
+    assert silent.select(rules.posterior(rules.fit(rules.votes(rules.features(spark.read.parquet(f"{SF}/documents.parquet"))))).alias("p")).first()["p"] > 0.5
 
 
 def brute_em(patterns, rounds):
@@ -60,7 +64,7 @@ def brute_em(patterns, rounds):
     for _ in range(rounds):
         z = np.full(len(keys), np.log(good / (1 - good)))
         for r in range(k):
-            z += np.where(keys[:, r] < 0, np.log(bad_p[r, 1] / bad_p[r, 0]), np.where(keys[:, r] > 0, np.log(good_p[r, 1] / good_p[r, 0]), np.log((1 - bad_p[r, 1] - good_p[r, 1]) / (1 - bad_p[r, 0] - good_p[r, 0]))))
+            z += np.where(keys[:, r] < 0, np.log(bad_p[r, 1] / bad_p[r, 0]), np.where(keys[:, r] > 0, np.log(good_p[r, 1] / good_p[r, 0]), 0.0))
         p = 1 / (1 + np.exp(-z))
         g, b = (n * p).sum(), (n * (1 - p)).sum()
         for r in range(k):

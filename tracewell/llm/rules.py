@@ -104,12 +104,11 @@ def _start() -> Trust:
 
 
 def posterior(trust: Trust) -> Column:
-    """The probability that a document is good, from its votes."""
+    """The probability that a document is good, from its votes. That a rule abstains says nothing: no document is given up for want of praise."""
     weight = F.lit(math.log(trust.good / (1 - trust.good)))
     for r in RULES:
         (bb, bg), (gb, gg) = trust.bad_votes[r], trust.good_votes[r]
-        said = F.when(F.col(f"v_{r}") < 0, math.log(bg / bb)).when(F.col(f"v_{r}") > 0, math.log(gg / gb))
-        weight = weight + said.otherwise(math.log((1 - bg - gg) / (1 - bb - gb)))
+        weight = weight + F.when(F.col(f"v_{r}") < 0, math.log(bg / bb)).when(F.col(f"v_{r}") > 0, math.log(gg / gb)).otherwise(0.0)
     return 1 / (1 + F.exp(-weight))
 
 
