@@ -41,6 +41,13 @@ def address_text(kind: Column, base: Column, offset: Column) -> Column:
     return F.when(kind == "Fixed", number).when(kind.isin("Offset", "Indirect"), F.concat(F.upper(F.coalesce(base, F.lit(""))), more)).otherwise(F.lit(""))
 
 
+#: Words of a register or address that tell what an operation is for.
+INTENT_WORDS = {
+    "handled": "INT|IRQ|CLR|MASK|EN", "power": "POWER|PM|SUSPEND|CLK|CLOCK", "init": "INIT|RESET|SOFT_RESET", "status": "STATUS|STAT|FLAG|RAW|MASKED", "interrupt": "INT|IRQ", "data": "TX|RX|DATA|FIFO",
+    "config": "CONFIG|MODE|CTRL|DIR|PULL|DEBOUNCE|TYPE|EDGE|LEVEL|PRESCALE", "sync": "DOORBELL|NOTIFY|READY",
+}
+
+
 def intent(kind: Column, function: Column, register: Column, address: Column, value: Column, known: Column | None = None) -> Column:
     """What an operation is for, by the first of ten rules that holds, else Status for reads and Config for others.
 
@@ -49,13 +56,13 @@ def intent(kind: Column, function: Column, register: Column, address: Column, va
     name = F.upper(F.coalesce(function, F.lit("")))
     search = F.upper(F.concat_ws(" ", F.coalesce(register, F.lit("")), F.coalesce(address, F.lit(""))))
     zero = F.upper(F.coalesce(value, F.lit(""))).isin(*_ZEROS)
-    has = lambda words: search.rlike(words)
+    has = lambda which: search.rlike(INTENT_WORDS[which])
     irq, remove = name.rlike(_HANDLER_WORDS), name.rlike(_REMOVE_WORDS)
     out = F.when(F.coalesce(known, F.lit("")).isin("", "Unknown") == F.lit(False), known) if known is not None else F.when(F.lit(False), F.lit(None).cast("string"))
     return (
-        out.when(irq & has("INT|IRQ|CLR|MASK|EN"), "Interrupt").when(has("POWER|PM|SUSPEND|CLK|CLOCK"), "Power").when(remove & zero, "Power").when(has("INIT|RESET|SOFT_RESET"), "Init")
-        .when((kind == "Write") & zero & ~irq, "Init").when((kind == "Read") & has("STATUS|STAT|FLAG|RAW|MASKED"), "Status").when(has("INT|IRQ"), "Interrupt")
-        .when(has("TX|RX|DATA|FIFO"), "DataTransfer").when(has("CONFIG|MODE|CTRL|DIR|PULL|DEBOUNCE|TYPE|EDGE|LEVEL|PRESCALE"), "Config").when(has("DOORBELL|NOTIFY|READY"), "Synchronization")
+        out.when(irq & has("handled"), "Interrupt").when(has("power"), "Power").when(remove & zero, "Power").when(has("init"), "Init")
+        .when((kind == "Write") & zero & ~irq, "Init").when((kind == "Read") & has("status"), "Status").when(has("interrupt"), "Interrupt")
+        .when(has("data"), "DataTransfer").when(has("config"), "Config").when(has("sync"), "Synchronization")
         .when(kind == "Read", "Status").otherwise("Config")
     )
 

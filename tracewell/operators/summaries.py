@@ -345,6 +345,7 @@ def contract_verdicts(nodes: DataFrame, driver: str, module: str) -> tuple[DataF
     all its leaves are theirs; only state if its leaves are state operations of the bus or
     queues, at least one of them, and its loops are exact and bounded.
     """
+    # the names of contracts and summaries are fixed values of the documents
     k = F.col("kind")
     inner = k.isin("Cond", "Seq", "Loop")
     yes = lambda c: F.coalesce(c, F.lit(False))

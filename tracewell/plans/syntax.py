@@ -94,7 +94,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Frames: what governs the nodes below (and, of loops, the node itself).
-_FRAMES_SQL = """cases AS (SELECT unit, parent, list_distinct_ordered AS vals FROM (SELECT unit, parent, list(v ORDER BY o) AS list_distinct_ordered FROM (SELECT unit, parent, v, min(o) AS o FROM (SELECT unit, parent, unnest(string_split(text, ' | ')) AS v, node AS o FROM st WHERE kind = 'case' AND pk = 'switch') GROUP BY ALL) GROUP BY ALL)),
+_FRAMES_SQL = """cases AS (SELECT unit, parent, list_distinct_ordered AS vals FROM (SELECT unit, parent, list(v ORDER BY o) AS list_distinct_ordered FROM (SELECT unit, parent, v, min(o) AS o FROM (SELECT unit, parent, unnest(string_split(text, ' | ')) AS v, node * 10 + unnest(range(len(string_split(text, ' | ')))) AS o FROM st WHERE kind = 'case' AND pk = 'switch') GROUP BY ALL) GROUP BY ALL)),
 marks AS (SELECT *, (SELECT max(node) FROM st m WHERE m.unit = s.unit AND m.parent = s.parent AND m.node < s.node AND m.kind IN ('case', 'default', 'break')) AS mk FROM st s WHERE pk = 'switch'),
 scopes AS (
  SELECT unit, node, 'cond' AS kind, CASE branch WHEN 'then' THEN pt ELSE '!(' || pt || ')' END AS guard, branch FROM st WHERE pk = 'if' AND pt <> ''

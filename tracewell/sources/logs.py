@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.traces import segments
 
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+#: Fixed by the formats: lines of a trace that enter a function or access a register, a register's line of a listing, and the line of counts.
 _FUNCTION = r"(?U)\[rhfn\]\s+([A-Za-z_]\w*)"
 _ACCESS = r"(?U)\[rh\]\s+(R|W)\s+0x([0-9a-fA-F]+)"
 _REGISTER = r"(?U)register\s+(\w+):\s*B\d+\s+at\s+base\s+\+\s+(0x[0-9a-fA-F]+)"
