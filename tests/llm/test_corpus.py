@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tracewell.llm import phrases, registry, rules, sortmeans
+from tracewell.llm import common, phrases, registry, rules, sortmeans
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -52,7 +52,7 @@ def test_rules_query(spark):
     assert rules.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     # rules that abstain do not count against a document
     silent = spark.range(1).select(*[F.lit(0).alias(f"v_{r}") for r in rules.RULES], F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"))
-    assert silent.select(rules.posterior(rules.fit(rules.votes(rules.features(spark.read.parquet(f"{SF}/documents.parquet"))))).alias("p")).first()["p"] > 0.5
+    assert silent.select(rules.posterior(rules.fit(rules.votes(common.staged(rules.features(spark.read.parquet(f"{SF}/documents.parquet")), "features")))).alias("p")).first()["p"] > 0.5
 
 
 def brute_em(patterns, rounds):

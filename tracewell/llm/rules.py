@@ -80,7 +80,7 @@ def base_failed() -> Column:
 
 
 def votes(counted: DataFrame) -> DataFrame:
-    """The counts with each rule's vote: 1 good, -1 bad, 0 abstains."""
+    """The counts with each rule's vote: 1 good, -1 bad, 0 abstains. Give staged counts, or each bound counts the texts anew."""
     return counted.select("*", *[F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good or 'false'} THEN 1 ELSE 0 END").cast("byte").alias(f"v_{name}") for name, (bad, good) in RULES.items()])
 
 
