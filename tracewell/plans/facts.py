@@ -161,7 +161,9 @@ def pair_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT e.event_id, s.event_id AS guard_id FROM events e JOIN events s ON e.user_id = s.user_id AND s.event_type = 'signup'
  AND epoch(s.ts)::BIGINT <= epoch(e.ts)::BIGINT AND epoch(e.ts)::BIGINT < epoch(s.ts)::BIGINT + 86400""")
 def interval_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    # whole seconds as the SQL's cast gives them: the nearest one, of two the even one
+    seconds = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", seconds.alias("at"))
     s = e.where("event_type = 'signup'").select(F.col("event_id").alias("guard_id"), "user_id", F.col("at").alias("after"), (F.col("at") + 86400).alias("before"))
     return R.interval_containment(e, "at", s, "after", "before", ["user_id"], 86400).select("event_id", "guard_id")
 
