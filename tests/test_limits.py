@@ -5,7 +5,9 @@ import datetime
 import duckdb
 
 from tracewell.operators import pointers as A
+from tracewell.operators import syntax as X
 from tracewell.plans import catalogue
+from tracewell.plans import syntax as S
 
 
 def as_sql(spark, name, folder, **tables):
@@ -32,3 +34,18 @@ def test_points_to_by_rounds(spark):
     df = spark.createDataFrame(rows, "kind string, left long, right long")
     assert {p for p, o in A.points_to(df, rounds=3).where("object = 100").collect()} == {0, 1, 2, 3, 201}
     assert {p for p, o in A.points_to(df, rounds=9).where("object = 100").collect()} == set(range(6)) | {201}
+
+
+def test_labels_by_arrays_and_by_joins(spark):
+    rows = [("u", i, None if i % 7 == 0 else (i * 5) % i, (i * 11) % 50) for i in range(40)] + [("v", 1, 9, 0), ("v", 2, 1, 0), ("v", 3, None, 0)]
+    nodes = spark.createDataFrame(rows, "unit string, node long, parent long, ord long")
+    assert sorted(X.intervals(nodes, "unit").collect()) == sorted(X.intervals(nodes, "unit", gathered=2).collect())
+
+
+def test_control_flow_moves_nothing_once_labelled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = X.cfg_edges(S.labelled(spark, "/root/testdata/sf0.001"), "unit")
+        assert "Exchange" not in edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

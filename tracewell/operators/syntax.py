@@ -1,27 +1,32 @@
 """Syntax trees as node tables: interval labels, enclosing nodes, control flow, guards.
 
 A node row is (unit, node, parent, ord, kind, ...); a tree of any depth is labelled
-without recursion. Ancestor chains come from pointer doubling, so a tree of depth d takes
-log d joins, and pre-order numbers are sums of sibling offsets along the chains. After
-that an ancestor is a node whose interval [pre, last] holds a position, and everything
-that asks for the nearest one (of a kind) is one binned range join.
+without recursion, by pointer doubling: pre-order numbers are sums of sibling offsets
+along the chains of ancestors. After that an ancestor is a node whose interval [pre, last]
+holds a position, and everything that asks for the nearest one (of a kind) is one binned
+range join. Labelled nodes are staged in buckets of the unit, so the joins that follow,
+which all have the unit among their keys, move nothing.
 
 Statements are nodes whose ``branch`` says in which list of its parent they stand
 (then, else, body); ``ord`` orders siblings. Where one file or parent has very many
-nodes, no step gathers them: chains are as long as the nesting, and running sums are
-made over blocks of siblings.
+nodes (over ``GATHERED``), no step gathers them: chains come from log d joins and are as
+long as the nesting, and running sums are made over blocks of siblings.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import staged
+from tracewell.session import ship, staged, staged_by
 
 LOOPS = ("for", "while", "do")
 #: Node numbers that stand for where a function is entered and left.
 ENTRY, EXIT = -1, -2
+#: Units of up to so many nodes are labelled in one array each; larger ones by joins.
+GATHERED = 100_000
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str, block: int = 4096) -> DataFrame:
@@ -44,11 +49,11 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, name:
 def ancestors(nodes: DataFrame, unit: str) -> DataFrame:
     """(unit, node, chain): the nodes above each node, its parent first. Parents in a cycle are an error."""
     parent = F.when(F.col("parent").isNull(), F.expr("cast(array() AS array<bigint>)")).otherwise(F.array(F.col("parent").cast("long")))
-    at = staged(nodes.select(unit, F.col("node").cast("long").alias("node"), parent.alias("chain")), "chains")
+    at = staged_by(nodes.select(unit, F.col("node").cast("long").alias("node"), parent.alias("chain")), "chains", unit)
     while True:
         up = at.select(unit, F.col("node").alias("_top"), F.col("chain").alias("_more")).where("size(_more) > 0")
         longer = at.withColumn("_top", F.when(F.size("chain") > 0, F.element_at("chain", -1))).join(up, [unit, "_top"], "left")
-        new = staged(longer.select(unit, "node", F.when(F.col("_more").isNull(), F.col("chain")).otherwise(F.concat("chain", "_more")).alias("chain"), F.col("_more").isNotNull().alias("grew")), "chains")
+        new = staged_by(longer.select(unit, "node", F.when(F.col("_more").isNull(), F.col("chain")).otherwise(F.concat("chain", "_more")).alias("chain"), F.col("_more").isNotNull().alias("grew")), "chains", unit)
         grew, cyclic = new.agg(F.coalesce(F.max("grew"), F.lit(False)), F.coalesce(F.max(F.array_contains("chain", F.col("node"))), F.lit(False))).first()
         if cyclic:
             raise ValueError("parents form a cycle")
@@ -57,13 +62,80 @@ def ancestors(nodes: DataFrame, unit: str) -> DataFrame:
             return at
 
 
-def intervals(nodes: DataFrame, unit: str) -> DataFrame:
+def intervals(nodes: DataFrame, unit: str, gathered: int = GATHERED) -> DataFrame:
     """The nodes with ``pre``, their place in pre-order from 0, ``last``, that of the last node below, and ``depth``.
 
     Siblings are in the order of ``ord``, whole numbers that are distinct under one parent;
     several nodes without a parent are siblings. Node numbers are distinct in a unit. A
     parent that is no node of the unit counts as one above it, and its children as roots.
+    Rows without a unit or node are left out. The result is staged in buckets of the unit.
     """
+    ship(nodes.sparkSession)
+    known = staged_by(nodes.where(F.col(unit).isNotNull() & F.col("node").isNotNull()), "nodes", unit)
+    large = known.groupBy(unit).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > gathered).select(unit)
+    rest = [c for c in known.columns if c != unit]
+    units = known.groupBy(unit).agg(F.collect_list(F.struct(*rest)).alias("_r")).where(F.size("_r") <= gathered)
+    labels = F.arrow_udf(_labels, "array<struct<pre: bigint, last: bigint, depth: int>>")
+    each = units.withColumn("_l", labels(*[F.col(f"_r.{c}").cast("array<bigint>") for c in ("node", "parent", "ord")])).select(unit, F.inline(F.arrays_zip("_r", "_l")))
+    columns = [unit, "node", *[c for c in rest if c != "node"]]
+    out = each.select(unit, *[F.col(f"_r.{c}").alias(c) for c in columns[1:]], "_l.*")
+    if not large.isEmpty():
+        out = out.unionByName(_joined_intervals(staged(known.join(large, unit, "left_semi"), "large"), unit).select(*out.columns))
+    out = staged_by(out, "labelled", unit)
+    if not out.where("pre < 0").isEmpty():
+        raise ValueError("parents form a cycle")
+    return out
+
+
+def _labels(nodes: pa.Array, parents: pa.Array, ords: pa.Array) -> pa.Array:
+    """(pre, last, depth) of each node of each unit; pre is -1 for what a cycle of parents holds."""
+    ends = np.concatenate([[0], np.cumsum(nodes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    n = int(ends[-1])
+    number = lambda a: a.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    unit = np.repeat(np.arange(len(nodes)), np.diff(ends))
+    _, names = np.unique(np.concatenate([number(nodes), number(parents)]), return_inverse=True)
+    none = parents.flatten().is_null().to_numpy(zero_copy_only=False)
+    own = unit * (2 * n + 1) + names[:n]
+    above = unit * (2 * n + 1) + np.where(none, 2 * n, names[n:])
+    order = np.argsort(own, kind="stable")
+    at = np.minimum(np.searchsorted(own[order], above), max(0, n - 1))
+    parent = np.where(own[order][at] == above, order[at], -1) if n else np.empty(0, np.int64)
+
+    def along(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of values of a node and all above it, and which nodes have a cycle above."""
+        total, up = values.copy(), parent.copy()
+        for _ in range(n.bit_length() + 1):
+            has = np.flatnonzero(up >= 0)
+            if not len(has):
+                break
+            total[has] += total[up[has]]
+            up[has] = up[up[has]]
+        return total, up >= 0
+
+    depth, cyclic = along((parent >= 0).astype(np.int64))
+    size = np.ones(n, np.int64)
+    levels = np.argsort(np.where(cyclic, 0, depth), kind="stable")
+    starts = np.searchsorted(np.where(cyclic, 0, depth)[levels], np.arange(1, (depth[~cyclic].max() if (~cyclic).any() else 0) + 2))
+    for k in range(len(starts) - 2, -1, -1):
+        level = levels[starts[k] : starts[k + 1]]
+        np.add.at(size, parent[level], size[level])
+    # what stands before a node under its parent; equal places do not count each other
+    order_of = number(ords)
+    beside = np.lexsort((order_of, above))
+    before = np.empty(n, np.int64)
+    if n:
+        sums = np.cumsum(size[beside]) - size[beside]
+        group = np.concatenate([[True], above[beside][1:] != above[beside][:-1]])
+        tie = group | np.concatenate([[True], order_of[beside][1:] != order_of[beside][:-1]])
+        first = lambda marks: np.maximum.accumulate(np.where(marks, np.arange(n), 0))
+        before[beside] = sums[first(tie)] - sums[first(group)]
+    pre = np.where(cyclic, -1, along(before + (parent >= 0))[0])
+    rows = pa.StructArray.from_arrays([pa.array(pre), pa.array(pre + size - 1), pa.array(depth.astype(np.int32))], ["pre", "last", "depth"])
+    return pa.ListArray.from_arrays(pa.array(ends), rows)
+
+
+def _joined_intervals(nodes: DataFrame, unit: str) -> DataFrame:
+    """As ``intervals``, by joins that gather no unit."""
     chains = ancestors(nodes, unit)
     below = chains.select(unit, F.explode("chain").alias("node")).groupBy(unit, "node").agg(F.count(F.lit(1)).alias("_below"))
     sized = nodes.join(below, [unit, "node"], "left").withColumn("_size", F.coalesce("_below", F.lit(0)) + 1)
@@ -167,7 +239,7 @@ def cfg_edges(labelled: DataFrame, unit: str) -> DataFrame:
     what ends leads to ``EXIT``. A transfer whose target is not there has a null dst.
     Statements inside a ``case`` row are not looked at; those beside it are.
     """
-    nodes = staged(labelled.join(_successors(labelled, unit), [unit, "node"], "left").withColumn("_next", F.coalesce("_next", F.lit(EXIT).cast("long"))), "statements")
+    nodes = staged_by(labelled.join(_successors(labelled, unit), [unit, "node"], "left").withColumn("_next", F.coalesce("_next", F.lit(EXIT).cast("long"))), "statements", unit)
     ranked = Window.partitionBy(unit, "parent", "branch").orderBy("ord")
     firsts = nodes.withColumn("_r", F.row_number().over(ranked)).where("_r = 1")
     first = lambda b: firsts.where(F.col("branch") == b).select(unit, F.col("parent").alias("node"), F.col("node").alias(f"_{b}"))
@@ -213,16 +285,16 @@ def provable(condition: Column, params: Column) -> Column:
 
 def terminating(labelled: DataFrame, unit: str) -> DataFrame:
     """(unit, parent, branch) of the statement lists that always return: with a return in them, or an if both of whose branches do."""
-    done = staged(labelled.where("kind = 'return'").select(unit, "parent", "branch").distinct(), "ends")
+    done = staged_by(labelled.where("kind = 'return'").select(unit, "parent", "branch").distinct(), "ends", unit)
     ifs = labelled.where("kind = 'if'").select(unit, F.col("node").alias("_if"), "parent", "branch")
     while True:
         both = done.where("branch IN ('then', 'else')").groupBy(unit, F.col("parent").alias("_if")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
         more = ifs.join(both, [unit, "_if"], "left_semi").select(unit, "parent", "branch").distinct()
-        on = F.col(unit).eqNullSafe(F.col("_u")) & F.col("parent").eqNullSafe(F.col("_p")) & F.col("branch").eqNullSafe(F.col("_b"))
-        new = staged(more.join(done.select(F.col(unit).alias("_u"), F.col("parent").alias("_p"), F.col("branch").alias("_b")), on, "left_anti"), "ends")
+        on = (F.col(unit) == F.col("_u")) & F.col("parent").eqNullSafe(F.col("_p")) & F.col("branch").eqNullSafe(F.col("_b"))
+        new = staged_by(more.join(done.select(F.col(unit).alias("_u"), F.col("parent").alias("_p"), F.col("branch").alias("_b")), on, "left_anti"), "ends", unit)
         if new.isEmpty():
             return done
-        done = staged(done.unionByName(new), "ends")
+        done = staged_by(done.unionByName(new), "ends", unit)
 
 
 def _cascades(labelled: DataFrame, params: DataFrame, unit: str) -> DataFrame:

@@ -14,7 +14,6 @@ from tracewell.operators import syntax as X
 from tracewell.plans.contracts import pick, sql_pick
 from tracewell.plans.registry import collector
 from tracewell.plans.traces import read
-from tracewell.session import staged
 
 QUERIES, ORACLE_SQL, query = collector()
 
@@ -86,11 +85,11 @@ def ancestor_access_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("node") % 3 == 0, pick(ABOVE, "h")).otherwise("deref")
     nodes = _placed(spark, sf_dir).withColumn("kind", kind)
     text = F.when(F.col("kind") == "binary", pick(ASSIGNED, "h div 5")).when(F.col("kind") == "unary", pick(("(*p)++", "-x", "--*q"), "h div 5")).when(F.col("kind") == "deref", pick(DEREFS, "h div 5")).otherwise("")
-    return X.ancestor_access_kind(staged(X.intervals(nodes.withColumn("text", text), "unit"), "nodes"), "unit")
+    return X.ancestor_access_kind(X.intervals(nodes.withColumn("text", text), "unit"), "unit")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(X.intervals(statements(spark, sf_dir), "unit"), "labelled")
+    return X.intervals(statements(spark, sf_dir), "unit")
 
 
 #: Frames: what governs the nodes below (and, of loops, the node itself).
