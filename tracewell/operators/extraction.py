@@ -9,7 +9,7 @@ from tracewell.functions import accesses as A
 from tracewell.functions import expressions as E
 from tracewell.functions.folds import substituted, updated_value
 from tracewell.operators import syntax as X
-from tracewell.session import staged
+from tracewell.session import staged_by
 
 _NAME = r"^\s*[A-Za-z_]\w*\s*$"
 
@@ -47,25 +47,25 @@ def walk(statements: DataFrame, params: DataFrame, unit: str, entries: DataFrame
     not into the function itself, nor into ``entries`` (unit), which are called from
     elsewhere. Sorting by ``path`` gives the order.
     """
-    events = staged(framed(statements, params, unit), "events")
+    events = staged_by(framed(statements, params, unit), "events", unit)
     guards = F.transform("frames", lambda f: f["guard"])
     own = operations(events.select(unit, F.col("pre").alias("ord"), "event", "name", "args", "lhs", "op", F.col("value").alias("text"), guards.alias("guards")), [unit])
     frames = events.select(unit, F.col("pre").alias("ord"), "frames")
     own = own.join(frames, [unit, "ord"]).select(unit, F.array(F.col("ord").cast("long")).alias("path"), "kind", "address", "width", "var", "value", "frames")
-    own = staged(own, "walked")
+    own = staged_by(own, "walked", unit)
     known = params.select(unit, "params", F.col(unit).cast("string").alias("name"))
     known = known if entries is None else known.join(entries.select(unit), unit, "left_anti")
     sites = events.where("event = 'call'").select(F.col(unit).alias("_caller"), "pre", "args", F.col("frames").alias("_outer"), "name").join(known.select(F.col(unit).alias("_callee"), "params", "name"), "name").where("_caller <> _callee")
     n = F.least(F.size("params"), F.size(F.coalesce("args", F.array().cast("array<string>"))))
     mapping = F.map_from_arrays(F.slice("params", F.lit(1), n), F.slice("args", F.lit(1), n))
-    sites = staged(sites.select("_caller", "_callee", "pre", mapping.alias("_m"), "_outer"), "sites")
+    sites = staged_by(sites.select("_caller", "_callee", "pre", mapping.alias("_m"), "_outer"), "sites", "_callee")
     now = own
     for _ in range(depth):
         inner = sites.join(now.where("kind <> 'Return'").withColumnRenamed(unit, "_callee"), "_callee")
         put = lambda c: substituted(F.col(c), F.col("_m")).alias(c)
         there = F.transform("frames", lambda f: f.withField("guard", substituted(f["guard"], F.col("_m"))))
         made = inner.select(F.col("_caller").alias(unit), F.concat(F.array("pre"), "path").alias("path"), "kind", put("address"), "width", "var", put("value"), F.concat("_outer", there).cast(FRAMES).alias("frames"))
-        now = staged(own.unionByName(made), "walked")
+        now = staged_by(own.unionByName(made), "walked", unit)
     return now
 
 
