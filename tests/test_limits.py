@@ -1,6 +1,7 @@
 """Cases on which queries once differed from their SQL, and steps that must not grow faster than their input."""
 
 import datetime
+import os
 
 import duckdb
 
@@ -8,6 +9,7 @@ from tracewell.operators import pointers as A
 from tracewell.operators import syntax as X
 from tracewell.plans import catalogue
 from tracewell.plans import syntax as S
+from tracewell.session import staged
 
 
 def as_sql(spark, name, folder, **tables):
@@ -49,3 +51,10 @@ def test_control_flow_moves_nothing_once_labelled(spark):
         assert "Exchange" not in edges._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_staged_tables_count_as_larger_than_their_files(spark):
+    staged(spark.range(10), "small")
+    rows = staged(spark.range(400_000).selectExpr("id", "7 AS k"), "rows")
+    size = sum(os.path.getsize(f.removeprefix("file:")) for f in rows.inputFiles())
+    assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 10 * size
