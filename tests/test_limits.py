@@ -4,7 +4,9 @@ import datetime
 import os
 
 import duckdb
+import pyarrow as pa
 
+from tracewell.functions import batches
 from tracewell.operators import pointers as A
 from tracewell.operators import syntax as X
 from tracewell.plans import catalogue
@@ -58,3 +60,24 @@ def test_staged_tables_count_as_larger_than_their_files(spark):
     rows = staged(spark.range(400_000).selectExpr("id", "7 AS k"), "rows")
     size = sum(os.path.getsize(f.removeprefix("file:")) for f in rows.inputFiles())
     assert rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 10 * size
+
+
+def test_repeated_texts_are_parsed_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def length(t):
+        calls.add(1)
+        return None if t is None else len(t)
+
+    df = spark.range(0, 600, 1, 6).selectExpr("id", "CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'bc' END AS t")
+    got = batches.once(df, "t", {"n": batches.batched(length, "int")}).select("id", "t", "n").collect()
+    assert len(got) == 600 and all(r.n == (None if r.t is None else len(r.t)) for r in got) and calls.value == 3
+
+
+def test_nested_results_are_built_by_column():
+    kind = pa.struct([("a", pa.int64()), ("b", pa.list_(pa.struct([("x", pa.string()), ("y", pa.map_(pa.string(), pa.int64()))])))])
+    rows = [(1, [("p", {"k": 1}), None, ("q", None)]), None, (None, None), {"a": 3, "b": []}]
+    want = [{"a": 1, "b": [{"x": "p", "y": [("k", 1)]}, None, {"x": "q", "y": None}]}, None, {"a": None, "b": None}, {"a": 3, "b": []}]
+    got = batches._array(rows, kind)
+    got.validate(full=True)
+    assert got.to_pylist() == want and got.type == kind and not len(batches._array([], kind))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -14,17 +14,22 @@ from pyspark.sql.types import _parse_datatype_string
 from tracewell.session import ship
 
 
-def _plain(x: Any, t: pa.DataType) -> Any:
-    """Tuples as the structs that the type asks for."""
-    if x is None:
-        return None
+def _array(values: list, t: pa.DataType) -> pa.Array:
+    """Plain values as an Arrow array, a column at a time: tuples are structs, pairs or dicts are maps."""
     if pa.types.is_struct(t):
-        return {t.field(i).name: _plain(v, t.field(i).type) for i, v in enumerate(x)} if isinstance(x, tuple) else x
-    if pa.types.is_list(t):
-        return [_plain(v, t.value_type) for v in x]
-    if pa.types.is_map(t):
-        return list(x.items()) if isinstance(x, dict) else x
-    return x
+        none = [v is None for v in values]
+        rows = [(None,) * t.num_fields if v is None else v if isinstance(v, tuple) else tuple(v.get(t.field(i).name) for i in range(t.num_fields)) for v in values]
+        parts = [_array(list(c), t.field(i).type) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], t.field(i).type) for i in range(t.num_fields)]
+        return pa.StructArray.from_arrays(parts, fields=list(t), mask=pa.array(none, pa.bool_()))
+    if pa.types.is_list(t) or pa.types.is_map(t):
+        rows = [list(v.items()) if isinstance(v, dict) else v for v in values]
+        ends = [0, *accumulate(0 if v is None else len(v) for v in rows)]
+        at = pa.array([None if v is None else e for v, e in zip(rows, ends)] + ends[-1:], pa.int32())
+        inner = [x for v in rows if v is not None for x in v]
+        if pa.types.is_list(t):
+            return pa.ListArray.from_arrays(at, _array(inner, t.value_type), type=t)
+        return pa.MapArray.from_arrays(at, _array([k for k, _ in inner], t.key_type), _array([v for _, v in inner], t.item_type), type=t)
+    return pa.array(values, t)
 
 
 def batched(function: Callable, returns: str) -> Callable[..., Column]:
@@ -44,11 +49,26 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
         def run(*arrays: pa.Array) -> pa.Array:
             rows = zip(*(a.to_pylist() for a in arrays))
             if any(pa.types.is_nested(a.type) for a in arrays):
-                return pa.array([_plain(function(*row), kind) for row in rows], kind)
+                return _array([function(*row) for row in rows], kind)
             rows = list(rows)
-            known = {row: _plain(function(*row), kind) for row in set(rows)}
-            return pa.array([known[row] for row in rows], kind)
+            known = {row: function(*row) for row in set(rows)}
+            return _array([known[row] for row in rows], kind)
 
         return F.arrow_udf(run, returns)(*columns)
 
     return call
+
+
+def partitions(spark: SparkSession) -> int:
+    """As many parts as costly work per row is dealt over."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def once(df: DataFrame, text: str, columns: dict[str, Callable[[str], Column]]) -> DataFrame:
+    """``df`` with ``columns``, functions of the column named ``text``, made once for each distinct value of it.
+
+    Distinct values are dealt over all partitions, as they cost more than their size says.
+    """
+    each = df.select(F.col(text).alias("_of")).distinct().repartition(partitions(df.sparkSession))
+    made = each.select("_of", *[f("_of").alias(n) for n, f in columns.items()])
+    return df.join(made, F.col(text).eqNullSafe(F.col("_of")), "left").drop("_of")

@@ -11,7 +11,7 @@ from tracewell.functions import expressions as E
 from tracewell.functions import folds
 from tracewell.functions import roles as R
 from tracewell.functions import rules
-from tracewell.functions.batches import batched
+from tracewell.functions.batches import batched, once
 from tracewell.plans import contracts as C
 from tracewell.plans.registry import collector
 from tracewell.plans.traces import read
@@ -65,9 +65,11 @@ _TEXT = "concat('(u32)dev->r', l_suppkey, ' + a * ', l_linenumber, ' == !b && ~m
  '((dev->r' || l_suppkey || ' + (a * 0x' || lower(hex(l_linenumber)) || ')) == ((b == 0x0) && ((m ^ 0xffffffff) | 0x8)))' AS legacy, '(((dev->r' || l_suppkey || ' + (a * 0x' || lower(hex(l_linenumber)) || ')) == (b == 0x0)) && ((~m) | 0x8))' AS c,
  'a,b,dev->r' || l_suppkey || ',m' AS vars FROM lineitem""")
 def expr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.expr(_TEXT)
+    """Texts that repeat are parsed once."""
     shown = batched(lambda s: X.display(X.parse(s)), "string")
-    return read(spark, sf_dir, "lineitem").select(*C.KEY, shown(t).alias("c_rules"), X.legacy_column(t).alias("legacy"), X.c_column(t).alias("c"), F.array_join(E.vars_in(X.token_column(t)), ",").alias("vars"))
+    names = lambda t: F.array_join(E.vars_in(X.token_column(t)), ",")
+    rows = read(spark, sf_dir, "lineitem").select(*C.KEY, F.expr(_TEXT).alias("t"))
+    return once(rows, "t", {"c_rules": shown, "legacy": X.legacy_column, "c": X.c_column, "vars": names}).drop("t")
 
 
 @query("""SELECT o_orderkey, '0x10 + w->REG + ' || CASE WHEN o_orderkey % 2 = 0 THEN '0x' || lower(hex(o_custkey)) ELSE 'MISSING' END AS expanded, 'x->base + (' || o_custkey || ') + idx->base' AS substituted,
