@@ -7,12 +7,15 @@ import duckdb
 import pyarrow as pa
 
 from tracewell.functions import batches
+from tracewell.operators import banks
 from tracewell.operators import pointers as A
 from tracewell.operators import syntax as X
 from tracewell.plans import catalogue
 from tracewell.plans import syntax as S
 from tracewell.session import staged
 
+from .conftest import SF
+
 
 def as_sql(spark, name, folder, **tables):
     """The rows of a query on the given tables, and those of its SQL, both sorted."""
@@ -81,3 +84,15 @@ def test_nested_results_are_built_by_column():
     got = batches._array(rows, kind)
     got.validate(full=True)
     assert got.to_pylist() == want and got.type == kind and not len(batches._array([], kind))
+
+
+def test_costly_rows_of_one_file_are_dealt_over_many_tasks(spark):
+    assert catalogue.QUERIES["bank_differential"](spark, SF).rdd.getNumPartitions() >= 32
+
+
+def test_first_differences_of_bank_runs():
+    call = ("t", [("R", 0, 1)], 1, None, 0, 0)
+    run = lambda calls, data=0, error=None: (data, 0, calls, error)
+    assert banks.compared(None, None) is None and banks.compared(run([call]), run([call])) == (1, None)
+    assert banks.compared(run([call]), run([call], 1)) == (1, "initial state") and banks.compared(run([call]), run([], None, "KeyError: 't'")) == (1, "error")
+    assert banks.compared(run([call, call]), run([call, ("t", [], *call[2:])])) == (2, "t")

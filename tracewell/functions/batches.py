@@ -60,8 +60,13 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
 
 
 def partitions(spark: SparkSession) -> int:
-    """As many parts as costly work per row is dealt over."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """As many parts as costly work per row is dealt over: a few for each core, as each starts Python anew."""
+    return max(32, 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over all partitions, before work that costs more than the rows' size says."""
+    return df.repartition(partitions(df.sparkSession))
 
 
 def once(df: DataFrame, text: str, columns: dict[str, Callable[[str], Column]]) -> DataFrame:
@@ -69,6 +74,6 @@ def once(df: DataFrame, text: str, columns: dict[str, Callable[[str], Column]])
 
     Distinct values are dealt over all partitions, as they cost more than their size says.
     """
-    each = df.select(F.col(text).alias("_of")).distinct().repartition(partitions(df.sparkSession))
-    made = each.select("_of", *[f("_of").alias(n) for n, f in columns.items()])
+    each = df.select(F.col(text).alias("_of")).distinct()
+    made = spread(each).select("_of", *[f("_of").alias(n) for n, f in columns.items()])
     return df.join(made, F.col(text).eqNullSafe(F.col("_of")), "left").drop("_of")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.batches import batched
-from tracewell.operators.devices import CALLS, bank_run
+from tracewell.operators.devices import bank_run
 from tracewell.operators.interpreter import Run, Unsupported, seeded
 
 _DATA, _DIRECTION = "gpio_sdata", "gpio_sdir"
@@ -114,12 +115,17 @@ def callback_programs(cases: DataFrame, key: list[str], offsets: str, width: str
     return cases.select(*key, F.explode(rows).alias("_r")).select(*key, "_r.*")
 
 
+@lru_cache(4096)
+def _made(offsets: tuple[tuple[str, int], ...], width: int, flags: frozenset[str]) -> dict[str, list[dict]]:
+    return Programs(dict(offsets), width, set(flags)).made
+
+
 def program_run(offsets, width, flags, plan, size: int) -> tuple | None:
     """A row of CALLS as the callbacks' programs give it; null without a plan."""
     if plan is None:
         return None
     try:
-        programs = Programs(dict(offsets or []), width, set(flags or [])).made
+        programs = _made(tuple(offsets or []), width, frozenset(flags or []))
         device = Run({}, {}, seeded(size))
         device.go(programs["init"])
         shadows = lambda: (device.state.get(_DATA, 0), device.state.get(_DIRECTION, 0))
@@ -141,18 +147,22 @@ def bank_differential(cases: DataFrame, offsets: str, width: str, flags: str, pr
     is ``error``, ``initial state``, or the callback at which trace, result, output or
     shadows differ; null if none. A null plan does not pass. Nothing is shuffled.
     """
-    args = list(map(F.col, (offsets, width, flags, plan)))
-    source = batched(lambda o, w, f, p: bank_run(o, w, f, p, memory_bytes), CALLS)(*args)
-    formal = batched(lambda o, w, f, p: program_run(o, w, f, p, memory_bytes), CALLS)(args[0], args[1], F.col(program_flags), args[3])
-    both = cases.withColumn("_s", source).withColumn("_f", formal)
-    pairs = F.filter(F.zip_with("_s.calls", "_f.calls", lambda s, f: F.struct(F.coalesce(s["table"], f["table"]).alias("table"), s.eqNullSafe(f).alias("same"))), lambda x: ~x["same"])
-    first = (
-        F.when(F.coalesce(F.col("_s.error"), F.col("_f.error")).isNotNull(), "error")
-        .when((F.col("_s.data") != F.col("_f.data")) | (F.col("_s.direction") != F.col("_f.direction")), "initial state").otherwise(F.get(pairs, F.lit(0))["table"])
-    )
-    calls = F.coalesce(F.size("_s.calls"), F.lit(0))
-    out = both.withColumn("calls", F.when(F.col("_s").isNull(), 0).otherwise(calls)).withColumn("first_difference", first)
-    return out.withColumn("passed", F.col("_s").isNotNull() & F.col("first_difference").isNull()).drop("_s", "_f")
+    args = list(map(F.col, (offsets, width, flags, program_flags, plan)))
+    got = batched(lambda o, w, f, m, p: compared(bank_run(o, w, f, p, memory_bytes), program_run(o, w, m, p, memory_bytes)), "struct<calls:int,first:string>")(*args)
+    out = cases.withColumn("_d", got).withColumn("calls", F.coalesce("_d.calls", F.lit(0))).withColumn("first_difference", F.col("_d.first"))
+    return out.withColumn("passed", F.col("_d").isNotNull() & F.col("first_difference").isNull()).drop("_d")
+
+
+def compared(source: tuple | None, formal: tuple | None) -> tuple[int, str | None] | None:
+    """(calls, first difference) of two rows of CALLS; null without a plan."""
+    if source is None or formal is None:
+        return None
+    n = len(source[2])
+    if source[3] is not None or formal[3] is not None:
+        return n, "error"
+    if source[:2] != formal[:2]:
+        return n, "initial state"
+    return n, next((s[0] for s, f in zip(source[2], formal[2]) if s != f), None)
 
 
 def _quoted(name: str) -> str:

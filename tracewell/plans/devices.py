@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions.batches import spread
 from tracewell.operators import backends as B
 from tracewell.operators import banks as G
 from tracewell.operators import devices as D
@@ -196,7 +197,7 @@ def bank_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = lambda **kv: F.create_map(*[x for n, v in kv.items() for x in (F.lit(n), v.cast("bigint"))])
     args = num(offset=k % 8, value=F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(0), mask=F.col("o_custkey") % 256, bits=k % 256)
     plan = F.array(*[F.struct(F.lit(t).alias("table"), args.alias("args")) for t in B.GPIO_TABLES])
-    cases = read(spark, sf_dir, "orders").select(k.alias("k"), F.map_from_entries(entries).alias("offsets"), C.pick((1, 2, 4), "o_custkey").alias("width"), flags.alias("flags"), F.when(lost, F.array_remove(flags, "no_set_on_input")).otherwise(flags).alias("made"), plan.alias("plan"))
+    cases = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(k.alias("k"), F.map_from_entries(entries).alias("offsets"), C.pick((1, 2, 4), "o_custkey").alias("width"), flags.alias("flags"), F.when(lost, F.array_remove(flags, "no_set_on_input")).otherwise(flags).alias("made"), plan.alias("plan"))
     return G.bank_differential(cases, "offsets", "width", "flags", "made", "plan").select("k", F.col("calls").cast("int").alias("calls"), "passed", "first_difference")
 
 
