@@ -96,3 +96,15 @@ def test_first_differences_of_bank_runs():
     assert banks.compared(None, None) is None and banks.compared(run([call]), run([call])) == (1, None)
     assert banks.compared(run([call]), run([call], 1)) == (1, "initial state") and banks.compared(run([call]), run([], None, "KeyError: 't'")) == (1, "error")
     assert banks.compared(run([call, call]), run([call, ("t", [], *call[2:])])) == (2, "t")
+
+
+def test_equal_nested_rows_share_a_call(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def total(m):
+        calls.add(1)
+        return None if m is None else [(k, v + 1) for k, v in m]
+
+    df = spark.range(0, 300, 1, 1).selectExpr("id", "CASE WHEN id % 3 > 0 THEN map('a', id % 3) END AS m")
+    got = df.select("id", batches.batched(total, "array<struct<k:string,v:bigint>>")("m").alias("t")).collect()
+    assert all((r.t is None) == (r.id % 3 == 0) and (r.t is None or [tuple(x) for x in r.t] == [("a", r.id % 3 + 1)]) for r in got) and calls.value == 3

@@ -36,8 +36,7 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
     """``function`` of plain Python values as a function of columns that returns the SQL type ``returns``.
 
     Maps arrive as lists of pairs. Structs are returned as tuples in the order of their
-    fields. The function must be pure: where all inputs are texts, numbers or booleans,
-    those that repeat within one batch share a call. Nothing is kept between batches.
+    fields. The function must be pure: rows of equal inputs within one batch share a call. Nothing is kept between batches.
     """
 
     def call(*columns: Column) -> Column:
@@ -47,12 +46,13 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
         kind = to_arrow_type(_parse_datatype_string(returns))
 
         def run(*arrays: pa.Array) -> pa.Array:
-            rows = zip(*(a.to_pylist() for a in arrays))
-            if any(pa.types.is_nested(a.type) for a in arrays):
-                return _array([function(*row) for row in rows], kind)
-            rows = list(rows)
-            known = {row: function(*row) for row in set(rows)}
-            return _array([known[row] for row in rows], kind)
+            rows = list(zip(*(a.to_pylist() for a in arrays)))
+            nested = any(pa.types.is_nested(a.type) for a in arrays)
+            numbers: dict = {}
+            at = [numbers.setdefault(repr(row) if nested else row, len(numbers)) for row in rows]
+            firsts = dict(zip(reversed(at), reversed(rows)))
+            out = _array([function(*firsts[k]) for k in range(len(numbers))], kind)
+            return out if len(out) == len(rows) else out.take(pa.array(at, pa.int32()))
 
         return F.arrow_udf(run, returns)(*columns)
 

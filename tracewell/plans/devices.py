@@ -283,7 +283,7 @@ def _path_program(then: int) -> str:
 def path_trace_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of a function's program, and of one with a changed value, against what the original code writes."""
     k = F.col("o_orderkey")
-    base = read(spark, sf_dir, "orders").select(k.alias("k"), (k % 2).alias("select"))
+    base = spread(read(spark, sf_dir, "orders").select("o_orderkey")).select(k.alias("k"), (k % 2).alias("select"))
     mutants = F.array(*[F.struct(F.lit(n).alias("mutation"), F.lit(_path_program(v)).alias("program")) for n, v in (("none", 2), ("value", 0xDEAD))])
     cases = base.select("k", "select", F.inline(mutants)).withColumn("env", F.create_map(F.lit("select"), "select")).withColumn("registers", F.create_map(F.lit("VALUE_REG"), F.lit(0x20).cast("bigint")))
     actual = I.interpreted(cases, "program", "env", "registers").select("k", "mutation", F.posexplode("run.trace").alias("step", "t")).select("k", "mutation", "step", "t.*")

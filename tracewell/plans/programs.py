@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import rules as C
+from tracewell.functions.batches import spread
 from tracewell.operators import interpreter as I
 from tracewell.operators import oracles as O
 from tracewell.plans.traces import read
+from tracewell.session import staged
 from tracewell.sources import builds as B
 from tracewell.sources import listings as K
 from tracewell.sources import logs as L
@@ -100,7 +102,7 @@ _WORD = _B16 + 256 * _B17
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.lit(json.dumps(MODULE)).alias("program"), F.create_map(F.lit("key"), "o_orderkey").alias("env"), F.create_map(F.lit("CTRL"), F.lit(32).cast("bigint")).alias("registers"))
+    o = spread(read(spark, sf_dir, "orders").select("o_orderkey")).select("o_orderkey", F.lit(json.dumps(MODULE)).alias("program"), F.create_map(F.lit("key"), "o_orderkey").alias("env"), F.create_map(F.lit("CTRL"), F.lit(32).cast("bigint")).alias("registers"))
     return I.interpreted(o, "program", "env", "registers").select("o_orderkey", "run.*")
 
 
@@ -114,7 +116,7 @@ def interpreted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 1 END ELSE 2 END AS first_difference, CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'value' END ELSE 'missing' END AS reason FROM orders""")
 def trace_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs against themselves with the second value changed in every third order and third steps lost."""
-    steps = _runs(spark, sf_dir).select("o_orderkey", F.posexplode("trace").alias("step", "t")).select("o_orderkey", "step", "t.*")
+    steps = staged(_runs(spark, sf_dir).select("o_orderkey", F.posexplode("trace").alias("step", "t")).select("o_orderkey", "step", "t.*"), "steps")
     wrong = (F.col("o_orderkey") % 3 == 0) & (F.col("o_orderkey") % 2 == 1) & (F.col("step") == 1)
     other = steps.where("step < 2").withColumn("value", F.when(wrong, F.col("value") + 1).otherwise(F.col("value")))
     got = O.trace_diff(steps, other, ["o_orderkey"], "step", ["kind", "offset", "value"])
