@@ -13,6 +13,7 @@ from tracewell.operators import syntax as X
 from tracewell.plans import catalogue
 from tracewell.plans import syntax as S
 from tracewell.session import staged
+from tracewell.sources import code
 
 from .conftest import SF
 
@@ -108,3 +109,10 @@ def test_equal_nested_rows_share_a_call(spark):
     df = spark.range(0, 300, 1, 1).selectExpr("id", "CASE WHEN id % 3 > 0 THEN map('a', id % 3) END AS m")
     got = df.select("id", batches.batched(total, "array<struct<k:string,v:bigint>>")("m").alias("t")).collect()
     assert all((r.t is None) == (r.id % 3 == 0) and (r.t is None or [tuple(x) for x in r.t] == [("a", r.id % 3 + 1)]) for r in got) and calls.value == 3
+
+
+def test_line_states_are_never_broadcast(spark):
+    lines = spark.createDataFrame([(1, 0, "x = 1"), (1, 1, "'''"), (1, 2, "y"), (2, 0, "z")], "f int, line int, text string")
+    got = code.line_states(lines, "f")
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.f, r.line, r.state) for r in got.collect()) == [(1, 0, 0), (1, 1, 0), (1, 2, 2), (2, 0, 0)]

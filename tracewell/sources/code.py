@@ -67,8 +67,9 @@ def line_states(lines: DataFrame, key: str, language=PYTHON, block: int = 1024)
     totals = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_b", F.col("_f.now").alias("m")))).alias("_t"))
     entered = F.aggregate("_t", F.struct(F.lit(0).alias("s"), F.expr("cast(array() AS array<int>)").alias("out")), lambda a, x: F.struct(F.get(x["m"], a["s"]).alias("s"), F.concat(a["out"], F.array(a["s"])).alias("out")), lambda a: a["out"])
     begins = totals.select(key, F.explode(F.arrays_zip(F.col("_t._b").alias("b"), entered.alias("s"))).alias("x")).select(key, F.col("x.b").alias("_b"), F.col("x.s").alias("_s"))
-    states = blocks.join(begins, [key, "_b"]).select(key, F.explode(F.arrays_zip(F.col("_l.line").alias("line"), F.col("_f.out").alias("m"))).alias("x"), "_s").select(key, F.col("x.line").alias("line"), F.get("x.m", F.col("_s")).alias("state"))
-    return each.drop("_m", "_b").join(states, [key, "line"])
+    # a row a block or line: none is sent whole to the driver, however small its files look
+    states = blocks.join(begins.hint("merge"), [key, "_b"]).select(key, F.explode(F.arrays_zip(F.col("_l.line").alias("line"), F.col("_f.out").alias("m"))).alias("x"), "_s").select(key, F.col("x.line").alias("line"), F.get("x.m", F.col("_s")).alias("state"))
+    return each.drop("_m", "_b").join(states.hint("merge"), [key, "line"])
 
 
 def code_lines(lines: DataFrame, key: str, language=PYTHON) -> DataFrame:
