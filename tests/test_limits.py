@@ -6,8 +6,11 @@ import os
 import duckdb
 import pyarrow as pa
 
-from tracewell.functions import batches
+from pyspark.sql import functions as F
+
+from tracewell.functions import accesses, batches
 from tracewell.operators import banks
+from tracewell.operators import graphs as G
 from tracewell.operators import pointers as A
 from tracewell.operators import syntax as X
 from tracewell.plans import catalogue
@@ -116,3 +119,20 @@ def test_line_states_are_never_broadcast(spark):
     got = code.line_states(lines, "f")
     assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.f, r.line, r.state) for r in got.collect()) == [(1, 0, 0), (1, 1, 0), (1, 2, 2), (2, 0, 0)]
+
+
+def test_call_texts_are_cut_alike_by_pattern_and_by_character(spark):
+    texts = ["", "f", "f()", "f(a", "f)a(b)", "f(a, (b, c), {d, [e]})) x", "f(a]b)", "a, (b, c), d", ",", " a ,, b ", "a) , b", "(a, b", "[a, (b], c), d", "f" + "(" * 9 + "x, y" + ")" * 9 + ", z", "(a)" * 200 + ", b", "f(" + "(a, b), " * 5000 + ")", "é(ü\n, ö), 漢", "a(b\n,c)\n,d"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    trimmed = F.transform(accesses._split_arguments(F.col("t")), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    for r in df.select(accesses.balanced(F.col("t")).alias("a"), accesses._balanced(F.col("t")).alias("b"), accesses.split_arguments(F.col("t")).alias("c"), trimmed.alias("d")).collect():
+        assert r.a == r.b and r.c == r.d
+    # those of usual nesting fit the patterns, so nothing is folded
+    assert [bool(r[0]) for r in df.where("t IN ('f(a, (b, c), {d, [e]})) x', 'é(ü\n, ö), 漢')").select(F.regexp_extract("t", accesses._ROUND, 1)).collect()] == [True, True]
+
+
+def test_symbols_of_a_wide_file_count_by_their_own_size(spark, tmp_path):
+    wide = spark.range(0, 300_000, 1, 1).selectExpr("id AS symbol", *[f"'same' AS c{k}" for k in range(40)])
+    wide.write.parquet(f"{tmp_path}/wide")
+    got = G._symbols(spark.read.parquet(f"{tmp_path}/wide"))
+    assert got.count() == 300_000 and got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 300_000 * 8

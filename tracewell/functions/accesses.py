@@ -169,8 +169,30 @@ def update_parts(name: Column, args: Column) -> Column:
     return F.when(name.isin(*MAP_UPDATES) & (F.size(args) >= 4), F.struct(_cat(a(0), " + ", a(1)).alias("address"), a(2).alias("mask"), a(3).alias("value")))
 
 
+def _nested(opening: str, closing: str, levels: int = 4) -> str:
+    """A pattern of a bracketed text with up to ``levels`` of brackets in it, 64 side by side in each."""
+    plain = f"[^{opening}{closing}]*+"
+    out = f"[{opening}]{plain}[{closing}]"
+    for _ in range(levels - 1):
+        out = f"[{opening}]{plain}(?:{out}{plain}){{0,64}}+[{closing}]"
+    return out
+
+
+#: Texts of usual nesting; what they do not fit is folded character by character.
+_ROUND = rf"^([^()]*+{_nested('(', ')')})"
+_PART = rf"\G([^,()\[\]{{}}]*+(?:{_nested(r'(\[{', r')\]}')}[^,()\[\]{{}}]*+){{0,64}}+),"
+
+
 def balanced(text: Column) -> Column:
     """A text from its start to the bracket that closes its first round one; null if none does."""
+    def folded(t: Column) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(t, _ROUND, 1), F.lit("")), _balanced(t))
+
+    return let(text, folded)
+
+
+def _balanced(text: Column) -> Column:
+    """As ``balanced``, of any nesting."""
     def step(s: Column, c: Column) -> Column:
         depth = s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
         return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), ((c == ")") & (depth == 0)).alias("done"), (s["n"] + 1).alias("n")))
@@ -181,6 +203,16 @@ def balanced(text: Column) -> Column:
 
 def split_arguments(body: Column) -> Column:
     """A text's parts between the commas outside brackets, trimmed; one empty part for an empty text."""
+    def split(b: Column) -> Column:
+        found = F.regexp_extract_all(F.concat(b, F.lit(",")), F.lit(_PART), F.lit(1))
+        size = lambda parts: F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p) + 1)
+        return let(found, lambda parts: F.when(size(parts) == F.length(b) + 1, parts).otherwise(_split_arguments(b)))
+
+    return F.transform(let(body, split), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+
+
+def _split_arguments(body: Column) -> Column:
+    """As ``split_arguments``, of any nesting and with brackets that do not close, not trimmed."""
     def step(s: Column, c: Column) -> Column:
         depth = s["depth"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}") & (s["depth"] > 0), -1).otherwise(0)
         cut = (c == ",") & (depth == 0)
@@ -188,8 +220,7 @@ def split_arguments(body: Column) -> Column:
 
     start = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("now"))
     # split("", "") gives one empty string, which adds nothing
-    parts = F.aggregate(F.split(body, ""), start, step, lambda s: F.concat(s["out"], F.array(s["now"])))
-    return F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.aggregate(F.split(body, ""), start, step, lambda s: F.concat(s["out"], F.array(s["now"])))
 
 
 def call_arguments(text: Column) -> Column:
