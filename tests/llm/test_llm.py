@@ -96,6 +96,26 @@ def test_shingle_classes_equal_brute_force(spark, texts, odd, empty):
     assert shingles.near_duplicates(empty).count() == 0 and shingles.one_per_class(empty).count() == 0
 
 
+def test_prefixes_leave_out_what_a_fixed_share_of_texts_has(spark, monkeypatch):
+    r = random.Random(8)
+    same = [f"w{k}" for k in range(60)]
+    every = {d: " ".join(same + [f"x{r.randrange(10**9)}" for _ in range(40)]) for d in range(200)}
+    every[200] = every[7] + " more"
+    staged, rows = shingles.staged, {}
+
+    def noted(df, name, *args):
+        out = staged(df, name, *args)
+        rows.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(shingles, "staged", noted)
+    # as if too few of the texts were in the sample
+    monkeypatch.setattr(shingles, "common_shingles", lambda docs, words: (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    docs = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in shingles.near_duplicates(docs).collect()} == {d: 7 if d == 200 else d for d in every}
+    assert rows["posted"][0].count() < 600  # 60 shared words in a prefix by hash alone: over 2,000
+
+
 def test_one_row_of_each_class_stays_however_ids_repeat(spark):
     words = [f"w{k}" for k in range(40)]
     text, close, other = " ".join(words), " ".join(words + ["more"]), "nothing like the rest of them at all"
