@@ -116,6 +116,23 @@ def test_prefixes_leave_out_what_a_fixed_share_of_texts_has(spark, monkeypatch):
     assert rows["posted"][0].count() < 600  # 60 shared words in a prefix by hash alone: over 2,000
 
 
+def test_near_duplicates_take_the_pairs_of_simhash_balls(spark, monkeypatch):
+    prints = {1: 5, 2: 5, 3: 4, 4: 4 ^ 24, 5: ~0, 6: 1 << 40 | 7 << 50}
+    pairs = shingles.ball_pairs(spark.createDataFrame(list(prints.items()), "key long, fp long")).collect()
+    root = {k: k for k in prints}
+    for a, b in sorted((x["a"], x["b"]) for x in pairs):
+        root[b] = root[a]
+    assert root == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6}
+
+    # similar texts whose fingerprints are near are linked, although no prefix gives the pair; others are not
+    words = [f"w{k}" for k in range(400)]
+    texts = {1: " ".join(words), 2: " ".join(words + ["more"]), 3: "nothing like it"}
+    assert bin(simhash.fingerprint(texts[1], 5) ^ simhash.fingerprint(texts[2], 5)).count("1") <= 2
+    monkeypatch.setattr(shingles, "follows", lambda *args: F.lit(False))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in shingles.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_one_row_of_each_class_stays_however_ids_repeat(spark):
     words = [f"w{k}" for k in range(40)]
     text, close, other = " ".join(words), " ".join(words + ["more"]), "nothing like the rest of them at all"
