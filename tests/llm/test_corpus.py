@@ -1,8 +1,10 @@
 """Quality rules, clustering and phrase mining against brute force and on odd inputs."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -206,6 +208,21 @@ def test_collocations_equal_brute_force_over_shards(spark, size):
         assert phrases.collocations(docs.where("false")).count() == 0
 
 
+def test_bitmaps_of_a_done_shard_are_not_kept():
+    ((lang, words, ids),) = phrases.shards([("en", b"a b c a b c a b")], 2)
+    allowed = np.arange(len(words)) > 0
+    full = {k: np.full(1 << (phrases.FILTER_BITS - 6), ~np.uint64(0)) for k in (1, 2)}
+    maps = phrases.Bitmaps(ids, allowed)
+    kept = weakref.ref(maps)
+    gc.disable()
+    try:
+        assert sum(int(n.sum()) for _, n in phrases.phrase_counts(maps, phrases.word_hashes(lang, words), 3, full)) == 6
+        del maps
+        assert kept() is None
+    finally:
+        gc.enable()
+
+
 def test_two_word_phrases_and_equal_scores(spark):
     rows = [("en", t) for t in ["b a", "a b", "c d", "B A"] * 3]
     docs = spark.createDataFrame(rows, "lang string, text string")

@@ -177,44 +177,49 @@ def phrase_counts(maps: Bitmaps, hashes: np.ndarray, length: int, filters: dict[
     The bits of byte 0 are those of the words before the shard: phrases may begin there
     and are counted where they end.
     """
+    yield from _walk(maps, hashes, length, filters, *maps.words())
 
-    def walk(phrases: np.ndarray, which: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        begin = np.searchsorted(which, np.arange(len(phrases) + 1))
-        lo = 0
-        while lo < len(phrases):
-            hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + _ENTRIES, "right")) - 1)
-            part = slice(begin[lo], begin[hi])
-            key, blk, both = maps.extended(which[part] - lo, block[part], bits[part])
-            some, k = phrases[lo:hi], phrases.shape[1] + 1
-            lo = hi
-            if k == length:
-                own = blk > 0
-                key, both = key[own], both[own]
-                if not len(key):
-                    continue
-                order = np.argsort(key)
-                key = key[order]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                n = np.add.reduceat(np.bitwise_count(both[order]).astype(np.int64), first)
-                key = key[first]
-            else:
-                n_blocks = len(maps.start)
-                key, both = _merged(key * n_blocks + blk, both)
-                key, blk = key // n_blocks, key % n_blocks
-                key, of = np.unique(key, return_inverse=True)
-            child = np.column_stack([some[key // maps.n_words], key % maps.n_words])
-            ok = np.ones(len(child), bool)
-            # the last words are a phrase as well; that the first ones are frequent is known
-            if k > 2:
-                ok &= known(filters[k - 1], phrase_hashes([hashes[child[:, i]] for i in range(1, k)]))
-            if k == length:
-                yield child[ok], n[ok]
-                continue
-            ok &= known(filters[k], phrase_hashes([hashes[child[:, i]] for i in range(k)]))
-            keep = ok[of]
-            yield from walk(child[ok], (np.cumsum(ok) - 1)[of[keep]], blk[keep], both[keep])
 
-    yield from walk(*maps.words())
+def _walk(maps: Bitmaps, hashes: np.ndarray, length: int, filters: dict[int, np.ndarray], phrases: np.ndarray, which: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same of phrases that extend the given ones.
+
+    Not a function within phrase_counts: one that calls itself refers to itself, and would
+    keep the bitmaps of shards that are done until Python looks for cycles.
+    """
+    begin = np.searchsorted(which, np.arange(len(phrases) + 1))
+    lo = 0
+    while lo < len(phrases):
+        hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + _ENTRIES, "right")) - 1)
+        part = slice(begin[lo], begin[hi])
+        key, blk, both = maps.extended(which[part] - lo, block[part], bits[part])
+        some, k = phrases[lo:hi], phrases.shape[1] + 1
+        lo = hi
+        if k == length:
+            own = blk > 0
+            key, both = key[own], both[own]
+            if not len(key):
+                continue
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.add.reduceat(np.bitwise_count(both[order]).astype(np.int64), first)
+            key = key[first]
+        else:
+            n_blocks = len(maps.start)
+            key, both = _merged(key * n_blocks + blk, both)
+            key, blk = key // n_blocks, key % n_blocks
+            key, of = np.unique(key, return_inverse=True)
+        child = np.column_stack([some[key // maps.n_words], key % maps.n_words])
+        ok = np.ones(len(child), bool)
+        # the last words are a phrase as well; that the first ones are frequent is known
+        if k > 2:
+            ok &= known(filters[k - 1], phrase_hashes([hashes[child[:, i]] for i in range(1, k)]))
+        if k == length:
+            yield child[ok], n[ok]
+            continue
+        ok &= known(filters[k], phrase_hashes([hashes[child[:, i]] for i in range(k)]))
+        keep = ok[of]
+        yield from _walk(maps, hashes, length, filters, child[ok], (np.cumsum(ok) - 1)[of[keep]], blk[keep], both[keep])
 
 
 def counted(docs: DataFrame, length: int, filters: dict[int, np.ndarray]) -> DataFrame:
