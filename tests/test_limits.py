@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracewell.functions import accesses, batches
-from tracewell.operators import banks
+from tracewell.operators import automata, banks
 from tracewell.operators import graphs as G
 from tracewell.operators import pointers as A
 from tracewell.operators import syntax as X
@@ -62,6 +62,17 @@ def test_control_flow_moves_nothing_once_labelled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_automata_move_nothing_once_labelled(spark):
+    nodes = spark.createDataFrame([(1, 1, None, "body", 0, "Cond", None), (1, 2, 1, "then", 0, "Read", 4)], "m int, node_id int, parent_id int, branch string, ord int, kind string, offset long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = automata.automata(nodes, ["m"])
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert [(r.m, r.empty, r.shortest, len(r.positions)) for r in got.collect()] == [(1, True, 1, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_staged_tables_count_as_larger_than_their_files(spark):
     staged(spark.range(10), "small")
     rows = staged(spark.range(400_000).selectExpr("id", "7 AS k"), "rows")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.syntax import intervals
-from tracewell.session import staged
+from tracewell.session import staged, staged_by
 
 _INTS = "array<int>"
 _PART = f"struct<first:{_INTS},last:{_INTS},empty:boolean,pairs:array<struct<a:int,b:int>>>"
@@ -43,13 +43,14 @@ def automata(nodes: DataFrame, module: list[str]) -> DataFrame:
     The nodes are those of ``variants.branch_variants``. ``positions`` are in order of the
     source: (kind, offset), ``before``, the places of what can come right before, whether it
     can be first (``start``) and last (``stop``), and ``rest``, the fewest accesses still to
-    come after it. ``shortest`` is the length of the shortest variant that has accesses,
+    come after it. Nodes are dealt by module once; what follows from the staged ones moves no row. ``shortest`` is the length of the shortest variant that has accesses,
     null if there is none. A loop counts as empty.
     """
     key = F.struct(*module)
     beside = Window.partitionBy("_u", "parent").orderBy(F.coalesce(F.col("branch") == "else", F.lit(False)), "ord", "node")
-    tree = nodes.select(key.alias("_u"), F.col("node_id").cast("long").alias("node"), F.col("parent_id").cast("long").alias("parent"), "branch", "ord", "kind", F.col("offset").cast("long").alias("offset")).withColumn("ord", F.row_number().over(beside))
-    at = staged(intervals(tree, "_u"), "positions")
+    tree = nodes.select(key.alias("_u"), F.col("node_id").cast("long").alias("node"), F.col("parent_id").cast("long").alias("parent"), "branch", "ord", "kind", F.col("offset").cast("long").alias("offset"))
+    dealt = tree.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_u")
+    at = intervals(dealt.withColumn("ord", F.row_number().over(beside)), "_u")
     access = F.col("kind").isin("Read", "Write", "ReadModifyWrite")
     p, both = (F.col("pre") * 2).cast("int"), F.col("kind") == "ReadModifyWrite"
     leaf = F.when(access & F.col("offset").isNotNull(), F.struct(F.array(p).alias("first"), F.array(F.when(both, p + 1).otherwise(p)).alias("last"), F.lit(False).alias("empty"), F.when(both, F.array(F.struct(p.alias("a"), (p + 1).alias("b")))).otherwise(F.expr("cast(array() AS array<struct<a:int,b:int>>)")).alias("pairs")))
@@ -71,7 +72,7 @@ def automata(nodes: DataFrame, module: list[str]) -> DataFrame:
         v = F.when(F.col("kind") == "Cond", choice).when(F.col("kind") == "Seq", t).otherwise(F.col("v"))
         inside = F.when(F.col("kind").isin("Cond", "Seq"), F.coalesce("_ok", F.lit(True))).otherwise(F.lit(True))
         level = here.select("_u", "node", "parent", "depth", "branch", "pre", "kind", v.alias("v"), (F.col("ok") & inside).alias("ok"))
-    whole = staged(folded(level, ["_u"]).select("_u", F.col("_t").alias("v"), F.col("_ok").alias("traceable")), "wholes")
+    whole = staged_by(folded(level, ["_u"]).select("_u", F.col("_t").alias("v"), F.col("_ok").alias("traceable")), "wholes", "_u")
     rw = F.when(both, F.array(F.struct(p.alias("p"), F.lit("R").alias("kind")), F.struct((p + 1).alias("p"), F.lit("W").alias("kind")))).otherwise(F.array(F.struct(p.alias("p"), F.substring("kind", 1, 1).alias("kind"))))
     places = at.where(access & F.col("offset").isNotNull()).select("_u", "offset", F.explode(rw).alias("x")).select("_u", F.col("x.p").alias("p"), F.struct(F.col("x.kind").alias("kind"), "offset").alias("item"))
     pairs = whole.select("_u", F.explode("v.pairs").alias("x")).select("_u", "x.a", "x.b").distinct()
