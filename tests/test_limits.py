@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracewell.functions import accesses, batches
-from tracewell.operators import automata, banks
+from tracewell.operators import automata, banks, interpreter
 from tracewell.operators import graphs as G
 from tracewell.operators import pointers as A
 from tracewell.operators import syntax as X
+from tracewell.operators.backends import GPIO_TABLES
+from tracewell.operators.devices import bank_run
 from tracewell.plans import catalogue
 from tracewell.plans import syntax as S
 from tracewell.session import staged
@@ -113,6 +115,52 @@ def test_first_differences_of_bank_runs():
     assert banks.compared(run([call, call]), run([call, ("t", [], *call[2:])])) == (2, "t")
 
 
+def test_banks_that_differ_in_places_alone_share_their_programs():
+    banks._made.cache_clear()
+    plan = [{"table": t, "args": [("offset", 1), ("value", 1), ("mask", 6), ("bits", 3)]} for t in GPIO_TABLES]
+    for at in (0, 20, 40):
+        offsets = [("dat", at), ("set", at + 4), ("dirout", at + 8)]
+        run = banks.program_run(offsets, 4, ["big_endian"], plan, 4096)
+        assert banks.compared(bank_run(offsets, 4, ["big_endian"], plan, 4096), run) == (7, None) and run[2][0][1][0][1] == at
+    assert banks._made.cache_info().misses == 1
+    assert banks.program_run([("dat", 4095)], 4, [], plan, 4096)[3] == "Unsupported: address outside the memory"
+
+
+def test_programs_made_functions_run_as_they_are_interpreted():
+    var, do = lambda n: {"Var": n}, lambda op, a, b: {"BinOp": {"op": op, "left": a, "right": b}}
+    addr = {"Fixed": {"base": "b", "offset": 4}}
+    ops = [
+        {"Read": {"addr": addr, "width": "B2", "var": "x", "evidence": {"byte_order": "big"}}}, {"StateWrite": {"field": "s", "width": "B1", "value": do("Add", var("x"), {"Const": 300})}},
+        {"StateRead": {"field": "s", "var": "y"}}, {"OutputWrite": {"target": "o", "value": do("Sub", {"Const": 0}, var("y"))}}, {"ReadModifyWrite": {"addr": addr, "width": "B1", "transform": do("BitXor", var("__old"), var("p->s"))}},
+        {"Cond": {"guard": do("Ge", var("n"), {"Const": 2}), "then_ops": [{"Write": {"addr": addr, "width": "B4", "value": do("Shl", var("o"), var("n"))}}], "else_ops": [{"Return": {"value": do("Eq", var("n"), {"Const": 1})}}]}},
+        {"Loop": {"bounded": True, "reliability": "Exact", "count": var("n"), "induction_var": "i", "body": [{"Cond": {"guard": do("Eq", var("i"), {"Const": 3}), "then_ops": [{"Return": {"value": do("Div", var("x"), do("Sub", var("n"), {"Const": 5}))}}]}}]}},
+    ]
+
+    def ran(n, how):
+        run = interpreter.Run({"n": n}, {}, interpreter.seeded(64), {"b": 8})
+        try:
+            end = how(run)
+        except interpreter.Unsupported as e:
+            end = str(e)
+        return end, run.trace, run.env, run.state, run.outputs, bytes(run.memory)
+
+    made = interpreter.steps(ops)
+    for n in (0, 1, 2, 4, 5, 5000):
+        got = ran(n, made)
+        assert (got[0][0] if isinstance(got[0], tuple) else got[0], *got[1:]) == ran(n, lambda run: run.go(ops))
+
+
+def test_nested_values_are_read_by_column():
+    kind = pa.struct([("a", pa.int64()), ("t", pa.string()), ("b", pa.list_(pa.struct([("x", pa.bool_()), ("y", pa.map_(pa.string(), pa.float64()))])))])
+    rows = [None, {"a": 1, "t": None, "b": None}, {"a": None, "t": "é", "b": [None, {"x": None, "y": [("k", None)]}]}, {"a": -(1 << 63), "t": "", "b": []}, {"a": 2, "t": "é", "b": [{"x": True, "y": [("k", 0.5), ("l", 1.0)]}]}]
+    for t, values in ((kind, rows), (pa.list_(kind), [rows, None, [], rows[1:]]), (pa.map_(pa.int32(), kind), [[(1, rows[2])], None, [], [(2, None), (3, rows[4])]])):
+        a = pa.array(values, t)
+        for at in range(len(a) + 1):
+            for b in (a.slice(at), a.slice(at, 2)):
+                assert batches._values(b) == b.to_pylist()
+    assert batches._key(([1], datetime.date(2020, 1, 1))) == batches._key(([1], datetime.date(2020, 1, 1))) and batches._key(([1],)) != batches._key(([True],))
+
+
 def test_equal_nested_rows_share_a_call(spark):
     calls = spark.sparkContext.accumulator(0)
 

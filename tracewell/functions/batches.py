@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import marshal
 from collections.abc import Callable
 from itertools import accumulate
 
@@ -32,6 +33,38 @@ def _array(values: list, t: pa.DataType) -> pa.Array:
     return pa.array(values, t)
 
 
+def _values(a: pa.Array) -> list:
+    """An Arrow array as plain values, as ``to_pylist`` gives them but a column at a time: structs are dicts, maps lists of pairs."""
+    if not len(a):
+        return []  # Spark sends no offsets then
+    t, none = a.type, a.is_null().to_pylist() if a.null_count else None
+    if pa.types.is_struct(t):
+        names = [f.name for f in t]
+        out = [dict(zip(names, r)) for r in zip(*map(_values, a.flatten()))] if names else [{} for _ in range(len(a))]
+    elif pa.types.is_list(t) or pa.types.is_large_list(t) or pa.types.is_map(t):
+        ends = a.offsets.to_numpy().tolist()
+        first, n = ends[0], ends[-1] - ends[0]
+        inner = list(zip(_values(a.keys.slice(first, n)), _values(a.items.slice(first, n)))) if pa.types.is_map(t) else _values(a.values.slice(first, n))
+        out = [inner[b - first : e - first] for b, e in zip(ends, ends[1:])]
+    elif pa.types.is_integer(t):
+        out = (a.fill_null(0) if none else a).to_numpy().tolist()
+    elif pa.types.is_string(t):
+        found = a.dictionary_encode()
+        words = found.dictionary.to_pylist()
+        return [words[i] if i >= 0 else None for i in found.indices.fill_null(-1).to_numpy().tolist()]
+    else:
+        return a.to_pylist()
+    return [None if x else v for x, v in zip(none, out)] if none else out
+
+
+def _key(row: tuple):
+    """What equal rows with nested values have in common."""
+    try:
+        return marshal.dumps(row, 2)
+    except ValueError:  # decimals, dates and times
+        return repr(row)
+
+
 def batched(function: Callable, returns: str) -> Callable[..., Column]:
     """``function`` of plain Python values as a function of columns that returns the SQL type ``returns``.
 
@@ -46,10 +79,10 @@ def batched(function: Callable, returns: str) -> Callable[..., Column]:
         kind = to_arrow_type(_parse_datatype_string(returns))
 
         def run(*arrays: pa.Array) -> pa.Array:
-            rows = list(zip(*(a.to_pylist() for a in arrays)))
+            rows = list(zip(*(_values(a) if pa.types.is_nested(a.type) else a.to_pylist() for a in arrays)))
             nested = any(pa.types.is_nested(a.type) for a in arrays)
             numbers: dict = {}
-            at = [numbers.setdefault(repr(row) if nested else row, len(numbers)) for row in rows]
+            at = [numbers.setdefault(_key(row) if nested else row, len(numbers)) for row in rows]
             firsts = dict(zip(reversed(at), reversed(rows)))
             out = _array([function(*firsts[k]) for k in range(len(numbers))], kind)
             return out if len(out) == len(rows) else out.take(pa.array(at, pa.int32()))

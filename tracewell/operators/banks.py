@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.batches import batched
 from tracewell.operators.devices import bank_run
-from tracewell.operators.interpreter import Run, Unsupported, seeded
+from tracewell.operators.interpreter import Run, Unsupported, seeded, steps
 
 _DATA, _DIRECTION = "gpio_sdata", "gpio_sdir"
 
@@ -115,9 +116,16 @@ def callback_programs(cases: DataFrame, key: list[str], offsets: str, width: str
     return cases.select(*key, F.explode(rows).alias("_r")).select(*key, "_r.*")
 
 
+class Placed(Programs):
+    """The same with the fields' places left to the bases of a run, so that banks which differ in these alone share them."""
+
+    def place(self, field: str) -> dict:
+        return {**super().place(field), "addr": {"Fixed": {"base": field, "offset": 0}}}
+
+
 @lru_cache(4096)
-def _made(offsets: tuple[tuple[str, int], ...], width: int, flags: frozenset[str]) -> dict[str, list[dict]]:
-    return Programs(dict(offsets), width, set(flags)).made
+def _made(fields: tuple[str, ...], width: int, flags: frozenset[str]) -> dict[str, Callable[[Run], tuple[int] | None]]:
+    return {k: steps(ops) for k, ops in Placed(dict.fromkeys(fields, 0), width, set(flags)).made.items()}
 
 
 def program_run(offsets, width, flags, plan, size: int) -> tuple | None:
@@ -125,16 +133,17 @@ def program_run(offsets, width, flags, plan, size: int) -> tuple | None:
     if plan is None:
         return None
     try:
-        programs = _made(tuple(offsets or []), width, frozenset(flags or []))
-        device = Run({}, {}, seeded(size))
-        device.go(programs["init"])
+        at = dict(offsets or [])
+        programs = _made(tuple(at), width, frozenset(flags or []))
+        device = Run({}, {}, seeded(size), at)
+        programs["init"](device)
         shadows = lambda: (device.state.get(_DATA, 0), device.state.get(_DIRECTION, 0))
         start, calls = shadows(), []
         for step in plan:
             args = {k: v for k, v in step["args"] if v is not None}
             device.env, device.trace, device.outputs = dict(args), [], {}
-            result = device.go(programs[step["table"].removeprefix("gpio_chip.")])
-            calls.append((step["table"], device.trace, result, device.outputs.get("bits", args.get("bits")), *shadows()))
+            end = programs[step["table"].removeprefix("gpio_chip.")](device)
+            calls.append((step["table"], device.trace, None if end is None else end[0], device.outputs.get("bits", args.get("bits")), *shadows()))
         return (*start, calls, None)
     except (KeyError, Unsupported, TypeError, ValueError) as e:
         return (None, None, [], f"{type(e).__name__}: {e}")
